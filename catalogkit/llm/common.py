@@ -38,7 +38,7 @@ def sample_by_hash(df: DataFrame, id_column: str, n: int) -> DataFrame:
 
 def running_sum(df: DataFrame, amount: str, out: str, keys: list[str], block: str, order: list[str]) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over the rows of the same ``keys`` before this one in the
-    order (``block``, then ``order``).
+    order (``block``, then ``order``).  Keys and block hold no nulls.
 
     Two levels, so that a key holding most rows is spread over its blocks: a window inside each
     (keys, block), and a window over the block totals, of which there are few.
@@ -49,7 +49,4 @@ def running_sum(df: DataFrame, amount: str, out: str, keys: list[str], block: st
     across = Window.orderBy(block) if not keys else Window.partitionBy(*keys).orderBy(block)
     across = across.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, block, F.coalesce(F.sum("__total").over(across), F.lit(0)).cast("long").alias("__before"))
-    joined = local.alias("a").join(
-        offsets.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, block]], "inner"
-    )
-    return joined.select("a.*", (F.col("b.__before") + F.col("a.__in_block")).alias(out)).drop("__in_block")
+    return local.join(offsets, [*keys, block]).withColumn(out, F.col("__before") + F.col("__in_block")).drop("__before", "__in_block")

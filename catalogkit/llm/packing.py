@@ -62,25 +62,26 @@ def schedule(docs: DataFrame, window_tokens: int = 131_072, shares: dict[str, fl
     if not total.rows:
         return docs.select("row", "n", F.lit(0).cast("long").alias("start"))
     blocks = -(-total.rows // block_rows)
-    queues = running_sum(docs.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "n", "position", ["source"], "block", ["row"])
+    docs = docs.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # a null source is a queue too
+    queues = running_sum(docs.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "n", "position", ["queue"], "block", ["row"])
     share = F.col("tokens") / F.lit(float(total.t))
     if shares:
         # a dictionary given by the caller, of the size of its own literal
         target = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
         share = F.coalesce(F.try_element_at(target, F.col("source")), share)
-    quanta = docs.groupBy("source").agg(F.sum("n").alias("tokens")).select(
-        F.col("source").alias("s"),
+    quanta = docs.groupBy("queue", "source").agg(F.sum("n").alias("tokens")).select(
+        "queue",
         F.greatest(F.lit(1), F.floor(share * window_tokens * FIXED)).cast("long").alias("quantum"),
-        (F.pmod(F.xxhash64("source", F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("phase"),
+        (F.pmod(F.xxhash64("queue", F.lit(1)), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias("phase"),
     )
-    rounds = queues.join(quanta, F.col("source").eqNullSafe(F.col("s"))).select(
-        "row", "n", "source", "position",
+    rounds = queues.join(quanta, "queue").select(
+        "row", "n", "queue", "position",
         F.expr(f"(position + cast(floor(phase * n) as bigint)) * {FIXED} div quantum").alias("round"),
     )
     # a round is a block of the stream, and 4,096 rounds a block of rounds
     by_round = rounds.groupBy("round").agg(F.sum("n").alias("tokens")).withColumn("era", F.expr("round div 4096"))
     starts = running_sum(by_round, "tokens", "base", [], "era", ["round"]).select("round", "base")
-    inside = "sum(n) over (partition by round order by source nulls first, position, row rows between unbounded preceding and 1 preceding)"
+    inside = "sum(n) over (partition by round order by queue, position, row rows between unbounded preceding and 1 preceding)"
     local = rounds.withColumn("inside", F.coalesce(F.expr(inside), F.lit(0)))
     return local.join(starts, "round").select("row", "n", (F.col("base") + F.col("inside")).alias("start"))
 
