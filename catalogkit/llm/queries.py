@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the corpus pipeline."""
+"""The registered queries of the ten operators and, where SQL can express them, their oracles."""
 
 from __future__ import annotations
 
@@ -6,15 +6,38 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalogkit.llm import langid, packing, quality, simhash
+from catalogkit.llm import bpe, langid, mtree, packing, permutation, quality, sharding, simhash, tool_calls, toxicity
 from catalogkit.llm.common import table
 
 
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.from_conversations(table(spark, sf_dir, "conversations"))
+    linked = tool_calls.link(calls, results, tool_calls.SCHEMAS)
+    return linked.withColumn("faults", F.concat_ws(",", "faults"))
+
+
+def op2_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
@@ -27,8 +50,47 @@ def op9_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_trees, op7_mixture_packing, op8_covering_simhash, op9_centroid_language)
-}
+    f.__name__: f
+    for f in (
+        op1_tool_call_linking, op2_convolutional_toxicity, op3_quality_trees, op4_mtree_top_k, op5_permutation_index,
+        op6_tree_bpe, op7_mixture_packing, op8_covering_simhash, op9_centroid_language, op10_histogram_sharding,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_tool_call_linking": """
+        WITH calls AS (
+            SELECT conv_id, 'call_' || turn AS call_id, turn, text, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position
+            FROM conversations WHERE role IN ('user', 'system')
+        ), results AS (
+            SELECT conv_id, 'call_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
+        )
+        SELECT conv_id, call_id, position, name,
+               CASE WHEN name IS NULL THEN 'no_call' WHEN content IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+               CAST(CASE WHEN content IS NULL THEN 0 ELSE 1 END AS BIGINT) AS results,
+               CASE WHEN name IS NOT NULL AND (length(text) = 0 OR length(text) > CASE name WHEN 'answer' THEN 300 ELSE 200 END)
+                    THEN 'length:prompt' ELSE '' END AS faults,
+               CASE WHEN name IS NULL THEN '{"id":"' || call_id || '","result":' || to_json(content)::VARCHAR || '}'
+                    ELSE '{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"' || name || '"'
+                         || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || '}' END AS line
+        FROM calls FULL JOIN results USING (conv_id, call_id)
+    """,
+    "op4_mtree_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
