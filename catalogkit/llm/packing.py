@@ -53,7 +53,10 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def schedule(docs: DataFrame, window_tokens: int = 131_072, shares: dict[str, float] | None = None, block_rows: int = 8192) -> DataFrame:
-    """(row, n, start): the place of each document in the stream, from (row, source, n).
+    """(row, n, start): the place of each document in the stream, from (row, place, source, n).
+
+    A queue is in order of ``place``, a hash of the document's id, so that the result does not depend on how
+    the input is split; only rows that repeat an id are told apart by ``row``.
 
     ``shares`` maps sources to target proportions of a window's tokens; a source without one (and every
     source by default) gets its natural share, so that all queues last until the end.
@@ -63,7 +66,7 @@ def schedule(docs: DataFrame, window_tokens: int = 131_072, shares: dict[str, fl
         return docs.select("row", "n", F.lit(0).cast("long").alias("start"))
     blocks = -(-total.rows // block_rows)
     docs = docs.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # a null source is a queue too
-    queues = running_sum(docs.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "n", "position", ["queue"], "block", ["row"])
+    queues = running_sum(docs.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks))), "n", "position", ["queue"], "block", ["place", "row"])
     share = F.col("tokens") / F.lit(float(total.t))
     if shares:
         # a dictionary given by the caller, of the size of its own literal
@@ -119,7 +122,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, **options) ->
     if length & (length - 1):
         raise ValueError("the sequence length must be a power of two")
     ids = settle(tokenise(docs, tokenizer_path).select(F.monotonically_increasing_id().alias("row"), "*"))
-    placed = settle(schedule(ids.select("row", "source", "n"), **options))
+    placed = settle(schedule(ids.select("row", F.xxhash64("doc_id").alias("place"), "source", "n"), **options))
     cut = ids.select("row", "doc_id", "n", "ids").join(cuts(placed, length), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
