@@ -61,8 +61,8 @@ def backfill(items: DataFrame, observed: DataFrame, mappings: dict[str, tuple[st
 
     ``mappings``: item field -> (observed field, mapping).  Adds ``events``: what happened to the row."""
     out = items.join(observed.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in observed.columns if c != key]), key, "left")
-    events = [F.when(F.col("__hit").isNull(), F.lit("no_hit")), F.when(is_code_prefix(F.col(series), F.col(key)), F.lit(f"clear_{series}_prefix"))]
-    out = out.withColumn(series, clear_prefix(F.col(series), F.col(key)))
+    out = out.withColumn("__clear", is_code_prefix(F.col(series), F.col(key))).withColumn(series, clear_prefix(F.col(series), F.col(key)))
+    events = [F.when(F.col("__hit").isNull(), F.lit("no_hit")), F.when(F.col("__clear"), F.lit(f"clear_{series}_prefix"))]
     for f in direct:
         take = (F.coalesce(F.col(f).cast("string"), F.lit("")).isin("", "0")) & ~F.coalesce(F.col(f"__{f}").cast("string"), F.lit("")).isin("", "0")
         events.append(F.when(take, F.lit(f"fill_{f}")))

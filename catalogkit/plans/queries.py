@@ -559,7 +559,7 @@ _PARSED = r"""s1 AS (SELECT *, CASE WHEN regexp_matches(fn, '^\d{4}-\d{2}-\d{2}
     s7 AS (SELECT *, letters || '-' || CASE WHEN dash = '-' THEN digits ELSE CAST(CAST(digits AS INT) AS VARCHAR) END AS code FROM s6),
     s8 AS (SELECT s7.*, coalesce(nullif(body, ''), nullif(i.title, '')) AS title, coalesce(file_date, i.date) AS date FROM s7 LEFT JOIN items i ON i.code = s7.code),
     plan AS (SELECT *, CASE WHEN ext = '' THEN 'extension' END AS reason, CASE WHEN ext <> '' THEN
-        rtrim(trim(regexp_replace(concat_ws(' ', date, code, title) || tags || coalesce(' (' || copy || ')', '') || coalesce('.part' || part, '') || ext, '\s+', ' ', 'g'))) END AS new FROM s8)"""
+        rtrim(trim(regexp_replace(concat_ws(' ', date, code, replace(title, '/', '_')) || tags || coalesce(' (' || copy || ')', '') || coalesce('.part' || part, '') || ext, '\s+', ' ', 'g'))) END AS new FROM s8)"""
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
