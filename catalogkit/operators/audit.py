@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogkit.functions.empty import has_value, is_unset
@@ -160,4 +160,5 @@ def run_summary(result: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def share_of_total(counts: DataFrame, n: str = "n") -> DataFrame:
-    return counts.withColumn("share", F.round(F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(1))), 6))
+    """Adds each row's share of the sum."""
+    return counts.withColumn("share", F.round(F.col(n) / counts.agg(F.sum(n)).scalar(), 6))

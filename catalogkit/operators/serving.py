@@ -146,20 +146,20 @@ def latest(items: DataFrame, n: int = 60) -> DataFrame:
 def head_and_rest(rows: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows with ``omitted``, how many are left out."""
     total = rows.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("omitted"))
-    return rows.orderBy(*order).limit(n).crossJoin(F.broadcast(total))  # one row on the right
+    return rows.orderBy(*order).limit(n).withColumn("omitted", total.scalar())
 
 
-def link_union(items: DataFrame, templates: DataFrame) -> DataFrame:
+def link_union(items: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
     """(code, pos, site, url): manual links, trailer, source, then generated ones; of equal URLs the first.
 
-    ``templates``: (ord, site, template) with {code}."""
+    ``templates``: (site, template with {code}) in order."""
     fixed = F.concat(
         F.transform(F.map_entries(F.coalesce("external_links", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("site"), e["value"].alias("url"))),
         F.array(F.struct(F.lit("trailer").alias("site"), F.col("trailer").alias("url")), F.struct(F.lit("source").alias("site"), F.col("source_url").alias("url"))),
     )
     own = items.select("code", F.posexplode(fixed).alias("pos", "l")).select("code", "pos", "l.site", "l.url")
-    made = items.select("code").join(F.broadcast(templates.limit(1000)), F.lit(True)).select(
-        "code", (F.col("ord") + 1000).alias("pos"), "site", F.replace("template", F.lit("{code}"), F.url_encode("code")).alias("url")
-    )
-    every = own.unionByName(made).where("url <> ''")
+    url = lambda template: F.replace(F.lit(template), F.lit("{code}"), F.url_encode("code"))
+    listed = F.array(*[F.struct(F.lit(site).alias("site"), url(template).alias("url")) for site, template in templates])
+    made = items.select("code", F.posexplode(listed).alias("ord", "l")).select("code", (F.col("ord") + 1000).alias("pos"), "l.site", "l.url")
+    every = (own.unionByName(made) if templates else own).where("url <> ''")
     return every.groupBy("code", "url").agg(F.min(F.struct("pos", "site")).alias("f")).select("code", "f.pos", "f.site", "url")

@@ -544,8 +544,7 @@ def newest_entities(spark: SparkSession, d: str) -> DataFrame:
 )
 def link_union(spark: SparkSession, d: str) -> DataFrame:
     items = view(spark, d, "items").select("code", F.lit(None).cast("map<string,string>").alias("external_links"), F.lit(None).cast("string").alias("trailer"), F.when(F.col("k") % 2 == 0, F.concat(F.lit("https://one.example.com/"), "code")).alias("source_url"))
-    templates = spark.createDataFrame([(0, "one", "https://one.example.com/{code}"), (1, "two", "https://two.example.com/{code}")], "ord int, site string, template string")
-    return serving.link_union(items, templates)
+    return serving.link_union(items, [("one", "https://one.example.com/{code}"), ("two", "https://two.example.com/{code}")])
 
 
 _PARSED = r"""s1 AS (SELECT *, CASE WHEN regexp_matches(fn, '^\d{4}-\d{2}-\d{2} ') THEN substr(fn, 1, 10) END AS file_date, regexp_replace(fn, '^\d{4}-\d{2}-\d{2} ', '') AS a FROM files),
