@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from catalogkit.llm import search
 from catalogkit.llm.common import sample_by_hash
 
+MOST_LENGTHS = 100  # each length has pivots of its own, which go to every task
+
 
 def _nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The numbers of the nearest pivots, in order."""
@@ -66,15 +68,17 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 1
     nearest other rows found, nearest first, ties to the smaller vec_id; score is the exact inner product.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part; rows of other
-    lengths than the query's are no candidates; rows that repeat an id are candidates each.
+    lengths than the query's are no candidates; rows that repeat an id are candidates each.  Vectors of more
+    than MOST_LENGTHS lengths in one table raise an error.
     """
     rows = search.usable(vectors, drop_zero=True)
-    lengths = [r.d for r in rows.select(F.size("v").alias("d")).distinct().limit(100).collect()]
+    lengths = [r.d for r in rows.select(F.size("v").alias("d")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     norm = float(np.sqrt(rows.agg(F.max(square)).first()[0] or 0.0))
     chosen = {d: sample_by_hash(rows.where(F.size("v") == d), "vec_id", pivots).collect() for d in lengths}
     chosen = {d: _lift(np.array([r.v for r in found]), norm) for d, found in chosen.items()}
-    rows = rows.where(F.size("v").isin(list(chosen) or [-1]))
     index = search.build(rows, functools.partial(post, pivots=chosen, norm=norm, prefix=prefix), page_rows)
     visit = functools.partial(ranked, pivots=chosen, share=share, least=least)
     return search.search(index, rows.where(F.col("vec_id") % every == 0), visit, k, "double")
