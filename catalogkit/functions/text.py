@@ -218,6 +218,11 @@ def display_value(translated: Column, original: Column, translate: bool = True)
     return F.coalesce(F.nullif(translated, F.lit("")), original, F.lit("")) if translate else F.coalesce(original, F.lit(""))
 
 
+def first_filled(*columns: Column) -> Column:
+    """The first text that is neither null nor empty, such as a poster, else the cover."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
+
+
 def media_kind(ext: Column) -> Column:
     """cover, video or other, by the lower-cased extension with its dot."""
     e = F.lower(ext)

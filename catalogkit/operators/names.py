@@ -53,6 +53,12 @@ def sync_aliases(edges: DataFrame, profiles: DataFrame, shortest_ascii: int = 5)
     return found.join(edges.select(F.col("canonical").alias("alias")).distinct(), "alias", "left_anti").select("canonical", "alias")
 
 
+def attach_value(items: DataFrame, dictionary: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds ``out``: the dictionary's (src, dst) value of the key, null where it has none or an empty one."""
+    found = dictionary.where("dst <> ''").select(F.col("src").alias("__s"), F.col("dst").alias(out))
+    return items.join(found, F.col(key) == F.col("__s"), "left").drop("__s")
+
+
 def look_up_name(items: DataFrame, dictionary: DataFrame, name: str, normalized: str, out: str) -> DataFrame:
     """Adds ``out``: the dictionary's (src, dst) value of the name, else of the normalised name."""
     one = dictionary.select(F.col("src").alias("__s1"), F.col("dst").alias("__d1"))

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from catalogkit.functions.empty import strip
 from catalogkit.functions.text import has_kana, is_chinese
 
-INLINE_ENTRIES = 2_000  # dictionaries up to this size are looked up in a literal map, larger ones are joined
-
-
 def _filled(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 

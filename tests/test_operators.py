@@ -90,6 +90,13 @@ def test_exact_hits_and_probing(spark):
     assert names.probe_candidates(people, "c", spark.createDataFrame([("s",), ("r",)], "name string")).first().hit == "r"
 
 
+def test_dictionary_values(spark):
+    rows = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", "f")], "name string, plain string")
+    words = spark.createDataFrame([("a", "A"), ("d", "D"), ("c", ""), ("b", "B")], "src string, dst string")
+    assert [r.o for r in names.attach_value(rows, words, "name", "o").orderBy("name").collect()] == ["A", None, None]
+    assert [r.o for r in names.look_up_name(rows, words.where("dst <> ''"), "name", "plain", "o").orderBy("name").collect()] == ["A", "D", None]
+
+
 def test_tags_with_blanks(spark):
     table = spark.createDataFrame([("a", "A"), ("b", ""), ("c", "A")], "src string, dst string")
     rows = spark.createDataFrame([(1, ["a", "", "b", "q", "c"]), (2, []), (3, None)], "k int, tags array<string>")
