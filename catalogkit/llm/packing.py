@@ -19,7 +19,9 @@ meet their cuts in one join on a row number.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,17 @@ from catalogkit.llm.tokens import EOS, WordTokenizer
 FIXED = 65_536  # quanta are kept in this fraction of a token
 
 
+def compact(ids: list[int]) -> bytes:
+    """Little-endian 16-bit ids where all fit, else 32-bit ones."""
+    try:
+        raw = array("H", ids)
+    except OverflowError:
+        raw = array("I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, source, n, ids binary): ids are little-endian uint16, or uint32 where one needs it."""
 
@@ -41,10 +54,14 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                ids = [np.array([*encoder.encode(t or ""), EOS], np.uint32) for t in piece.column(2).to_pylist()]
-                packed = [(x.astype("<u2") if x.max() < 65_536 else x.astype("<u4")).tobytes() for x in ids]
+                packed, counts = [], []
+                for text in piece.column(2).to_pylist():
+                    ids = encoder.encode(text or "")
+                    ids.append(EOS)
+                    counts.append(len(ids))
+                    packed.append(compact(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())],
+                    [piece.column(0), piece.column(1), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
                     names=["doc_id", "source", "n", "ids"],
                 )
 

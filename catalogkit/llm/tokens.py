@@ -56,7 +56,7 @@ class WordTokenizer:
             with open(path) as f:
                 vocabulary = json.load(f)["model"]["vocab"]
             ranks = ranks_of(beside)
-            if len(vocabulary) - len(self.special) == len(ranks):
+            if len(set(vocabulary) - set(self.special)) == len(ranks):
                 self.ranks = RankEncoder(ranks)
 
     @staticmethod
