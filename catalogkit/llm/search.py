@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from catalogkit.llm.common import settle
 
 
+MOST_TASKS = 20_000  # of one visit stage; beyond it a task takes several visits in turn
+
+
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", drop_zero: bool = False) -> DataFrame:
     """(vec_id long, v array<double>) of the rows whose vector is not null or empty and has only finite components."""
     v = F.col(vector_column).cast("array<double>")
@@ -65,6 +68,9 @@ def search(index: DataFrame, queries: DataFrame, best_of: Callable[[object, np.n
         rows = best_of(own, ask.vec_id.to_numpy(np.int64), np.array(ask.v.tolist(), float), k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-    found = sent.union(there).groupBy("dims", "page", "block").applyInPandas(visit, f"query_id long, vec_id long, score {score_type}")
+    # a few rows hold much work here: their number, not their bytes, sets the number of tasks
+    visits = max(1, min(MOST_TASKS, blocks * places.count()))
+    together = sent.union(there).repartition(visits, "dims", "page", "block")
+    found = together.groupBy("dims", "page", "block").applyInPandas(visit, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
