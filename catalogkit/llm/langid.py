@@ -30,19 +30,25 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def ngram_counts(text: str, buckets: int) -> np.ndarray:
-    """Counts of the 1- to 4-byte grams of the text's lower-cased letters, hashed to ``buckets``."""
+def ngram_counts(text: str, buckets: int, block: int = 1 << 20) -> np.ndarray:
+    """Counts of the 1- to 4-byte grams of the text's lower-cased letters, hashed to ``buckets``.
+
+    A long text is counted in blocks of ``block`` grams, so that memory grows with the text's bytes alone.
+    """
     raw = text.lower().encode("utf-8", "replace").translate(_LETTERS_ONLY)
-    codes = np.frombuffer(b" " + b" ".join(raw.split()) + b" ", np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b" " + b" ".join(raw.split()) + b" ", np.uint8)
     total = np.zeros(buckets, np.int64)
     shift = np.uint64(64 - int(buckets).bit_length() + 1)
-    gram = codes
-    for n in range(1, 5):
-        if n > 1:
-            if len(codes) < n:
-                break
-            gram = (gram[:-1] << np.uint64(8)) | codes[n - 1 :]
-        total += np.bincount(((gram + np.uint64(n << 40)) * _PRIME >> shift).astype(np.int64), minlength=buckets)
+    for at in range(0, len(raw), block):
+        codes = raw[at : at + block + 3].astype(np.uint64)
+        gram = codes
+        for n in range(1, 5):
+            if n > 1:
+                if len(codes) < n:
+                    break
+                gram = (gram[:-1] << np.uint64(8)) | codes[n - 1 :]
+            own = gram[:block]  # a gram belongs to the block it starts in
+            total += np.bincount(((own + np.uint64(n << 40)) * _PRIME >> shift).astype(np.int64), minlength=buckets)
     return total
 
 

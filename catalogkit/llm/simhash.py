@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogkit.llm.common import settle
@@ -47,16 +47,18 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> int:
     return int(sum(1 << i for i, n in enumerate(bits.tolist()) if 2 * n > len(hashes)))
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 4) -> DataFrame:
-    """(doc_id, fp long): one row per row of ``docs``; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 4, mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp long, mark long): one row per row of ``docs``; fp holds the 64 bits as a signed long,
+    and ``mark`` is carried along (null by default)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "mark"])
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    tag = F.lit(None).cast("long") if mark is None else mark
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), tag.alias("mark"))
+    return chosen.mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 def covering_masks(radius: int, bits: int = 64) -> np.ndarray:
@@ -199,6 +201,16 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def memberships(prints: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
+    """(fp, root, component_id) for every distinct ``fp`` of (doc_id, fp): root names the component, and
+    component_id is its smallest known doc_id (null if there is none)."""
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(classes, radius, bucket_rows))
+    linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return linked.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, bucket_rows: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per row of ``docs``.
 
@@ -207,27 +219,30 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, bu
     Repeated rows keep a row each.  Rows with a null doc_id keep their fingerprint, and their component_id
     is the smallest known id among their component (null if there is none).  Extra columns are ignored.
     """
-    prints = settle(fingerprints(docs, shingle_words=shingle_words))
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes, radius, bucket_rows))
-    linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = linked.join(smallest, "root").select("fp", "component_id")
+    prints = settle(fingerprints(docs, shingle_words=shingle_words).drop("mark"))
+    members = memberships(prints, radius, bucket_rows)
     return prints.join(members, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id represents its component, with the columns of ``docs``.
+def keep_representatives(docs: DataFrame, radius: int = 4, shingle_words: int = 4, bucket_rows: int = 4096) -> DataFrame:
+    """One row of ``docs`` for each component, with the columns of ``docs``.
 
-    Of rows that repeat an id the one with the smallest remaining columns stays; rows without an id go,
-    as nothing tells them from their copies.
+    The row with the smallest doc_id stays, one without an id only where no row of its component has
+    one; rows that share the id are told apart by a hash of all their columns, and of rows that are
+    equal in all columns one stays.  Texts that share an id by mistake are thus judged each on its own.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), **options)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", "r.*").select(docs.columns)
+    mark = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    prints = settle(fingerprints(docs, shingle_words=shingle_words, mark=mark))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("r")
+    chosen = prints.join(memberships(prints, radius, bucket_rows), "fp").groupBy("root").agg(first).select("r.doc_id", "r.mark")
+    chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__chosen")))
+    marked = docs.withColumn("__mark", mark)
+    same = (F.col("__mark") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    kept = marked.join(chosen, same, "left_semi")
+    copied = prints.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("mark").alias("__mark")).distinct()
+    if copied.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(copied, "__mark", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(copied, "__mark", "left_semi").select(docs.columns).dropDuplicates())

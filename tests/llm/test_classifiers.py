@@ -86,3 +86,9 @@ def test_windows_without_rows_change_nothing():
     cache = toxicity._Rows(net.row_of)
     filler = "neutral filler words " * 500
     assert net.score(filler + "you idiot here" + filler, cache) > 0.5 > net.score(filler + "calm" + filler, cache)
+
+
+def test_long_texts_are_counted_in_blocks():
+    text = "Ein Wort, zwei Wörter und noch ein paar mehr. " * 40
+    whole = langid.ngram_counts(text, 4096)
+    assert all((langid.ngram_counts(text, 4096, block) == whole).all() for block in (1, 7, 100, len(text.encode()) - 1))

@@ -82,7 +82,18 @@ def test_groups_with_nulls_repeats_and_extra_columns(spark):
             assert fp == f"{fps[d]:016x}" and component == expected[d]
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, *sorted(set(expected.values()))]
+
+
+def test_one_row_of_each_component_stays(spark):
+    long, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [
+        (4, long, "b", None), (4, long, "a", None), (4, other, "a", 1), (4, other, "a", 1), (6, other, "z", 1), (None, long, "a", 1),
+        (None, "only here", None, 1), (None, "only here", None, 1), (None, "only here", "q", 1), (2, "clean one", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    kept = sorted(((r.doc_id or -1), r.text) for r in simhash.keep_representatives(docs).collect())
+    assert kept == sorted([(4, long), (4, other), (-1, "only here"), (2, "clean one")])
 
 
 def test_empty_table(spark):
