@@ -12,7 +12,7 @@ from catalogkit.functions import text
 from catalogkit.functions.empty import has_value, is_blank, is_unset
 from catalogkit.operators import audit, index, mapping, merge, names, ordered, rename, select, serving, tags
 from catalogkit.plans.adapters import oracle_views, view
-from catalogkit.sources import pages
+from catalogkit.sources import io, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -535,6 +535,113 @@ def newest_entities(spark: SparkSession, d: str) -> DataFrame:
     return serving.newest_entities(view(spark, d, "items"))
 
 
+@register("SELECT owner, count(*) AS n FROM items GROUP BY owner", ("items",))
+def items_per_owner(spark: SparkSession, d: str) -> DataFrame:
+    return audit.items_per_owner(view(spark, d, "items"))
+
+
+@register("SELECT CASE WHEN k % 3 = 0 THEN raw ELSE code END || '.json' AS file_name FROM items WHERE k % 3 = 0 AND raw NOT IN (SELECT code FROM items)", ("items",))
+def storage_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    items = view(spark, d, "items")
+    stored = items.select(F.concat(F.when(F.col("k") % 3 == 0, F.col("raw")).otherwise(F.col("code")), F.lit(".json")).alias("file_name"))
+    return audit.reconcile(stored, items)
+
+
+# a dictionary that knows some names as they are and the others in upper case only
+NAME_MAP = "SELECT CASE WHEN team IS NULL THEN upper(name) ELSE name END AS src, coalesce(team, 'none') AS dst FROM profiles"
+
+
+@register(
+    f"""WITH m AS ({NAME_MAP})
+        SELECT code, coalesce(a.dst, b.dst) AS team FROM items LEFT JOIN m a ON a.src = owner LEFT JOIN m b ON b.src = upper(owner)""",
+    ("items", "profiles"),
+)
+def dictionary_lookup(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.sql(NAME_MAP.replace("profiles", "{profiles}"), profiles=view(spark, d, "profiles"))
+    items = view(spark, d, "items").select("code", "owner", F.upper("owner").alias("upper_owner"))
+    return names.look_up_name(items, known, "owner", "upper_owner", "team").select("code", "team")
+
+
+@register(
+    """SELECT p.name, CASE WHEN c.name IS NOT NULL THEN c.name ELSE replace(p.name, 'Supplier', 'S') END AS hit
+       FROM profiles p LEFT JOIN curated c ON c.name = p.name WHERE c.name IS NOT NULL OR p.team IS NULL""",
+    ("profiles", "curated"),
+)
+def name_probe(spark: SparkSession, d: str) -> DataFrame:
+    short = F.replace("name", F.lit("Supplier"), F.lit("S"))
+    people = view(spark, d, "profiles")
+    directory = view(spark, d, "curated").union(people.where("team IS NULL").select(short))
+    spelt = people.select("name", F.array(F.concat("name", F.lit("?")), F.col("name"), short).alias("spellings"))
+    return names.probe_candidates(spelt, "spellings", directory)
+
+
+@register("SELECT i.code, nullif(p.avatar, '') AS avatar FROM items i LEFT JOIN profiles p ON p.name = i.owner AND p.avatar <> ''", ("items", "profiles"))
+def attached_values(spark: SparkSession, d: str) -> DataFrame:
+    known = view(spark, d, "profiles").select(F.col("name").alias("src"), F.col("avatar").alias("dst"))
+    return names.attach_value(view(spark, d, "items"), known, "owner", "avatar").select("code", "avatar")
+
+
+@register("SELECT code FROM items WHERE owner = 'Supplier#000000003'", ("items",))
+def entity_records(spark: SparkSession, d: str) -> DataFrame:
+    return serving.records_of(view(spark, d, "items"), "entity", "Supplier#000000003").select("code")
+
+
+@register("SELECT name FROM profiles WHERE team IS NULL", ("profiles",))
+def ungrouped_entities(spark: SparkSession, d: str) -> DataFrame:
+    return serving.entities_of_group(view(spark, d, "profiles"), "team", None).select("name")
+
+
+@register(
+    """SELECT "group", code, rank FROM (SELECT nullif(maker, '') AS "group", code,
+              CAST(row_number() OVER (PARTITION BY nullif(maker, '') ORDER BY coalesce(date, '') DESC, code) AS INT) AS rank FROM items) WHERE rank <= 3""",
+    ("items",),
+)
+def grouped_records(spark: SparkSession, d: str) -> DataFrame:
+    newest = [F.coalesce("date", F.lit("")).desc(), F.col("code")]
+    return serving.group_records(view(spark, d, "items"), F.col("maker"), newest, 3).select("group", "code", "rank")
+
+
+@register("SELECT alias, string_agg(DISTINCT canonical, '|' ORDER BY canonical) AS canonicals FROM edges GROUP BY alias", ("edges",))
+def alias_inversion(spark: SparkSession, d: str) -> DataFrame:
+    return io.invert_aliases(view(spark, d, "edges")).withColumn("canonicals", joined("canonicals"))
+
+
+@register("SELECT name FROM profiles UNION SELECT name FROM curated UNION SELECT owner FROM items WHERE owner <> ''", ("profiles", "curated", "items"))
+def entity_universe(spark: SparkSession, d: str) -> DataFrame:
+    owners = view(spark, d, "items").where("owner <> ''").select("owner")
+    return ordered.union_keys(view(spark, d, "profiles").select("name"), view(spark, d, "curated"), owners)
+
+
+@register("SELECT name FROM curated WHERE name NOT IN (SELECT name FROM profiles)", ("profiles", "curated"))
+def without_profile(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.difference(view(spark, d, "curated"), view(spark, d, "profiles"), ["name"])
+
+
+@register(
+    "SELECT maker, count(*) AS n, greatest(count(*) OVER () - 10, 0) AS omitted FROM items WHERE maker IS NOT NULL GROUP BY maker ORDER BY n DESC, maker LIMIT 10",
+    ("items",),
+)
+def head_of_report(spark: SparkSession, d: str) -> DataFrame:
+    makers = view(spark, d, "items").where("maker IS NOT NULL").groupBy("maker").agg(F.count("*").alias("n"))
+    return serving.head_and_rest(makers, [F.desc("n"), "maker"], 10)
+
+
+@register("SELECT coalesce(source, 'none') AS status, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM items GROUP BY 1", ("items",))
+def status_shares(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "items").withColumn("source", F.coalesce("source", F.lit("none")))
+    return audit.share_of_total(audit.status_counts(rows, "source"))
+
+
+@register("SELECT * EXCLUDE (r) FROM (SELECT code, source, title, row_number() OVER (PARTITION BY code ORDER BY priority DESC) AS r FROM observations WHERE trim(title) <> '') WHERE r = 1", ("observations",))
+def newest_observation(spark: SparkSession, d: str) -> DataFrame:
+    return ordered.keep_last(view(spark, d, "observations").where("trim(title) <> ''"), ["code"], ["priority"]).select("code", "source", "title")
+
+
+@register(f"SELECT count(DISTINCT {RESOLVED}) AS entities, count(*) AS items FROM items", ("items",))
+def global_counts(spark: SparkSession, d: str) -> DataFrame:
+    return index.global_counts(view(spark, d, "items"))
+
+
 @register(
     """WITH t AS (SELECT 0 AS ord, 'one' AS site, 'https://one.example.com/' AS head UNION ALL SELECT 1, 'two', 'https://two.example.com/'),
             l AS (SELECT code, 1 AS pos, 'source' AS site, 'https://one.example.com/' || code AS url FROM items WHERE k % 2 = 0
