@@ -4,10 +4,12 @@ Vectors are lifted to one common norm (a last component makes up what is missing
 order like closeness.  Each is represented by the order of its ``prefix`` nearest pivots and posted, with
 the place, in those pivots' inverted files.  The induced footrule distance of two prefixes is a constant
 less twice the sum of (prefix - larger place) over shared pivots, so adding up postings ranks a page's
-rows by footrule; the best ``share`` of them are reranked by exact inner products.
+vectors by footrule; the best ``share`` of them, and all that tie with the last, are reranked by exact
+inner products.
 
-The pivots are a bounded sample of ``pivots`` rows (those with the smallest id hashes); every row is
-indexed, and the share holds at every size, with at least ``least`` rows of a page.
+Equal vectors are one entry of the index, so that copies neither crowd out other vectors nor are lost
+among each other.  The pivots are a bounded sample of ``pivots`` distinct vectors (those with the smallest
+hashes); every vector is indexed, and the share holds at every size, with at least ``least`` of a page.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogkit.llm import search
-from catalogkit.llm.common import sample_by_hash
+from catalogkit.llm.common import sample_by_hash, settle
 
 MOST_LENGTHS = 100  # each length has pivots of its own, which go to every task
 
@@ -35,7 +37,7 @@ def _lift(vectors: np.ndarray, norm: float) -> np.ndarray:
 
 
 def post(ids: np.ndarray, vectors: np.ndarray, pivots: dict[int, np.ndarray], norm: float, prefix: int) -> dict:
-    """A page: its rows and the pivots' inverted files (rows and places, by pivot)."""
+    """A page: its vectors, the ids of each, and the pivots' inverted files (vectors and places, by pivot)."""
     own = pivots[vectors.shape[1]]
     prefix = min(prefix, len(own))
     seen = _nearest(_lift(vectors, norm), own, prefix)
@@ -54,15 +56,31 @@ def ranked(page: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, pivot
         rows = np.concatenate([page["rows"][a:b] for a, b in parts])
         gains = np.concatenate([np.minimum(page["gain"][a:b], prefix - i) for i, (a, b) in enumerate(parts)])
         near = np.bincount(rows, gains, n)
-        chosen = np.argpartition(-near, keep - 1)[:keep] if keep < n else np.arange(n)
-        chosen = chosen[page["ids"][chosen] != qid]
+        chosen = np.flatnonzero(near >= np.partition(near, n - keep)[n - keep])
         scores = np.einsum("ij,j->i", page["vectors"][chosen], q)
-        ids = page["ids"][chosen]
+        if len(chosen) > k:  # one entry may hold the query's own id alone
+            top = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            chosen, scores = chosen[top], scores[top]
+        held = [page["ids"][i] for i in chosen.tolist()]
+        ids, scores = np.concatenate(held), np.repeat(scores, list(map(len, held)))
+        ids, scores = ids[ids != qid], scores[ids != qid]
         best = np.lexsort((ids, -scores))[:k]
         out += [(qid, int(ids[i]), float(scores[i])) for i in best.tolist()]
     return out
 
 
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """(v, vec_id array<long>): each distinct vector of (vec_id, v) with the smallest of its ids, in order.
+
+    A query leaves out its own id, however often it repeats, so ``k`` rows of an id and 2 ``k`` rows of
+    a vector are all that can be among any query's ``k`` best.
+    """
+    own, alike = Window.partitionBy("v", "vec_id").orderBy("vec_id"), Window.partitionBy("v").orderBy("vec_id")
+    rows = rows.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k)
+    rows = rows.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= 2 * k)
+    return rows.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_id"))
+
+
 def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 128, prefix: int = 64, share: float = 0.15, least: int = 512, page_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, the ``k``
     nearest other rows found, nearest first, ties to the smaller vec_id; score is the exact inner product.
@@ -72,13 +90,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 1
     than MOST_LENGTHS lengths in one table raise an error.
     """
     rows = search.usable(vectors, drop_zero=True)
-    lengths = [r.d for r in rows.select(F.size("v").alias("d")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    distinct = settle(entries(rows, k))
+    lengths = [r.d for r in distinct.select(F.size("v").alias("d")).distinct().limit(MOST_LENGTHS + 1).collect()]
     if len(lengths) > MOST_LENGTHS:
         raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    norm = float(np.sqrt(rows.agg(F.max(square)).first()[0] or 0.0))
-    chosen = {d: sample_by_hash(rows.where(F.size("v") == d), "vec_id", pivots).collect() for d in lengths}
+    norm = float(np.sqrt(distinct.agg(F.max(square)).first()[0] or 0.0))
+    chosen = {d: sample_by_hash(distinct.where(F.size("v") == d), "v", pivots).collect() for d in lengths}
     chosen = {d: _lift(np.array([r.v for r in found]), norm) for d, found in chosen.items()}
-    index = search.build(rows, functools.partial(post, pivots=chosen, norm=norm, prefix=prefix), page_rows)
+    index = search.build(distinct, functools.partial(post, pivots=chosen, norm=norm, prefix=prefix), page_rows)
     visit = functools.partial(ranked, pivots=chosen, share=share, least=least)
     return search.search(index, rows.where(F.col("vec_id") % every == 0), visit, k, "double")

@@ -32,7 +32,9 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
 
 
 def build(rows: DataFrame, index_of: Callable[[np.ndarray, np.ndarray], object], page_rows: int) -> DataFrame:
-    """(dims, page, blob): an index for each page of at most about ``page_rows`` rows of equal length."""
+    """(dims, page, blob): an index for each page of at most about ``page_rows`` rows of equal length.
+
+    ``index_of`` gets each row's vec_id, a number or an array of them, and its vector."""
     numbered = settle(rows.select("vec_id", "v", F.size("v").alias("dims"), F.monotonically_increasing_id().alias("row")))
     pages = max(1, -(-numbered.count() // page_rows))
 

@@ -70,3 +70,28 @@ def test_permutation_recall(spark):
         assert [s for _, _, s in sorted(got[q])] == pytest.approx([float(x[where[q]] @ x[where[v]]) for v in found], abs=1e-12)
         hits += len({v for v, _ in best} & set(found))
     assert hits / (20 * len(exact)) >= 0.9
+
+
+def test_permutation_recall_with_a_third_of_the_rows_equal(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    x[rng.permutation(6000)[:2000]] = x[0]
+    found = permutation.neighbours(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), every=40, page_rows=2048)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    exact = {q: [v for v, _ in best] for q, best in brute(range(6000), x, 40, 20).items()}
+    assert set(got) == set(exact)
+    same = {q for q in exact if (x[q] == x[0]).all()}
+    assert all([v for _, v in sorted(got[q])] == exact[q] for q in same)  # the smallest ids of the group
+    others = [len(set(exact[q]) & {v for _, v in got[q]}) / 20 for q in exact if q not in same]
+    assert np.mean(others) >= 0.9
+
+
+def test_permutation_leaves_out_a_repeated_id_of_equal_vectors(spark):
+    rows = [(0, [1.0, 0.0], 0)] * 30 + [(i, [1.0, 0.0], 0) for i in range(1, 8)] + [(8, [0.5, 0.0], 0)] * 3
+    got = permutation.neighbours(table(spark, rows), k=6).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 7)]
+    got = permutation.neighbours(table(spark, rows), k=9).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 6, 7, 8, 8]
