@@ -233,10 +233,21 @@ def keep_representatives(docs: DataFrame, radius: int = 4, shingle_words: int =
     one; rows that share the id are told apart by a hash of all their columns, and of rows that are
     equal in all columns one stays.  Texts that share an id by mistake are thus judged each on its own.
     """
-    mark = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    mark = row_mark(docs)
     prints = settle(fingerprints(docs, shingle_words=shingle_words, mark=mark))
+    return first_of_each(docs, mark, prints, memberships(prints, radius, bucket_rows))
+
+
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of all columns."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
+def first_of_each(docs: DataFrame, mark: Column, prints: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one per root: ``prints`` holds (doc_id, mark, fp) of every row and
+    ``members`` (fp, root) of every fp."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("r")
-    chosen = prints.join(memberships(prints, radius, bucket_rows), "fp").groupBy("root").agg(first).select("r.doc_id", "r.mark")
+    chosen = prints.join(members, "fp").groupBy("root").agg(first).select("r.doc_id", "r.mark")
     chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__chosen")))
     marked = docs.withColumn("__mark", mark)
     same = (F.col("__mark") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
