@@ -5,8 +5,8 @@ language the vectors of a bounded sample of labelled rows are clustered by spher
 takes the language of the centroid with the greatest cosine.  It is rejected when that cosine is below
 the language's own floor: a low quantile of the cosines of its training texts, less a margin.
 
-The fit reads at most ``sample_rows`` labelled rows (those with the smallest id hashes) of at most
-``longest`` characters; scoring reads every whole text.
+The fit reads a bounded sample of the labelled rows of each language, so that a language is learned however
+rare it is; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import fold, sample_by_hash
+from catalogkit.llm.common import fold
 
 UNKNOWN = "und"
 _LETTERS_ONLY = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -61,8 +61,11 @@ class Centroids:
     floors: dict[str, float]
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        rows = np.log1p(np.stack([ngram_counts(t, self.buckets) for t in texts])) * self.idf
-        return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        out = np.zeros((len(texts), self.buckets), np.float32)
+        for at in range(0, len(texts), 256):
+            rows = np.log1p(np.stack([ngram_counts(t, self.buckets) for t in texts[at : at + 256]])) * self.idf
+            out[at : at + 256] = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.langs:
@@ -85,12 +88,29 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def sample(labelled: DataFrame, sample_rows: int, longest: int, least: int = 200, most_long: int = 50) -> DataFrame:
+    """(doc_id, lang, text): for each language its rows with the smallest id hashes, one per id.
+
+    Up to ``sample_rows`` rows of a language; with more than four languages they share 4 ``sample_rows``, but
+    have ``least`` each.  Texts over ``longest`` characters come after all others, at most ``most_long``.
+    """
+    usable = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike("\\p{L}"))
+    own = F.struct((F.length("text") > longest).alias("long"), F.xxhash64("text").alias("hash"))
+    ids = usable.groupBy("lang", "doc_id").agg(F.min(own).alias("own")).select("lang", "doc_id", "own.*")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    first = ids.withColumn("rank", rank).where(F.col("rank") <= sample_rows).collect()
+    langs = len({r.lang for r in first})
+    share = min(sample_rows, max(least, 4 * sample_rows // max(1, langs)))
+    chosen = [(r.lang, r.doc_id, r.hash) for r in first if r.rank <= (most_long if r.long else share)]
+    types = dict(labelled.select("lang", "doc_id").dtypes)
+    wanted = labelled.sparkSession.createDataFrame(chosen, f"lang {types['lang']}, doc_id {types['doc_id']}, hash long")
+    found = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(wanted), ["lang", "doc_id", "hash"])
+    return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
 def fit(labelled: DataFrame, sample_rows: int = 3000, longest: int = 20_000, clusters: int = 4, buckets: int = 4096) -> Centroids:
-    """Learns centroids from rows (doc_id, text, lang); null languages, null and letterless texts are left out."""
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= longest)
-    ids = sample_by_hash(usable.select("doc_id").distinct(), "doc_id", sample_rows)
-    rows = usable.join(ids, "doc_id").select("doc_id", "lang", "text").limit(2 * sample_rows).collect()
-    rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (r.doc_id, r.lang, r.text))
+    """Learns centroids from rows (doc_id, text, lang); null ids and languages, null and letterless texts are left out."""
+    rows = sorted((r for r in sample(labelled, sample_rows, longest).collect() if has_letter(r.text)), key=lambda r: (r.doc_id, r.lang, r.text))
     model = Centroids(buckets, np.ones(buckets), np.zeros((0, buckets), np.float32), [], {})
     if not rows:
         return model
@@ -98,14 +118,17 @@ def fit(labelled: DataFrame, sample_rows: int = 3000, longest: int = 20_000, clu
     for r in rows:
         seen += ngram_counts(r.text, buckets) > 0
     model.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    parts = []
+    parts, trust = [], []
     for lang in sorted({r.lang for r in rows}):
         own = model.vectors([r.text for r in rows if r.lang == lang])
         centers = _cluster(own, clusters).astype(np.float32)
         parts.append(centers)
         model.langs += [lang] * len(centers)
-        model.floors[lang] = max(0.02, 0.5 * float(np.quantile(np.max(own @ centers.T, axis=1), 0.01)))
+        model.floors[lang] = 0.5 * float(np.quantile(np.max(own @ centers.T, axis=1), 0.01))
+        trust.append(len(own) / (len(own) + 100) if len(own) > clusters else 0.0)  # few rows are their own centroids
     model.matrix = np.concatenate(parts)
+    common = float(np.average(list(model.floors.values()), weights=trust)) if any(trust) else 0.0
+    model.floors = {x: max(0.02, w * own + (1 - w) * common) for w, (x, own) in zip(trust, model.floors.items())}
     return model
 
 

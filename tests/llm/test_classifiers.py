@@ -92,3 +92,36 @@ def test_long_texts_are_counted_in_blocks():
     text = "Ein Wort, zwei Wörter und noch ein paar mehr. " * 40
     whole = langid.ngram_counts(text, 4096)
     assert all((langid.ngram_counts(text, 4096, block) == whole).all() for block in (1, 7, 100, len(text.encode()) - 1))
+
+
+def rare_language(docs, rows):
+    """Rows of all languages, of which ``rows`` in Spanish."""
+    own = docs.where("lang = 'es' AND length(text) > 1500").orderBy("doc_id")
+    return docs.where("lang <> 'es'").unionByName(own.limit(rows)), own
+
+
+def test_a_rare_language_is_learned(docs):
+    few, own = rare_language(docs, 6)
+    model = langid.fit(few, sample_rows=40)
+    assert set(model.langs) == {r.lang for r in docs.select("lang").distinct().collect()}
+    assert len(langid.sample(few, 40, 20_000).where("lang = 'es'").collect()) == 6
+    assert np.mean([r.lang_pred == "es" for r in langid.predict(own, model).collect()]) > 0.9
+
+
+@pytest.mark.parametrize("rows", [1, 4])
+def test_a_language_with_few_rows_rejects_few_texts(docs, rows):
+    few, _ = rare_language(docs, rows)
+    assert np.mean([r.rejected for r in langid.predict(docs, langid.fit(few)).collect()]) < 0.02
+
+
+def test_long_texts_teach_a_language_without_others(spark, docs):
+    long = spark.createDataFrame([(10**6 + i, "ξψω θυρ ζηβ " * 2000, "el") for i in range(3)], "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("doc_id", "text", "lang").unionByName(long))
+    assert langid.predict(long, model).first().lang_pred == "el"
+
+
+def test_a_repeated_row_is_sampled_once(spark, docs):
+    rows = docs.select("doc_id", "text", "lang")
+    again = rows.where("lang = 'en'").limit(1).crossJoin(spark.range(400)).drop("id")
+    key = lambda found: sorted((r.doc_id, r.lang) for r in found.collect())
+    assert key(langid.sample(rows.unionByName(again), 100, 20_000)) == key(langid.sample(rows, 100, 20_000))
