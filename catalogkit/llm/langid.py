@@ -3,7 +3,9 @@
 A text becomes the TF-IDF vector of its hashed byte n-grams (sublinear counts, unit length).  For each
 language the vectors of a bounded sample of labelled rows are clustered by spherical k-means; a text
 takes the language of the centroid with the greatest cosine.  It is rejected when that cosine is below
-the language's own floor: a low quantile of the cosines of its training texts, less a margin.
+the floor for its variety, the number of its distinct n-grams: longer texts of a language lie closer to its
+centroids, and random letters of the same length do not.  Floors are low quantiles of the cosines of
+training texts to centroids fitted without them.
 
 The fit reads a bounded sample of the labelled rows of each language, so that a language is learned however
 rare it is; scoring reads every whole text.
@@ -52,27 +54,39 @@ def ngram_counts(text: str, buckets: int, block: int = 1 << 20) -> np.ndarray:
     return total
 
 
+def variety_bin(variety: np.ndarray) -> np.ndarray:
+    """Half octaves of the number of distinct n-grams."""
+    return np.floor(2 * np.log2(np.maximum(variety, 1))).astype(int)
+
+
 @dataclass
 class Centroids:
     buckets: int
     idf: np.ndarray
     matrix: np.ndarray  # one unit row per centroid
     langs: list[str]  # of each row
-    floors: dict[str, float]
+    floors: dict[str, np.ndarray]  # of each language, by variety_bin
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.buckets), np.float32)
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors, and the number of distinct n-grams."""
+        out, variety = np.zeros((len(texts), self.buckets), np.float32), np.zeros(len(texts), int)
         for at in range(0, len(texts), 256):
-            rows = np.log1p(np.stack([ngram_counts(t, self.buckets) for t in texts[at : at + 256]])) * self.idf
+            counts = np.stack([ngram_counts(t, self.buckets) for t in texts[at : at + 256]])
+            rows = np.log1p(counts) * self.idf
             out[at : at + 256] = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        return out
+            variety[at : at + 256] = (counts > 0).sum(axis=1)
+        return out, variety
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        """The language, score and rejection of each text."""
         if not self.langs:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        cosine = self.vectors(texts) @ self.matrix.T
-        best = cosine.argmax(axis=1)
-        return [self.langs[i] for i in best.tolist()], np.clip(cosine.max(axis=1), 0, 1).astype(float).tolist()
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+        vectors, variety = self.measure(texts)
+        cosine = vectors @ self.matrix.T
+        langs = [self.langs[i] for i in cosine.argmax(axis=1).tolist()]
+        scores = np.clip(cosine.max(axis=1), 0, 1).astype(float)
+        floors = np.array([self.floors[x][b] for x, b in zip(langs, variety_bin(variety).tolist())])
+        return langs, scores.tolist(), (scores < floors).tolist()
 
 
 def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -88,6 +102,38 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def _held_out(rows: np.ndarray, clusters: int, folds: int = 3) -> np.ndarray:
+    """Each row's greatest cosine to centroids of the other folds; needs two rows."""
+    part, out = np.arange(len(rows)) % min(folds, len(rows)), np.zeros(len(rows))
+    for i in np.unique(part):
+        out[part == i] = np.max(rows[part == i] @ _cluster(rows[part != i], clusters).T, axis=1)
+    return out
+
+
+def _floors(cosines: dict[str, np.ndarray], varieties: dict[str, np.ndarray], counts: dict[str, int], buckets: int, low: float = 0.003, margin: float = 0.95, enough: int = 50) -> dict[str, np.ndarray]:
+    """Each language's floor by bin: the common one of all held-out rows, lower for a language of few rows and
+    where the language's own rows lie lower."""
+    top = int(variety_bin(np.array([buckets]))[0]) + 1
+    known = [x for x in cosines if len(cosines[x]) >= enough] or list(cosines)
+    if not known:
+        return {x: np.full(top, 0.02) for x in counts}
+    cosine, bins = np.concatenate([cosines[x] for x in known]), variety_bin(np.concatenate([varieties[x] for x in known]))
+    common = np.zeros(top)
+    for i in range(top):
+        near = bins == i
+        for lower in range(i - 1, -1, -1):  # shorter texts lie lower, so that they only loosen the floor
+            if near.sum() >= enough:
+                break
+            near |= bins == lower
+        common[i] = margin * np.quantile(cosine[near], low) if near.any() else 0.0
+    out = {}
+    for x, n in counts.items():
+        own = cosines.get(x, np.empty(0))
+        lower = min(1.0, float(np.quantile(own / np.maximum(common[variety_bin(varieties[x])], 0.02), low))) if len(own) else 1.0
+        out[x] = np.maximum(0.02, common * min(lower, 0.5 + 0.5 * n / (n + 50)))
+    return out
+
+
 def sample(labelled: DataFrame, sample_rows: int, longest: int, least: int = 200, most_long: int = 50) -> DataFrame:
     """(doc_id, lang, text): for each language its rows with the smallest id hashes, one per id.
 
@@ -118,17 +164,17 @@ def fit(labelled: DataFrame, sample_rows: int = 3000, longest: int = 20_000, clu
     for r in rows:
         seen += ngram_counts(r.text, buckets) > 0
     model.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    parts, trust = [], []
+    parts, cosines, varieties, counts = [], {}, {}, {}
     for lang in sorted({r.lang for r in rows}):
-        own = model.vectors([r.text for r in rows if r.lang == lang])
+        own, variety = model.measure([r.text for r in rows if r.lang == lang])
         centers = _cluster(own, clusters).astype(np.float32)
         parts.append(centers)
         model.langs += [lang] * len(centers)
-        model.floors[lang] = 0.5 * float(np.quantile(np.max(own @ centers.T, axis=1), 0.01))
-        trust.append(len(own) / (len(own) + 100) if len(own) > clusters else 0.0)  # few rows are their own centroids
+        counts[lang] = len(own)
+        if len(own) > 1:
+            cosines[lang], varieties[lang] = _held_out(own, clusters), variety
+    model.floors = _floors(cosines, varieties, counts, buckets)
     model.matrix = np.concatenate(parts)
-    common = float(np.average(list(model.floors.values()), weights=trust)) if any(trust) else 0.0
-    model.floors = {x: max(0.02, w * own + (1 - w) * common) for w, (x, own) in zip(trust, model.floors.items())}
     return model
 
 
@@ -147,11 +193,10 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
                 piece = batch.slice(at, 256)
                 texts = piece.column(1).to_pylist()
                 spoken = [i for i, t in enumerate(texts) if has_letter(t)]
-                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                langs, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if spoken:
-                    for i, lang, score in zip(spoken, *m.predict([texts[i] for i in spoken])):
-                        langs[i], scores[i] = lang, score
-                rejected = [x == UNKNOWN or s < m.floors[x] for x, s in zip(langs, scores)]
+                    for i, *found in zip(spoken, *m.predict([texts[i] for i in spoken])):
+                        langs[i], scores[i], rejected[i] = found
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -169,10 +214,8 @@ def keep_spoken(docs: DataFrame, model: Centroids) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 texts = batch.column(place).slice(at, 256).to_pylist()
                 spoken = [t for t in texts if has_letter(t)]
-                found = iter(zip(*m.predict(spoken))) if spoken else iter(())
-                for t in texts:
-                    lang, score = next(found) if has_letter(t) else (UNKNOWN, 0.0)
-                    keep.append(lang != UNKNOWN and score >= m.floors[lang])
+                rejected = iter(m.predict(spoken)[2]) if spoken else iter(())
+                keep += [has_letter(t) and not next(rejected) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -125,3 +125,17 @@ def test_a_repeated_row_is_sampled_once(spark, docs):
     again = rows.where("lang = 'en'").limit(1).crossJoin(spark.range(400)).drop("id")
     key = lambda found: sorted((r.doc_id, r.lang) for r in found.collect())
     assert key(langid.sample(rows.unionByName(again), 100, 20_000)) == key(langid.sample(rows, 100, 20_000))
+
+
+def test_latin_gibberish_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = [" ".join("".join(rng.choice(letters, rng.integers(2, 11))) for _ in range(n)) for n in (20, 50, 200, 1000)]
+    noise += ["\n".join(rng.bytes(32).hex() for _ in range(n)) for n in (2, 20, 100)]
+    noise += ["La cucina della nonna era sempre piena di profumi e di voci, e la domenica tutta la famiglia si riuniva intorno al grande tavolo per mangiare insieme."]
+    noise += ["W niedzielę cała rodzina spotykała się przy dużym stole, żeby wspólnie zjeść obiad i opowiedzieć sobie, co wydarzyło się w ciągu tygodnia."]
+    odd = spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string")
+    assert [r.doc_id for r in langid.predict(odd, langid.fit(docs)).where("NOT rejected").collect()] == []
+    left_out = langid.predict(docs.where("lang = 'fr' AND length(text) > 200"), langid.fit(docs.where("lang <> 'fr'"))).collect()
+    assert np.mean([r.rejected for r in left_out]) > 0.9
