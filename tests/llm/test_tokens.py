@@ -1,4 +1,6 @@
 import hashlib
+import json
+import time
 import zlib
 
 import numpy as np
@@ -8,13 +10,13 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from catalogkit.llm import bpe, packing
+from catalogkit.llm import bpe, packing, tokens
 from catalogkit.llm.tokens import EOS, WordTokenizer, ranks_of
 
 RANKS = ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 PLAIN = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 FILE = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = st.text(alphabet=st.sampled_from("abces'tl \n\t.,!é漢ü1２ 的　"), max_size=200)
+TEXTS = st.text(alphabet=st.sampled_from("abces'tl \n\t.,!é漢ü1２ 的　\x1c\x85²_"), max_size=200)
 
 
 @settings(max_examples=300, deadline=None)
@@ -30,12 +32,63 @@ def test_tree_equals_the_library(text, leaf, search):
     assert codec.decode(ids, leaf=3) == text.encode()
 
 
-@pytest.mark.parametrize("text", ["x" * 30_000, "ab1" * 9_000, "\n" * 20_000 + "a", "'s" * 9_000, "wordword" * 4_000, "7" * 20_000, "é" * 20_000])
-def test_long_runs(text):
-    codec = bpe.TreeCodec(RANKS, leaf=2048)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "ab", "'", "'s", "7", "!", " ", "\n", "é", "的", "x1", "re"]), st.integers(1, 90)), max_size=8))
+def test_tree_over_runs_equals_the_library(parts):
+    text = "".join(p * n for p, n in parts)
+    codec = bpe.TreeCodec(RANKS, leaf=16)
     assert codec.encode(text) == PLAIN.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", ["a", "x", "Z", "7", "!", "é", "的", "ab1", "'", "'s", "word", "\n", " "])
+@pytest.mark.parametrize("length", [16_385, 30_011, 200_001])
+def test_long_runs_end_soon(unit, length):
+    text = (unit * length)[:length]
+    codec = bpe.TreeCodec.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    began = time.process_time()
+    ids = codec.encode(text)
+    assert time.process_time() - began < 5
+    assert ids == PLAIN.encode_ordinary(text) and codec.decode(ids) == text.encode()
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, " " * 1_000_000 + "x", "\n  x" * 50_000])
+def test_white_space_takes_linear_time(text):
+    codec = bpe.TreeCodec.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    began = time.process_time()
+    ids, same = codec.encode(text), codec.encoder.encode(text)
+    packed = WordTokenizer.load(FILE).encode(text)
+    assert time.process_time() - began < 8
+    assert ids == same and codec.decode(ids) == text.encode() and len(packed) > 0
+    parts = [text[:7], *(text[i : i + 5] for i in range(7, 60, 5))]  # the library itself overflows on the whole text
+    assert all(codec.encode(p) == PLAIN.encode_ordinary(p) for p in parts)
+
+
+def test_pairs_are_judged_as_the_library_merges():
+    codec = bpe.TreeCodec.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rng = np.random.default_rng(3)
+    spelled = [t for t in RANKS if t.isalpha() and len(t) < 9]
+    for a, b in rng.choice(len(spelled), (400, 2)).tolist():
+        x, y = spelled[a], spelled[b]
+        assert codec._pair(RANKS[x], RANKS[y]) == (PLAIN.encode_ordinary((x + y).decode()) == [RANKS[x], RANKS[y]])
+
+
+def test_encoding_of_nothing(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    none = spark.createDataFrame([], "doc_id long, text string, ids int")
+    assert bpe.digests(none, path).collect() == bpe.encode(none, path).collect() == bpe.decode(bpe.encode(none, path), path).collect() == []
+
+
+def test_only_an_equal_file_takes_the_fast_path():
+    with open(FILE) as f:
+        own = json.load(f)
+    ranks = ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert tokens.same_as_ranks(own, ranks)
+    assert not tokens.same_as_ranks(own, RANKS)  # as many entries
+    assert not tokens.same_as_ranks(own | {"normalizer": {"type": "Lowercase"}}, ranks)
+    assert not tokens.same_as_ranks(own | {"pre_tokenizer": own["pre_tokenizer"] | {"add_prefix_space": True}}, ranks)
+    assert not tokens.same_as_ranks(own | {"model": own["model"] | {"merges": own["model"]["merges"][::-1]}}, ranks)
+
+
 def test_digests_with_nulls(spark):
     rows = [(1, "Hello  world\n"), (2, None), (3, ""), (3, ""), (None, "<|endoftext|>")]
     got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).collect()
