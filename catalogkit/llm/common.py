@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests on one
-    machine) gets a folder of its own.
+    The folder is the session's ``spark.checkpoint.dir``; a session without one gets a folder of its own on a
+    local master (one machine, as in tests) and an error on a cluster.  Spark removes checkpoints that are
+    no longer used where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
@@ -36,17 +39,43 @@ def sample_by_hash(df: DataFrame, id_column: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(id_column), id_column).limit(n)
 
 
-def running_sum(df: DataFrame, amount: str, out: str, keys: list[str], block: str, order: list[str]) -> DataFrame:
-    """Adds ``out``: the sum of ``amount`` over the rows of the same ``keys`` before this one in the
-    order (``block``, then ``order``).  Keys and block hold no nulls.
+def running_sum(df: DataFrame, amount: str, out: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``out``: the sum of ``amount`` over the rows of the same ``keys`` before this one in ``order``.  Keys hold
+    no nulls, and no two rows are equal in keys and order.
 
-    Two levels, so that a key holding most rows is spread over its blocks: a window inside each
-    (keys, block), and a window over the block totals, of which there are few.
+    Two levels, so that a key holding most rows is spread: ranges of (keys, order) of about equal size, a
+    window inside each key and range, and a window over the range totals, of which there are few.
     """
-    inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("__in_block", F.coalesce(F.sum(amount).over(inside), F.lit(0)).cast("long"))
-    totals = df.groupBy(*keys, block).agg(F.sum(amount).alias("__total"))
-    across = Window.orderBy(block) if not keys else Window.partitionBy(*keys).orderBy(block)
+    ranged = settle(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("__in_range", F.coalesce(F.sum(amount).over(inside), F.lit(0)).cast("long"))
+    totals = ranged.groupBy(*keys, "__range").agg(F.sum(amount).alias("__total"))
+    across = Window.orderBy("__range") if not keys else Window.partitionBy(*keys).orderBy("__range")
     across = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, block, F.coalesce(F.sum("__total").over(across), F.lit(0)).cast("long").alias("__before"))
-    return local.join(offsets, [*keys, block]).withColumn(out, F.col("__before") + F.col("__in_block")).drop("__before", "__in_block")
+    offsets = totals.select(*keys, "__range", F.coalesce(F.sum("__total").over(across), F.lit(0)).cast("long").alias("__before"))
+    return local.join(offsets, [*keys, "__range"]).withColumn(out, F.col("__before") + F.col("__in_range")).drop("__before", "__in_range", "__range")
+
+
+def attach(left: DataFrame, right: DataFrame, key: str, total: int, most: int = 1000) -> DataFrame:
+    """``left`` joined to ``right`` (a row per ``key``, with ``n``, its number of rows in ``left``), however many rows a
+    key holds; n is dropped.
+
+    Keys with more than 1 / ``most`` of all ``total`` rows are fewer than ``most``, so that they are broadcast; the
+    others meet in an ordinary join.  ``left`` is read twice.
+    """
+    hot = F.broadcast(right.where(F.col("n") * most > total))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") * most <= total).drop("n"), key)
+    return rest.unionByName(left.join(hot.drop("n"), key))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not among ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_text_per_id(rows: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, *others, text) with one row for each: of several texts the one with the smallest hash."""
+    return rows.groupBy("doc_id", *others).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

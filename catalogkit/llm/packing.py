@@ -12,8 +12,8 @@ The documents, in order of round, source and queue position, form one stream tha
 ``length`` tokens.  Every sequence but the last is full, and the last is cut into powers of two, which
 are not padded.
 
-Scale.  Positions in the queues and in the stream are two-level running sums, whose blocks are small
-whatever a source's size.  Token ids are computed once, checkpointed as 16- or 32-bit integers, and
+Scale.  Positions in the queues and in the stream are two-level running sums over ranges of equal size,
+whatever a source's.  Token ids are computed once, checkpointed as 16- or 32-bit integers, and
 meet their cuts in one join on a row number.
 """
 
@@ -69,21 +69,21 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, source string, n long, ids binary")
 
 
-def schedule(docs: DataFrame, window_tokens: int = 131_072, shares: dict[str, float] | None = None, block_rows: int = 8192) -> DataFrame:
+def schedule(docs: DataFrame, window_tokens: int = 16_384, shares: dict[str, float] | None = None) -> DataFrame:
     """(row, n, start): the place of each document in the stream, from (row, place, source, n).
 
     A queue is in order of ``place``, a hash of the document's id, so that the result does not depend on how
     the input is split; only rows that repeat an id are told apart by ``row``.
 
     ``shares`` maps sources to target proportions of a window's tokens; a source without one (and every
-    source by default) gets its natural share, so that all queues last until the end.
+    source by default) gets its natural share, so that all queues last until the end.  A source that runs dry earns
+    no more: later rounds hold the others in their proportions, and the sequences stay full.
     """
     total = docs.agg(F.sum("n").alias("t"), F.count("*").alias("rows")).first()
     if not total.rows:
         return docs.select("row", "n", F.lit(0).cast("long").alias("start"))
-    blocks = -(-total.rows // block_rows)
     docs = docs.withColumn("queue", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # a null source is a queue too
-    queues = running_sum(docs.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks))), "n", "position", ["queue"], "block", ["place", "row"])
+    queues = running_sum(docs, "n", "position", ["queue"], ["place", "row"])
     share = F.col("tokens") / F.lit(float(total.t))
     if shares:
         # a dictionary given by the caller, of the size of its own literal
@@ -98,9 +98,7 @@ def schedule(docs: DataFrame, window_tokens: int = 131_072, shares: dict[str, fl
         "row", "n", "queue", "position",
         F.expr(f"(position + cast(floor(phase * n) as bigint)) * {FIXED} div quantum").alias("round"),
     )
-    # a round is a block of the stream, and 4,096 rounds a block of rounds
-    by_round = rounds.groupBy("round").agg(F.sum("n").alias("tokens")).withColumn("era", F.expr("round div 4096"))
-    starts = running_sum(by_round, "tokens", "base", [], "era", ["round"]).select("round", "base")
+    starts = running_sum(rounds.groupBy("round").agg(F.sum("n").alias("tokens")), "tokens", "base", [], ["round"]).select("round", "base")
     inside = "sum(n) over (partition by round order by queue, position, row rows between unbounded preceding and 1 preceding)"
     local = rounds.withColumn("inside", F.coalesce(F.expr(inside), F.lit(0)))
     return local.join(starts, "round").select("row", "n", (F.col("base") + F.col("inside")).alias("start"))

@@ -1,7 +1,8 @@
 """Sharding by histogram sort: near-equal bytes per shard, contiguous in a hashed key.
 
 A row's key is the hash of its text with a hash of its id below it, so that equal texts stay together
-unless a splitter has to cut through a group that is too large.  The splitters are found without sorting:
+unless a splitter has to cut through a group that is too large.  Rows that repeat both are numbered, so that the
+shards depend on the rows alone, however they are split.  The splitters are found without sorting:
 in each round the exact bytes below a set of candidate boundaries are counted in all partitions, and each
 splitter's interval shrinks around its target until a boundary meets the tolerance.  Boundaries between
 groups are tried before those inside one.  Rows are then exchanged once, to their shard.
@@ -18,15 +19,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import running_sum, settle
+from catalogkit.llm.common import fresh, running_sum, settle
 
 LOW_BITS = 22  # of the key come from the row, the 41 bits above from its text
 TOP = 1 << 63
 
 
-def sort_key(text: str = "text", row: str = "doc_id") -> Column:
-    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 23), LOW_BITS)
-    return high.bitwiseOR(F.xxhash64(row, F.lit(5)).bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+def sort_key(text: Column, *told_apart: Column) -> Column:
+    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 23), LOW_BITS)
+    return high.bitwiseOR(F.xxhash64(*told_apart, F.lit(5)).bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, key, twin): twin counts the rows of equal doc_id and text before this one."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = settle(docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("nameless"), F.xxhash64(text).alias("hash"),
+        (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sort_key(F.col("text"), F.col("doc_id").cast("long")).alias("key"),
+        F.monotonically_increasing_id().alias("row"), F.lit(1).alias("one"), F.lit(0).cast("long").alias("twin"),
+    ))
+    same = ["id", "nameless", "hash", "size", "text_crc32"]
+    if not rows.groupBy(*same).count().where("count > 1").isEmpty():
+        told = running_sum(rows.drop("twin"), "one", "twin", same, ["row"])
+        own = sort_key(F.lit(None).cast("string"), F.col("id"), F.col("nameless"), F.col("twin")).bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+        repeat = F.shiftleft(F.shiftright("key", LOW_BITS), LOW_BITS).bitwiseOR(own)
+        rows = settle(told.withColumn("key", F.when(F.col("twin") > 0, repeat).otherwise(F.col("key"))))
+    return rows.select(F.when(~F.col("nameless"), F.col("id")).alias("doc_id"), "size", "text_crc32", "key", "twin")
 
 
 def bytes_below(rows: DataFrame, probes: np.ndarray) -> np.ndarray:
@@ -75,39 +93,38 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.005, fan: int =
     return sorted(b for _, b in best)
 
 
-def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, block_rows: int = 8192) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, key): a row per row of ``docs``.
 
-    size is the text's UTF-8 bytes (none for a null text) plus 16.  Rows that repeat id and text are told
-    apart by their place in the input.  slot numbers a shard's rows from 0 without gaps.  An empty table
-    gives no rows; with fewer rows than shards some shards stay empty.  Extra columns are ignored.
+    size is the text's UTF-8 bytes (none for a null text) plus 16; null ids are ids like others.  slot numbers a
+    shard's rows from 0 without gaps, in the order of the keys.  The result is the same however the input is
+    split.  A shard's bytes are within ``tolerance`` of the mean unless a text larger than that lies at its
+    edge.  An empty table gives no rows; with fewer rows than shards some shards stay empty.  Extra columns are
+    ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    rows = settle(rows.select(
-        "doc_id", "row", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        sort_key(row="row").alias("key"),
-    ))
+    rows = keyed(docs)
     cut = np.array(splitters(rows, shards, tolerance), np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.searchsorted(cut, np.asarray(batch.column("key")), side="right").astype(np.int32)
-            yield batch.append_column("shard", pa.array(at))
+            yield batch.append_column("shard", pa.array(at)).append_column("one", pa.array(np.ones(len(at), np.int32)))
 
-    schema = "doc_id long, row long, size long, text_crc32 long, key long, shard int"
-    blocks = max(1, -(-rows.count() // (shards * block_rows)))
-    placed = rows.mapInArrow(place, schema).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("one", F.lit(1))
-    return running_sum(placed, "one", "slot", ["shard"], "block", ["key", "row"]).select(
+    # two texts may share a key: id and checksum settle their order
+    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, twin long, shard int, one int")
+    return running_sum(placed, "one", "slot", ["shard"], ["key", "doc_id", "twin", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "key"
     )
 
 
-def write(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.005) -> None:
-    """Writes the rows of ``docs`` as one Parquet folder per shard, by the same law."""
-    key = sort_key(row="__row")
+def write(docs: DataFrame, path: str, shards: int = 40, tolerance: float = 0.005, files: int = 1) -> None:
+    """Writes the rows of ``docs`` as one Parquet folder per shard, by the same law, in one exchange.
+
+    Each shard gets ``files`` files.  Rows that repeat id and text are equal to the law and share a key here.
+    """
+    key, shard_of, file_of = sort_key(F.col("text"), F.col("doc_id").cast("long")), fresh("shard", docs.columns), fresh("file", docs.columns)
     sized = (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 16).cast("long").alias("size")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    cut = splitters(settle(numbered.select(key.alias("key"), sized)), shards, tolerance)
+    cut = splitters(settle(docs.select(key.alias("key"), sized)), shards, tolerance)
     to = F.size(F.filter(F.array(*[F.lit(c) for c in cut]).cast("array<bigint>"), lambda c: c <= key))
-    numbered.withColumn("shard", to).drop("__row").write.mode("overwrite").partitionBy("shard").parquet(path)
+    numbered = docs.withColumn(shard_of, to).withColumn(file_of, F.pmod(F.xxhash64(key), F.lit(files)))
+    numbered.repartition(shards * files, shard_of, file_of).drop(file_of).write.mode("overwrite").partitionBy(shard_of).parquet(path)

@@ -141,7 +141,7 @@ def pieces_are_whole(pieces, rows, length=2048):
 def test_packing_is_whole(spark):
     rows = [(i, f"src{i % 3}" if i % 5 else None, "word " * (i * 7 % 900) if i % 11 else None) for i in range(120)] + [(999, "rare", "x " * 20_000), (1000, "", "<|endoftext|> is text here")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS row", "2 AS n", "3 AS block")
-    pieces = packing.pack(docs, FILE, window_tokens=4096, block_rows=16).collect()
+    pieces = packing.pack(docs, FILE, window_tokens=4096).collect()
     pieces_are_whole(pieces, [(d, t) for d, _, t in rows])
 
 
@@ -156,7 +156,7 @@ def test_windows_hold_the_target_mixture(spark):
     from pyspark.sql import functions as F
 
     docs = spark.range(4000).select(F.col("id").alias("row"), F.xxhash64("id").alias("place"), F.when(F.col("id") % 4 == 0, "small").otherwise("large").alias("source"), F.lit(100).cast("long").alias("n"))
-    placed = packing.schedule(docs, window_tokens=8192, block_rows=64).join(docs.select("row", "source"), "row").collect()
+    placed = packing.schedule(docs, window_tokens=8192).join(docs.select("row", "source"), "row").collect()
     assert sorted(p.start for p in placed) == [100 * i for i in range(4000)]
     for lo in range(0, 360_000, 40_000):
         own = [p.source for p in placed if lo <= p.start < lo + 40_000]
@@ -164,3 +164,26 @@ def test_windows_hold_the_target_mixture(spark):
     forced = packing.schedule(docs, window_tokens=8192, shares={"small": 0.5, "large": 0.5}).join(docs.select("row", "source"), "row").collect()
     own = [p.source for p in forced if p.start < 160_000]
     assert abs(own.count("small") / len(own) - 0.5) < 0.05
+
+
+def test_a_source_that_runs_dry_leaves_full_sequences(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.col("id").alias("row"), F.xxhash64("id").alias("place"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source"), F.lit(100).cast("long").alias("n"))
+    placed = packing.schedule(docs, window_tokens=8192, shares={"small": 0.5, "large": 0.5}).join(docs.select("row", "source"), "row").collect()
+    assert sorted(p.start for p in placed) == [100 * i for i in range(3000)]
+    small = sorted(p.start for p in placed if p.source == "small")
+    assert small[-1] < 100_000  # spent by twice its tokens and some windows
+
+
+def test_the_stream_does_not_depend_on_partitions(spark):
+    rows = [(i, f"s{i % 3}", "word " * (1 + i * 7 % 90)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    key = lambda found: sorted((p.doc_id, p.start, p.sequence_id, p.offset) for p in found.collect())
+    assert key(packing.pack(docs.repartition(2), FILE)) == key(packing.pack(docs.repartition(7), FILE))
+
+
+def test_very_long_texts_are_packed(spark):
+    rows = [(1, "a", " " * 300_000), (2, None, "a" * 100_001), (3, "b", "x\n\n y " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    pieces_are_whole(packing.pack(docs, FILE).collect(), [(d, t) for d, _, t in rows])
