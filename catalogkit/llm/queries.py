@@ -64,22 +64,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_tool_call_linking": """
-        WITH calls AS (
-            SELECT conv_id, 'call_' || turn AS call_id, turn, text, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position
-            FROM conversations WHERE role IN ('user', 'system')
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name FROM conversations WHERE role IN ('user', 'system')
+        ), edges AS (
+            SELECT c.conv_id, c.turn, n.turn AS need FROM calls c JOIN calls n ON n.conv_id = c.conv_id AND n.turn = c.turn + CASE c.name WHEN 'answer' THEN -2 ELSE 1 END
+        ), waits AS (
+            SELECT conv_id, turn, turn AS upon FROM calls UNION SELECT e.conv_id, e.turn, w.upon FROM edges e JOIN waits w ON w.conv_id = e.conv_id AND w.turn = e.need
+        ), ready AS (
+            SELECT conv_id, turn, max(upon) AS ready FROM waits GROUP BY ALL
+        ), depth AS (
+            SELECT conv_id, turn, 0 AS d FROM calls
+            UNION SELECT e.conv_id, e.turn, d + 1 FROM edges e JOIN depth p ON p.conv_id = e.conv_id AND p.turn = e.need
+                JOIN ready a ON a.conv_id = e.conv_id AND a.turn = e.turn JOIN ready b ON b.conv_id = e.conv_id AND b.turn = e.need WHERE a.ready = b.ready
+        ), placed AS (
+            SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY ready, max(d), turn) - 1 AS position FROM depth JOIN ready USING (conv_id, turn) GROUP BY conv_id, turn, ready
+        ), asked AS (
+            SELECT *, 'call_' || turn AS call_id FROM calls JOIN placed USING (conv_id, turn)
         ), results AS (
             SELECT conv_id, 'call_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'
         )
         SELECT conv_id, call_id, position, name,
                CASE WHEN name IS NULL THEN 'no_call' WHEN content IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-               CAST(CASE WHEN content IS NULL THEN 0 ELSE 1 END AS BIGINT) AS results,
+               CAST(CASE WHEN name IS NULL THEN 0 ELSE 1 END AS BIGINT) AS calls, CAST(CASE WHEN content IS NULL THEN 0 ELSE 1 END AS BIGINT) AS results,
                CASE WHEN name IS NOT NULL AND (length(text) = 0 OR length(text) > CASE name WHEN 'answer' THEN 300 ELSE 200 END)
                     THEN 'length:prompt' ELSE '' END AS faults,
                CASE WHEN name IS NULL THEN '{"id":"' || call_id || '","result":' || to_json(content)::VARCHAR || '}'
                     ELSE '{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"' || name || '"'
                          || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || '}' END AS line
-        FROM calls FULL JOIN results USING (conv_id, call_id)
+        FROM asked FULL JOIN results USING (conv_id, call_id)
     """,
     "op4_mtree_top_k": """
         WITH v AS (

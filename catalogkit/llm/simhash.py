@@ -11,7 +11,8 @@ have the same key.  2^(r+1) - 1 tables thus find *every* pair within radius r.
 
 Scale.  Equal fingerprints form one class before any table is built.  A bucket is streamed in sorted
 order; its links are reduced to a spanning forest at once, so nothing quadratic leaves a task.  Buckets
-of more than ``bucket_rows`` classes are handed on and compared in blocks of that size by many tasks.
+of more than ``bucket_rows`` classes are compared in blocks of that size by many tasks.  Joins on
+fingerprints, components and hubs broadcast the few keys that hold more than a thousandth of all rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import settle
+from catalogkit.llm.common import attach, fresh, settle
 
 SEED = 42
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -73,23 +74,18 @@ def covering_masks(radius: int, bits: int = 64) -> np.ndarray:
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the pairs of a x b (unsigned fingerprints) within ``radius``."""
     values = np.unique(np.concatenate([a, b]))
-    root = np.arange(len(values))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    label = np.arange(len(values))
     left, right = [], []
     place = np.searchsorted(values, b)
     for i, x in zip(np.searchsorted(values, a).tolist(), a):
-        for j in place[np.bitwise_count(b ^ x) <= radius].tolist():
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                left.append(int(values[i].view(np.int64)))
-                right.append(int(values[j].view(np.int64)))
+        near = place[np.bitwise_count(b ^ x) <= radius]
+        other, first = np.unique(label[near], return_index=True)
+        new = other != label[i]
+        if new.any():
+            ends = near[first[new]]
+            left += [int(values[i].view(np.int64))] * len(ends)
+            right += values[ends].view(np.int64).tolist()
+            label[np.isin(label, other[new])] = label[i]
     return left, right
 
 
@@ -102,14 +98,16 @@ def links(classes: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataF
         for k, m in enumerate(masks)
     ])
     buckets = classes.select("fp", F.explode(table).alias("t")).select("t.m", "t.key", "fp")
+    large = settle(buckets.groupBy("m", "key").count().where(F.col("count") > bucket_rows))
+    some = not large.isEmpty()
+    few = buckets.join(large, ["m", "key"], "left_anti") if some else buckets
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        """Rows (m, key, a, b): m null for a link, else a row (fp in a) of a bucket too large for one task."""
-        m0, key0, run, spilled = None, None, [], False
-        rest_m, rest_k, rest_f = (np.empty(0, t) for t in (np.int32, np.int64, np.int64))
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The edges (a, b) of each bucket, from rows in the order of their buckets."""
+        m0, key0, run = None, None, []
 
         def close() -> tuple[list[int], list[int]]:
-            fps = np.unique(np.concatenate(run)).view(np.uint64) if run and not spilled else np.empty(0, np.uint64)
+            fps = np.unique(np.concatenate(run)).view(np.uint64)
             return _forest(fps, fps, radius) if len(fps) > 1 else ([], [])
 
         for batch in batches:
@@ -122,7 +120,7 @@ def links(classes: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataF
             sizes[[0, -1]] = 0  # the outer runs may go on in the batches beside this one
             two = starts[sizes == 2]
             two = two[np.bitwise_count((f[two] ^ f[two + 1]).view(np.uint64)) <= radius]
-            left, right, out = f[two].tolist(), f[two + 1].tolist(), []
+            left, right = f[two].tolist(), f[two + 1].tolist()
             busy = (sizes == 0) | (sizes > 2)
             for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
                 if (m[s], k[s]) != (m0, key0):
@@ -130,35 +128,21 @@ def links(classes: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataF
                         x, y = close()
                         left += x
                         right += y
-                    m0, key0, run, spilled = m[s], k[s], [], False
+                    m0, key0, run = m[s], k[s], []
                 run.append(f[s:e])
-                if spilled or sum(map(len, run)) > bucket_rows:
-                    spilled = True
-                    out.append(pd.DataFrame({"m": pd.array([m0] * sum(map(len, run)), "Int32"), "key": key0, "a": np.concatenate(run), "b": np.int64(0)}))
-                    run = []
             run = [x.copy() for x in run]
             if left:
-                yield pa_frame(None, left, right)
-            for frame in out:
-                yield pa.RecordBatch.from_pandas(frame, schema=SCHEMA, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
         if sum(map(len, run)) > 1:
             left, right = close()
             if left:
-                yield pa_frame(None, left, right)
-
-    SCHEMA = pa.schema([("m", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def pa_frame(m: None, left: list[int], right: list[int]) -> pa.RecordBatch:
-        n = len(left)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    found = settle(
-        buckets.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(stream, "m int, key long, a long, b long")
-    )
-    near = found.where("m IS NULL").select("a", "b")
-    large = found.where("m IS NOT NULL").select("m", "key", F.col("a").alias("fp"))
-    sizes = large.groupBy("m", "key").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("n"))
-    blocks = large.join(sizes, ["m", "key"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    near = settle(few.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(stream, "a long, b long"))
+    if not some:
+        return near.distinct()
+    blocks = buckets.join(large, ["m", "key"]).withColumn("n", F.ceil(F.col("count") / bucket_rows).cast("int"))
+    blocks = blocks.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     pairs = blocks.select(
         "m", "key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j")
     ).select("m", "key", "fp", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
@@ -172,43 +156,43 @@ def links(classes: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataF
     return near.union(pairs.groupBy("m", "key", "lo", "hi").applyInPandas(compare, "a long, b long")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds on plain joins and minimum aggregations; each round is
     checkpointed, and the edges shrink to stars in a number of rounds logarithmic in the longest path.
     """
 
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = pairs.join(least, "u")
-        if small:
-            out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e"))
-            return out.select("e.x", "e.m").where("x <> m").distinct()
-        return joined.where("v > u").select(F.col("v").alias("x"), "m").where("x <> m").distinct()
+    def large_star(current: DataFrame, edges: int) -> DataFrame:
+        both = current.select(F.col("x").alias("u"), F.col("m").alias("v")).union(current.select(F.col("m").alias("u"), F.col("x").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        return attach(both, least, "u", 2 * edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+    def small_star(pairs: DataFrame) -> DataFrame:
+        # after a large star every edge leads to a smaller node, and few edges leave a node
+        joined = pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
+        out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("x"), "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e"))
+        return out.select("e.x", "e.m").where("x <> m").distinct()
 
     current = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("m")).distinct())
     checks = [F.count("*"), F.sum(F.xxhash64("x", "m").cast("decimal(38,0)"))]
     seen = current.agg(*checks).first()
-    for _ in range(max_rounds):
-        both = current.select(F.col("x").alias("u"), F.col("m").alias("v")).union(current.select(F.col("m").alias("u"), F.col("x").alias("v")))
-        large = star(both, small=False)
-        current = settle(star(large.select(F.col("x").alias("u"), F.col("m").alias("v")), small=True))
+    while True:
+        current = settle(small_star(large_star(current, seen[0])))
         now = current.agg(*checks).first()
         if now == seen:
             return current.select(F.col("x").alias("node"), F.col("m").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def memberships(prints: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
-    """(fp, root, component_id) for every distinct ``fp`` of (doc_id, fp): root names the component, and
-    component_id is its smallest known doc_id (null if there is none)."""
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(fp, root, component_id, n) for every distinct ``fp`` of (doc_id, fp): root names the component,
+    component_id is its smallest known doc_id (null if there is none), and n the number of rows with this fp."""
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(classes, radius, bucket_rows))
-    linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(smallest, "root").select("fp", "root", "component_id")
+    linked = settle(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root")))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return settle(attach(linked, smallest, "root", linked.count()).select("fp", "root", "component_id", F.col("copies").alias("n")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, bucket_rows: int = 4096) -> DataFrame:
@@ -221,7 +205,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle_words: int = 4, bu
     """
     prints = settle(fingerprints(docs, shingle_words=shingle_words).drop("mark"))
     members = memberships(prints, radius, bucket_rows)
-    return prints.join(members, "fp").select(
+    return attach(prints, members, "fp", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -245,15 +229,15 @@ def row_mark(docs: DataFrame) -> Column:
 
 def first_of_each(docs: DataFrame, mark: Column, prints: DataFrame, members: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one per root: ``prints`` holds (doc_id, mark, fp) of every row and
-    ``members`` (fp, root) of every fp."""
+    ``members`` (fp, root, n) every fp with its number of rows."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("r")
-    chosen = prints.join(members, "fp").groupBy("root").agg(first).select("r.doc_id", "r.mark")
-    chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__chosen")))
-    marked = docs.withColumn("__mark", mark)
-    same = (F.col("__mark") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    kept = marked.join(chosen, same, "left_semi")
-    copied = prints.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("mark").alias("__mark")).distinct()
+    found = attach(prints, members.select("fp", "root", "n"), "fp", prints.count()).groupBy("root").agg(first).select("r.doc_id", "r.mark")
+    own, chosen_id, chosen_mark = (fresh(c, docs.columns) for c in ("own_mark", "chosen_id", "chosen_mark"))
+    chosen = settle(found.select(F.col("doc_id").alias(chosen_id), F.col("mark").alias(chosen_mark)))
+    same = (F.col(own) == F.col(chosen_mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(chosen_id))
+    kept = docs.withColumn(own, mark).join(chosen, same, "left_semi")
+    copied = prints.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("mark").alias(own)).distinct()
     if copied.isEmpty():
         return kept.select(docs.columns)
-    once = kept.join(copied, "__mark", "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(copied, "__mark", "left_semi").select(docs.columns).dropDuplicates())
+    once = kept.join(copied, own, "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(copied, own, "left_semi").select(docs.columns).dropDuplicates())

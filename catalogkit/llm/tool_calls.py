@@ -1,18 +1,25 @@
 """Tool calls: linked to their results, validated, ordered and serialised.
 
 Calls and results meet in an equi-join on (conversation, call id).  Arguments are checked against a
-schema per tool.  Calls are ordered so that each follows those it needs, by the smallest place first; a
-call and its result become one line of canonical JSON (sorted keys, no spaces, raw UTF-8).
+schema per tool.  A call and its result become one line of canonical JSON (sorted keys, no spaces, raw UTF-8; half a
+surrogate pair, which UTF-8 lacks, stays escaped).
 
-Scale.  A conversation whose calls need earlier ones only, of whatever size, is already in order and
-is numbered by a two-level running sum.  One with a call that needs a later one is ordered in one task if it has
-at most ``group_rows`` calls, and else by rounds of joins that peel off the calls whose needs are met.
+Order.  A call is ready at the latest place among its own and those of all calls that it needs, directly or
+through others.  Calls are in order of (ready, level, place, id), where a call's level is the length of the longest
+chain of needs among calls ready at the same place.  Each call thus follows those it needs, and a conversation
+whose calls need earlier ones only is in order of place.
+
+Scale.  Such a conversation, of whatever size, is numbered by a two-level running sum.  One with a call that needs a
+later one is ordered in one task if it has at most ``group_rows`` calls, and else by rounds of joins, to the same
+order: as many rounds as calls in the longest chain that waits for a later place.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
+import math
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,153 +38,245 @@ _KINDS = {
     "array": lambda v: isinstance(v, list),
     "null": lambda v: v is None,
 }
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _finite(number: str) -> float:
+    value = float(number)
+    if not math.isfinite(value):
+        raise ValueError(number)
+    return value
+
+
+def parse(text: str | None) -> object:
+    """The value of a JSON text.  What is no JSON (NaN, numbers out of range and nesting too deep to read included) is its
+    own text, and of repeated keys the last counts."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_finite)
+        canonical(value)
+    except (ValueError, RecursionError):
+        return text
+    return value
+
+
+def _kinds(rule: dict) -> list[str]:
+    kind = rule.get("type", [])
+    return [kind] if isinstance(kind, str) else list(kind)
+
+
+def check_schema(schema: dict) -> None:
+    """Raises an error if a schema names an unknown type or a pattern that cannot be read."""
+    for kind in _kinds(schema):
+        if kind not in _KINDS:
+            raise ValueError(f"unknown type {kind!r} in a schema")
+    re.compile(schema.get("pattern", ""))
+    for part in [*schema.get("properties", {}).values(), *([schema["items"]] if isinstance(schema.get("items"), dict) else [])]:
+        check_schema(part)
+
+
+def _against(value: object, rule: dict, path: str) -> list[str]:
+    """Faults of a value at ``path``; a value of a wrong type has no others."""
+    if (kinds := _kinds(rule)) and not any(_KINDS[k](value) for k in kinds):
+        return [f"type:{path}"]
+    out = []
+    if "enum" in rule and canonical(value) not in map(canonical, rule["enum"]):
+        out.append(f"enum:{path}")
+    if isinstance(value, str):
+        if not rule.get("minLength", 0) <= len(value) <= rule.get("maxLength", len(value)):
+            out.append(f"length:{path}")
+        if "pattern" in rule and not re.search(rule["pattern"], value):
+            out.append(f"pattern:{path}")
+    elif _KINDS["number"](value) and not rule.get("minimum", value) <= value <= rule.get("maximum", value):
+        out.append(f"range:{path}")
+    elif isinstance(value, list):
+        if not rule.get("minItems", 0) <= len(value) <= rule.get("maxItems", len(value)):
+            out.append(f"items:{path}")
+        for i, v in enumerate(value if "items" in rule else []):
+            out += _against(v, rule["items"], f"{path}[{i}]")
+    elif isinstance(value, dict):
+        at = f"{path}." if path else ""
+        known = rule.get("properties", {})
+        out += [f"missing:{at}{k}" for k in rule.get("required", []) if k not in value]
+        for k, v in value.items():
+            if k in known:
+                out += _against(v, known[k], at + k)
+            elif not rule.get("additionalProperties", True):
+                out.append(f"unexpected:{at}{k}")
+    return out
 
 
 def faults(arguments: object, schema: dict | None) -> list[str]:
-    """What a JSON value has against a schema of type, properties, required, enum and bounds."""
+    """What a JSON value has against a schema of types (one or several), properties, required, items, enum, pattern and
+    bounds, at any depth."""
     if schema is None:
         return ["unknown_tool"]
     if not isinstance(arguments, dict):
         return ["not_an_object"]
-    out = [f"missing:{k}" for k in schema.get("required", []) if k not in arguments]
-    known = schema.get("properties", {})
-    for k, v in sorted(arguments.items()):
-        if k not in known:
-            out += [] if schema.get("additionalProperties", True) else [f"unexpected:{k}"]
-            continue
-        rule = known[k]
-        if "type" in rule and not _KINDS[rule["type"]](v):
-            out.append(f"type:{k}")
-        elif "enum" in rule and v not in rule["enum"]:
-            out.append(f"enum:{k}")
-        elif isinstance(v, str) and not rule.get("minLength", 0) <= len(v) <= rule.get("maxLength", len(v)):
-            out.append(f"length:{k}")
-        elif isinstance(v, (int, float)) and not rule.get("minimum", v) <= v <= rule.get("maximum", v):
-            out.append(f"range:{k}")
-    return sorted(out)
+    return sorted(_HALF.sub("?", f) for f in _against(arguments, schema, ""))
+
+
+def order_of(keys: list[tuple], needs: list[list[int]]) -> list[tuple | None]:
+    """(ready, level) of each call from its (place, id) and the numbers of the calls it needs; none on or behind a cycle."""
+    waits, after = [len(n) for n in needs], [[] for _ in keys]
+    for i, own in enumerate(needs):
+        for n in own:
+            after[n].append(i)
+    ready, level, done = list(keys), [0] * len(keys), [False] * len(keys)
+    free = deque(i for i, n in enumerate(waits) if not n)
+    while free:
+        i = free.popleft()
+        done[i] = True
+        ready[i] = max([keys[i], *(ready[n] for n in needs[i])])
+        level[i] = max([0, *(level[n] + 1 for n in needs[i] if ready[n] == ready[i])])
+        for x in after[i]:
+            waits[x] -= 1
+            if not waits[x]:
+                free.append(x)
+    return [(ready[i], level[i]) if done[i] else None for i in range(len(keys))]
+
+
+def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, place, ready_place, ready_id, level), level null on or behind a cycle: as ``order_of``, by joins.
+
+    ``calls`` (conv_id, call_id, place) and ``edges`` (conv_id, call_id, need) are settled.
+    """
+    at = F.struct("ready_place", "ready_id")
+    state = settle(calls.withColumn("ready_place", F.col("place")).withColumn("ready_id", F.col("call_id")))
+    moved = state.select("conv_id", "call_id", at.alias("at"))
+    while True:  # what a need is ready at reaches the calls that wait for it; only calls that moved hand on
+        met = edges.join(moved.select("conv_id", F.col("call_id").alias("need"), "at"), ["conv_id", "need"])
+        risen = met.groupBy("conv_id", "call_id").agg(F.max("at").alias("at"))
+        moved = settle(risen.join(state, ["conv_id", "call_id"]).where(F.col("at") > at).select("conv_id", "call_id", risen["at"]))
+        if moved.isEmpty():
+            break
+        kept = state.join(moved.withColumnRenamed("at", "new"), ["conv_id", "call_id"], "left")
+        state = settle(kept.select("conv_id", "call_id", "place", F.coalesce("new.ready_place", "ready_place").alias("ready_place"), F.coalesce("new.ready_id", "ready_id").alias("ready_id")))
+    own = state.select("conv_id", "call_id", at.alias("own"))
+    needed = state.select("conv_id", F.col("call_id").alias("need"), at.alias("theirs"))
+    inner = edges.join(own, ["conv_id", "call_id"]).join(needed, ["conv_id", "need"]).where(F.col("own") == F.col("theirs"))
+    inner = settle(inner.select("conv_id", "call_id", "need"))
+    chained = inner.select("conv_id", "call_id").union(inner.select("conv_id", "need")).distinct()
+    waiting, turn = settle(chained), 0
+    levels = state.select("conv_id", "call_id").join(chained, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    while True:  # calls free at the same time are of one level
+        free = settle(waiting.join(inner.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
+        if free.isEmpty():
+            break
+        levels = levels.unionByName(free.withColumn("level", F.lit(turn)))
+        waiting = settle(waiting.join(free, ["conv_id", "call_id"], "left_anti"))
+        inner = settle(inner.join(free.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti").select("conv_id", "call_id", "need"))
+        turn += 1
+    stuck = new = waiting
+    while not new.isEmpty():
+        behind = edges.join(new.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).select("conv_id", "call_id").distinct()
+        new = settle(behind.join(stuck, ["conv_id", "call_id"], "left_anti"))
+        stuck = stuck.unionByName(new)
+    levels = levels.join(stuck, ["conv_id", "call_id"], "left_anti")
+    return state.join(levels, ["conv_id", "call_id"], "left")
 
 
 def positions(calls: DataFrame, group_rows: int = 10_000) -> DataFrame:
-    """(conv_id, call_id, position): position from 0 in a topological order, null on or behind a cycle.
+    """(conv_id, call_id, position): position from 0 in the order above, null on or behind a cycle.
 
     ``calls`` has distinct (conv_id, call_id), place (long) and needs (array of call ids); needs that name
-    no call of the conversation are ignored.  Among calls that are free at once the smallest (place,
-    call_id) goes first; in conversations beyond ``group_rows`` with calls that need later ones, the
-    smallest (round, place, call_id).
+    no call of the conversation are ignored.
     """
     named = calls.select("conv_id", "call_id", "place", F.explode("needs").alias("need")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("need_place"))
     edges = settle(named.join(known, ["conv_id", "need"]))
     later = F.struct("need_place", "need") >= F.struct("place", "call_id")
     tangled = edges.where(later).select("conv_id").distinct()
-    plain = calls.join(tangled, "conv_id", "left_anti").withColumn("block", F.expr("place div 1024")).withColumn("one", F.lit(1))
-    order = running_sum(plain, "one", "position", ["conv_id"], "block", ["place", "call_id"]).select("conv_id", "call_id", "position")
+    plain = calls.select("conv_id", "call_id", "place").join(tangled, "conv_id", "left_anti").withColumn("one", F.lit(1))
+    order = running_sum(plain, "one", "position", ["conv_id"], ["place", "call_id"]).select("conv_id", "call_id", "position")
     if tangled.isEmpty():
         return order
     odd = settle(calls.join(tangled, "conv_id", "left_semi").select("conv_id", "call_id", "place"))
-    large = odd.groupBy("conv_id").count().where(F.col("count") > group_rows).select("conv_id")
+    large = settle(odd.groupBy("conv_id").count().where(F.col("count") > group_rows).select("conv_id"))
     needs = edges.groupBy("conv_id", "call_id").agg(F.collect_list("need").alias("needs"))
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
-        waits = {c: set(n) if n is not None else set() for c, n in zip(frame.call_id, frame.needs)}
-        place, after = dict(zip(frame.call_id, frame.place)), {}
-        for c, need in waits.items():
-            for n in need:
-                after.setdefault(n, []).append(c)
-        free = [(place[c], c) for c, need in waits.items() if not need]
-        heapq.heapify(free)
-        rank: dict[str, int] = {}
-        while free:
-            _, c = heapq.heappop(free)
-            rank[c] = len(rank)
-            for x in after.get(c, []):
-                waits[x].discard(c)
-                if not waits[x]:
-                    heapq.heappush(free, (place[x], x))
-        return pd.DataFrame({"conv_id": frame.conv_id, "call_id": frame.call_id, "position": pd.array([rank.get(c) for c in frame.call_id], "Int64")})
+        place = {c: i for i, c in enumerate(frame.call_id)}
+        keys = list(zip(frame.place.tolist(), (c.encode() for c in frame.call_id)))
+        found = order_of(keys, [[place[n] for n in own] if own is not None else [] for own in frame.needs])
+        ranked = sorted((i for i, f in enumerate(found) if f), key=lambda i: (*found[i], keys[i]))
+        position = {i: n for n, i in enumerate(ranked)}
+        return pd.DataFrame({"conv_id": frame.conv_id, "call_id": frame.call_id, "position": pd.array([position.get(i) for i in range(len(frame))], "Int64")})
 
     small = odd.join(large, "conv_id", "left_anti").join(needs, ["conv_id", "call_id"], "left")
     order = order.unionByName(small.groupBy("conv_id").applyInPandas(sort, "conv_id long, call_id string, position long"))
     if large.isEmpty():
         return order
-    waiting = odd.join(large, "conv_id", "left_semi")
-    open_edges = edges.join(large, "conv_id", "left_semi").select("conv_id", "call_id", "need")
-    waiting, open_edges, done, turn = settle(waiting), settle(open_edges), None, 0
-    while True:
-        free = settle(waiting.join(open_edges.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("turn", F.lit(turn)))
-        if free.isEmpty():
-            break
-        done = free if done is None else settle(done.unionByName(free))
-        waiting = settle(waiting.join(free, ["conv_id", "call_id"], "left_anti"))
-        open_edges = settle(open_edges.join(free.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"))
-        turn += 1
-    stuck = waiting.select("conv_id", "call_id", F.lit(None).cast("long").alias("position"))
-    if done is not None:
-        ranked = done.withColumn("block", F.expr(f"turn * {1 << 20} + place div 1024")).withColumn("one", F.lit(1))
-        order = order.unionByName(running_sum(ranked, "one", "position", ["conv_id"], "block", ["turn", "place", "call_id"]).select("conv_id", "call_id", "position"))
-    return order.unionByName(stuck)
+    long = settle(_rounds(settle(odd.join(large, "conv_id", "left_semi")), settle(edges.join(large, "conv_id", "left_semi").select("conv_id", "call_id", "need"))))
+    ranked = running_sum(long.where("level IS NOT NULL").withColumn("one", F.lit(1)), "one", "position", ["conv_id"], ["ready_place", "ready_id", "level", "place", "call_id"])
+    stuck = long.where("level IS NULL").select("conv_id", "call_id", F.lit(None).cast("long").alias("position"))
+    return order.unionByName(ranked.select("conv_id", "call_id", "position")).unionByName(stuck)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], group_rows: int = 10_000) -> DataFrame:
-    """(conv_id, call_id, position, name, status, results, faults, line): one row per call id.
+    """(conv_id, call_id, position, name, status, calls, results, faults, line): one row per call id.
 
     ``calls``: conv_id, call_id, place, name, arguments (JSON text), needs; ``results``: conv_id, call_id,
     place, content.  Of calls or results that repeat an id the first by (place, content) counts, and
-    ``results`` says how many there were.  status is linked, no_result (no call of this id was answered)
+    ``calls`` and ``results`` say how many there were.  status is linked, no_result (no call of this id was answered)
     or no_call (a result alone: position and name are null).  Rows with a null conversation or id are left
-    out, arguments that are null or no JSON count as not_an_object, a null need is ignored.
+    out, arguments that are null or no JSON count as not_an_object, a null need is ignored, a null place is 0.  A
+    schema that cannot be read raises an error.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     first_call = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("place", "name", "arguments", "needs")).alias("c")
-    ).select("conv_id", "call_id", "c.*").withColumn("needs", F.coalesce(F.array_compact("needs"), F.array().cast("array<string>")))
+        F.min(F.struct("place", "name", "arguments", "needs")).alias("c"), F.count("*").alias("calls")
+    ).select("conv_id", "call_id", "c.*", "calls").withColumn("needs", F.coalesce(F.array_compact("needs"), F.array().cast("array<string>")))
     first_call = settle(first_call.withColumn("place", F.coalesce("place", F.lit(0)).cast("long")))
     first_result = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
         F.min(F.struct("place", "content")).alias("r"), F.count("*").alias("results")
     ).select("conv_id", "call_id", F.lit(True).alias("answered"), F.col("r.content").alias("content"), "results")
     joined = first_call.drop("needs", "place").join(positions(first_call.select("conv_id", "call_id", "place", "needs"), group_rows), ["conv_id", "call_id"])
     joined = joined.withColumn("called", F.lit(True)).join(first_result, ["conv_id", "call_id"], "full")
-    joined = joined.select("conv_id", "call_id", "position", "name", "arguments", "content", "called", "answered", F.coalesce("results", F.lit(0)).cast("long").alias("results"))
+    joined = joined.select("conv_id", "call_id", "position", "name", "arguments", "content", "called", "answered", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("calls", "results")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             status, wrong, lines = [], [], []
-            _, call_ids, _, names, arguments, contents, called, answered, _ = (c.to_pylist() for c in batch.columns)
+            _, call_ids, _, names, arguments, contents, called, answered, *_ = (c.to_pylist() for c in batch.columns)
             for call_id, name, text, content, is_call, is_result in zip(call_ids, names, arguments, contents, called, answered):
-                try:
-                    value = json.loads(text) if text is not None else None
-                except ValueError:
-                    value = text
+                value = parse(text)
                 status.append("no_call" if not is_call else "linked" if is_result else "no_result")
                 wrong.append(faults(value, schemas.get(name)) if is_call else [])
                 record = {"id": call_id} | ({"name": name, "arguments": value} if is_call else {}) | ({"result": content} if is_result else {})
                 lines.append(canonical(record))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(status, pa.string()), batch.columns[8], pa.array(wrong, pa.list_(pa.string())), pa.array(lines, pa.string())],
-                names=["conv_id", "call_id", "position", "name", "status", "results", "faults", "line"],
+                [*batch.columns[:4], pa.array(status, pa.string()), *batch.columns[8:], pa.array(wrong, pa.list_(pa.string())), pa.array(lines, pa.string())],
+                names=["conv_id", "call_id", "position", "name", "status", "calls", "results", "faults", "line"],
             )
 
-    return joined.mapInArrow(run, "conv_id long, call_id string, position long, name string, status string, results long, faults array<string>, line string")
+    return joined.mapInArrow(run, "conv_id long, call_id string, position long, name string, status string, calls long, results long, faults array<string>, line string")
 
 
 def from_conversations(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a chat table (conv_id, turn, role, text).
 
-    A user's turn is a call of the tool ``answer`` whose result is the assistant's turn after it, and a
-    system turn a call of ``configure`` without a result; every call needs the call before it.  Of rows
-    that repeat a turn all are read, and the first by text counts.  Null turns, roles and texts: rows
-    without turn or role are left out, and a null text is a null argument or result.
+    A user's turn is a call of the tool ``answer`` whose result is the assistant's turn after it, and needs the
+    user's turn before it, two turns back.  A system turn is a call of ``configure`` without a result, which
+    waits for the call of the turn after it.  Of rows that repeat a turn all are read and counted, and the first by
+    text counts.  Null turns, roles and texts: rows without turn or role, and those of other roles than user, system
+    and assistant, are left out, and a null text is a null argument or result.
     """
     rows = messages.where("turn IS NOT NULL AND role IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     asked = rows.where(F.col("role").isin("user", "system"))
-    before = F.array(*[F.concat(F.lit("call_"), (F.col("turn") - k).cast("string")) for k in (1, 2)])
+    step = F.when(F.col("role") == "user", -2).otherwise(1)
+    needed = F.array(F.concat(F.lit("call_"), (F.col("turn") + step).cast("string")))
     name = F.when(F.col("role") == "user", "answer").otherwise("configure")
     calls = asked.select(
         "conv_id", F.concat(F.lit("call_"), F.col("turn").cast("string")).alias("call_id"), F.col("turn").alias("place"), name.alias("name"),
-        F.to_json(F.struct(F.col("text").alias("prompt"), "turn"), {"ignoreNullFields": "false"}).alias("arguments"), before.alias("needs"),
+        F.to_json(F.struct(F.col("text").alias("prompt"), "turn"), {"ignoreNullFields": "false"}).alias("arguments"), needed.alias("needs"),
     )
     results = rows.where("role = 'assistant'").select(
         "conv_id", F.concat(F.lit("call_"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content")

@@ -1,10 +1,22 @@
+import re
+
 import corpus_pipeline
-from catalogkit.llm import langid, quality, simhash
+from catalogkit.llm import langid, quality
 from catalogkit.llm.common import fold
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = re.split("[ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)}).strip(" \t\n\v\f\r"))
+    words = [w for w in words if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_stages_take_effect_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_dedup", "packing"]
@@ -22,9 +34,9 @@ def test_stages_take_effect_in_turn(spark):
             expected = {r.doc_id for r in quality.predict(before, forest).where("predicted = 1").collect()}
         else:
             groups = {}
-            fps = {r.doc_id: simhash.fingerprint(r.text) for r in before.collect()}
-            for d in sorted(fps):  # the smallest id of each component stays
-                near = {groups[e] for e in groups if bin(fps[d] ^ fps[e]).count("1") <= 4}
+            sets = {r.doc_id: shingles(r.text) for r in before.collect()}
+            for d in sorted(sets):  # the smallest id of each group of five-word shingle sets alike by 0.8 or more stays
+                near = {groups[e] for e in groups if alike(sets[d], sets[e])}
                 root = min([d, *near])
                 groups |= {d: root} | {e: root for e, g in groups.items() if g in near}
             expected = set(groups.values())

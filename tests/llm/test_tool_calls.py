@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 
@@ -48,6 +50,67 @@ def test_conversations_with_nulls_and_none(spark):
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, name int")
     got = {(r.conv_id, r.call_id): r for r in tool_calls.link(*tool_calls.from_conversations(messages), tool_calls.SCHEMAS).collect()}
     assert {k: (r.status, r.position, r.faults) for k, r in got.items()} == {
-        (1, "call_0"): ("no_result", 0, []), (1, "call_1"): ("linked", 1, []), (1, "call_3"): ("no_result", 2, ["type:prompt"]), (2, "call_1"): ("no_result", 0, []),
+        (1, "call_0"): ("no_result", 1, []), (1, "call_1"): ("linked", 0, []), (1, "call_3"): ("no_result", 2, ["type:prompt"]), (2, "call_1"): ("no_result", 0, []),
     }
+    assert got[2, "call_1"].calls == 2 and got[1, "call_1"].calls == 1
     assert tool_calls.link(*tool_calls.from_conversations(messages.limit(0)), tool_calls.SCHEMAS).collect() == []
+
+
+def brute_order(calls):
+    """(ready, level, place, id) ranks by the definition: closures and longest chains, without any queue."""
+    place, needs = {c: p for c, p, _ in calls}, {c: [n for n in set(own) if n in {x for x, *_ in calls}] for c, _, own in calls}
+    closure = {c: set(needs[c]) for c in place}
+    for _ in place:
+        closure = {c: own | {y for x in own for y in closure[x]} for c, own in closure.items()}
+    stuck = {c for c in place if c in closure[c] or any(x in closure[x] for x in closure[c])}
+    ready = {c: max((place[x], x) for x in closure[c] | {c}) for c in place}
+
+    def level(c):
+        return max([0, *(level(n) + 1 for n in needs[c] if ready[n] == ready[c])])
+
+    order = sorted((c for c in place if c not in stuck), key=lambda c: (ready[c], level(c), place[c], c))
+    return {c: order.index(c) if c in order else None for c in place}
+
+
+def test_the_order_is_the_same_at_every_size(spark):
+    rng, convs = random.Random(4), {}
+    for conv in range(6):
+        n = rng.randint(3, 9)
+        convs[conv] = [(f"c{i}", rng.randint(0, 6), [f"c{rng.randrange(n)}" for _ in range(rng.choice([0, 1, 1, 2]))]) for i in range(n)]
+    convs[6] = [(f"c{i}", i, [f"c{i - 1}"]) for i in range(30)] + [("late", -1, ["c29"])]  # a long chain that is almost in order
+    convs[7] = [(f"c{i}", i, [f"c{i + 1}"]) for i in range(7)]
+    calls = [(conv, c, p, "add", "{}", own) for conv, rows in convs.items() for c, p, own in rows]
+    expected = {(conv, c): n for conv, rows in convs.items() for c, n in brute_order(rows).items()}
+    for group_rows in (100, 2):
+        assert {k: r.position for k, r in run(spark, calls, [], group_rows=group_rows).items()} == expected
+
+
+def test_calls_that_share_a_place_are_numbered(spark):
+    calls = [(1, f"c{i:04}", None, "add", "{}", []) for i in range(3000)]
+    got = run(spark, calls, [])
+    assert [got[1, f"c{i:04}"].position for i in range(3000)] == list(range(3000))
+
+
+def test_texts_that_are_no_json(spark):
+    texts = ['{"a":"\\ud800"}', "[" * 100_000, '{"a":NaN}', '{"a":1e999}', '{"a":' + "9" * 5000 + "}", '{"a":1,"a":2}', '{"a":"\\ud83d\\ude00"}']
+    got = run(spark, [(1, str(i), i, "add", t, []) for i, t in enumerate(texts)], [])
+    lines = [got[1, str(i)].line for i in range(len(texts))]
+    assert lines[0] == '{"arguments":{"a":"\\ud800"},"id":"0","name":"add"}'
+    assert [got[1, str(i)].faults for i in range(1, 5)] == [["not_an_object"]] * 4
+    assert [json.loads(x)["arguments"] for x in lines[1:5]] == texts[1:5]
+    assert json.loads(lines[5])["arguments"] == {"a": 2} and '"a":"😀"' in lines[6]
+
+
+def test_nested_schemas():
+    schema = {
+        "required": ["a"], "properties": {
+            "a": {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"b": {"type": "integer"}, "x": {"type": ["integer", "null"]}}},
+            "l": {"type": "array", "maxItems": 2, "items": {"type": "string", "pattern": "^[a-z]+$"}}, "e": {"enum": [1, "1"]},
+        },
+    }
+    tool_calls.check_schema(schema)
+    assert tool_calls.faults({"a": {"x": None, "b": 1}, "l": ["ab"], "e": 1}, schema) == []
+    assert tool_calls.faults({"a": {"b": "x", "c": 1}, "l": ["A", 1, "b"], "e": True}, schema) == ["enum:e", "items:l", "missing:a.x", "pattern:l[0]", "type:a.b", "type:l[1]", "unexpected:a.c"]
+    for bad in ({"type": "text"}, {"properties": {"p": {"type": ["string", "x"]}}}, {"items": {"type": 3}}, {"pattern": "("}):
+        with pytest.raises((ValueError, TypeError, re.error)):
+            tool_calls.check_schema(bad)
