@@ -27,7 +27,7 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(table(spark, sf_dir, "embeddings")).drop("pages_visited", "entries_scored")
 
 
 def op5_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from catalogkit.llm import mtree, permutation
+from catalogkit.llm import mtree, permutation, search
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
 
@@ -36,12 +36,14 @@ def test_mtree_equals_brute_force_with_ties(spark):
 def test_tree_leaves_and_bounds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 8))
-    tree = mtree.grow(np.arange(900), x, leaf=16, fanout=4)
-    assert sorted(tree.ids.tolist()) == list(range(900))
+    z = mtree.quantise(x)
+    tree = mtree.grow([[i] for i in range(900)], z, leaf=16, fanout=4)
+    assert sorted(i for own in tree.ids for i in own) == list(range(900))
     for n, (a, b) in enumerate(tree.span):
         assert np.sqrt(((tree.rows[a:b] - tree.pivot[n]) ** 2).sum(axis=1)).max() <= tree.radius[n] + 1e-9
-    got = mtree.best(tree, np.arange(0, 900, 50), x[::50], 5)
-    exact = brute(range(900), mtree.quantise(x), 50, 5)
+    got, scored = mtree.best(tree, np.arange(0, 900, 50), z[::50], 5)
+    exact = brute(range(900), z, 50, 5)
+    assert (scored <= 900).all() and (scored > 0).all()
     assert {q: [(v, s) for i, v, s in got if i == q] for q in exact} == exact
 
 
@@ -50,26 +52,95 @@ def test_few_candidates_repeats_and_empty(spark):
     assert [(r.query_id, r.vec_id) for r in mtree.top_k(table(spark, rows)).collect()] == [(0, 1)]
     assert [(r.query_id, r.vec_id, r.score) for r in permutation.neighbours(table(spark, rows)).collect()] == [(0, 1, 0.5)]
     assert mtree.top_k(table(spark, [])).collect() == [] == permutation.neighbours(table(spark, [])).collect()
-    with pytest.raises(ValueError):
-        mtree.top_k(table(spark, [(0, [3e30], 0)]))
 
 
-def test_permutation_recall(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall(got, exact):
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == set(exact)
+    return np.mean([len({v for v, _ in best} & found[q]) / len(best) for q, best in exact.items()])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_permutation_recall(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     pdf = docs.toPandas()
     x, ids = np.stack(pdf.embedding.tolist()).astype(float), pdf.vec_id.tolist()
-    got = {}
-    for r in permutation.neighbours(docs, page_rows=2048).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    exact = brute(ids, x, 20, 20)
-    assert set(got) == set(exact)
+    got, exact = permutation.neighbours(docs).collect(), brute(ids, x, 20, 20)
+    assert recall(got, exact) >= 0.9
     where = {i: n for n, i in enumerate(ids)}
-    hits = 0
+    assert [r.score for r in got] == pytest.approx([float(x[where[r.query_id]] @ x[where[r.vec_id]]) for r in got], abs=1e-12)
+    for q in exact:
+        own = sorted((r["rank"], -r.score, r.vec_id) for r in got if r.query_id == q)
+        assert [r for r, *_ in own] == list(range(1, 21)) and own == sorted(own, key=lambda r: r[1:])
+
+
+def test_permutation_recall_with_one_long_vector(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    x[7] *= 1e8
+    got = permutation.neighbours(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), page_rows=800).collect()
+    assert recall(got, brute(range(2000), x, 20, 20)) >= 0.9
+
+
+def clustered(rows, rng):
+    centers = rng.normal(size=(24, 32))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    x = centers[rng.integers(0, 24, rows)] + rng.normal(size=(rows, 32)) * 0.03
+    return x.astype(np.float32).astype(float)
+
+
+def test_pages_and_rows_of_clustered_vectors_are_left_out(spark):
+    x = clustered(4800, np.random.default_rng(8))
+    data = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    got = mtree.top_k(data, page_rows=200).collect()
+    exact = brute(range(4800), np.floor(256 * x), 50, 5)
     for q, best in exact.items():
-        found = [v for _, v, _ in sorted(got[q])]
-        assert [s for _, _, s in sorted(got[q])] == pytest.approx([float(x[where[q]] @ x[where[v]]) for v in found], abs=1e-12)
-        hits += len({v for v, _ in best} & set(found))
-    assert hits / (20 * len(exact)) >= 0.9
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == best
+    pages = np.mean([r.pages_visited for r in got]), np.mean([r.entries_scored for r in got])
+    assert pages[0] <= 9 and pages[1] <= 0.25 * 4800  # of 24 pages or more
+    near = permutation.neighbours(data, page_rows=200).collect()
+    assert recall(near, brute(range(4800), x, 20, 20)) >= 0.9
+    assert np.mean([r.pages_visited for r in near]) <= 9 and np.mean([r.entries_scored for r in near]) <= 0.1 * 4800
+
+
+def test_bounds_hold_and_slices_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = clustered(900, rng) * rng.uniform(0.2, 3, (900, 1))
+    for at in np.split(np.arange(900), 9):
+        center = x[at].mean(axis=0)
+        radius, top = np.sqrt(((x[at] - center) ** 2).sum(axis=1).max()), np.sqrt((x[at] ** 2).sum(axis=1).max())
+        bound = search.bounds(x[::7], center[None], np.array([radius]), np.array([top]))
+        assert (bound >= (x[::7] @ x[at].T).max(axis=1)[:, None]).all()
+    data = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    key = lambda found: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    whole = key(mtree.top_k(data, page_rows=100))
+    monkeypatch.setattr(search, "SLICE", 4)
+    assert key(mtree.top_k(data, page_rows=100)) == whole
+
+
+def test_large_vectors_are_scored_exactly(spark):
+    rng = np.random.default_rng(10)
+    big = [[3e30, 1.0, -2.0], [1e12, 1e12, 1.0], [2.0**40 + 1, 3.0, 0.25], [-(2.0**45), 0.5, 1.0]]
+    rows = [(50 * i, v) for i, v in enumerate(big)] + [(2 * i + 1, (rng.normal(size=3) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(300)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in mtree.top_k(data, page_rows=60).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
+    clip = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    for q in (i for i, _ in rows if i % 50 == 0):
+        exact = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i, _ in rows if i != q)[:5]
+        assert [(v, -s) for s, v in exact] == [(v, s) for _, v, s in sorted(got[q])]
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(i, [1.0 + i % 3] * (1 + i // 4), 0) for i in range(600)]
+    for found in (mtree.top_k(table(spark, rows), every=1, k=3, page_rows=50), permutation.neighbours(table(spark, rows), every=1, k=3, page_rows=50)):
+        got = found.collect()
+        assert len(got) == 600 * 3 and all(r.query_id // 4 == r.vec_id // 4 for r in got)
 
 
 def test_permutation_recall_with_a_third_of_the_rows_equal(spark):
