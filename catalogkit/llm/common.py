@@ -76,6 +76,23 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def one_text_per_id(rows: DataFrame, *others: str) -> DataFrame:
-    """(doc_id, *others, text) with one row for each: of several texts the one with the smallest hash."""
-    return rows.groupBy("doc_id", *others).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+def sample_labelled(docs: DataFrame, known: DataFrame, sample_rows: int, longest: int | None = None, most_long: int = 50) -> DataFrame:
+    """The columns of ``docs`` and y, of at most ``sample_rows`` rows for each of the labels 0 and 1, one row per doc_id.
+
+    ``known`` holds (doc_id, y), a row per id.  Chosen are the ids with the smallest hashes; texts over ``longest``
+    characters come after all others, at most ``most_long`` of them.  Null texts are left out.
+    """
+    long = F.length("text") > longest if longest else F.lit(False)
+    own = F.min(F.struct(long.alias("long"), F.xxhash64("text").alias("hash"))).alias("own")
+    ids = settle(docs.where("text IS NOT NULL").join(known, "doc_id").groupBy("doc_id", "y").agg(own).select("doc_id", "y", "own.*"))
+    parts = []
+    for label in (0, 1):
+        mine = ids.where(F.col("y") == label)
+        few = sample_by_hash(mine.where("NOT long"), "doc_id", sample_rows)
+        more = sample_by_hash(mine.where("long"), "doc_id", most_long).withColumn("late", F.lit(1))
+        both = few.withColumn("late", F.lit(0)).unionByName(more)
+        parts.append(both.orderBy("late", F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    chosen = settle(parts[0].unionByName(parts[1]).select("doc_id", "y", "hash"))
+    found = docs.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"])
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(*rest)).alias("own")).select("doc_id", "y", "own.*")

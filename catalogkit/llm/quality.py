@@ -3,8 +3,9 @@
 Every text is reduced to a row of numbers; trees are grown in numpy on binned values (logistic loss,
 Newton leaves) and flattened into arrays, so that scoring a batch is a few gathers per tree level.
 
-The fit reads at most ``sample_rows`` labelled rows, those with the smallest id hashes; only their
-statistics, not their texts, reach the driver.  Scoring reads every whole text.
+The fit reads at most ``sample_rows`` labelled rows of each class, those with the smallest id hashes, and shifts its
+base to the classes' shares of all labels; only statistics, not texts, reach the driver.  Scoring reads every
+whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import fold, sample_by_hash
+from catalogkit.llm.common import fold, sample_labelled
 
 FEATURES = (
     "bytes", "words", "mean_word", "long_words", "upper", "lower", "digit", "space", "newline", "sentence", "comma",
@@ -125,29 +126,35 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: in
     return Forest(base, *(np.array(s, t) for s, t in ((feature, int), (cut, float), (left, int), (right, int), (value, float), (roots, int))), depth)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array<double>) of every row."""
+def measure(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, *others, stats array<double>) of every row; the others are whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=["doc_id", "stats"])
+            stats = pa.array([statistics(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], stats], names=["doc_id", *others, "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats array<double>")
+    chosen = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in others])
+    return chosen.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *others)) + ", stats array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = 8000, **options) -> Forest:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample_rows: int = 4000, **options) -> Forest:
     """Learns from the rows of ``docs`` with a label outside fold 0 of 5.
 
-    A doc_id with several labels takes the largest; labels without a document and null labels are left
-    out, and without any label the score is one half everywhere.
+    A doc_id with several labels takes the largest, one with several texts teaches the one with the smallest hash.
+    Labels without a document, null ids, labels and texts are left out, and without any label the score is one half
+    everywhere.
     """
     known = labels.where(F.col(target).isNotNull() & (fold("doc_id", 5) != 0) & F.col("doc_id").isNotNull())
-    chosen = sample_by_hash(known.groupBy("doc_id").agg(F.max(target).alias("y")), "doc_id", sample_rows)
-    rows = measure(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r.doc_id, list(r.stats), r.y) for r in rows.select("doc_id", "stats", "y").limit(4 * sample_rows).collect())
-    x = np.array([r[1] for r in rows], float).reshape(-1, len(FEATURES))
-    return grow(x, np.array([r[2] for r in rows], float), **options)
+    known = known.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
+    chosen = sample_labelled(docs.select("doc_id", "text"), known, sample_rows)
+    rows = sorted((r.doc_id, r.y, list(r.stats)) for r in measure(chosen, "y").collect())
+    x, y = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float)
+    forest = grow(x, y, **options)
+    if len(y) and y.min() < y.max():
+        n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        forest.base += float(np.log(n[1] / n[0]) - np.log(y.sum() / (1 - y).sum()))
+    return forest
 
 
 def predict(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from catalogkit.llm import langid, quality, toxicity
 
@@ -81,11 +82,134 @@ def test_trees_follow_a_known_rule():
     assert ((forest.score(x[400:]) > 0.5) == y[400:]).mean() > 0.93
 
 
-def test_windows_without_rows_change_nothing():
-    net = toxicity.train(["you idiot here", "a calm day"] * 40, np.array([1.0, 0.0] * 40), ["en"] * 80)
-    cache = toxicity._Rows(net.row_of)
-    filler = "neutral filler words " * 500
-    assert net.score(filler + "you idiot here" + filler, cache) > 0.5 > net.score(filler + "calm" + filler, cache)
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(500, 4)), (rng.random(500) < 0.4).astype(float)
+    forest = quality.grow(x, y, trees=12)
+
+    def walk(row):
+        total = forest.base
+        for node in forest.roots.tolist():
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.cut[node] else forest.right[node]
+            total += forest.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert forest.score(x) == pytest.approx([walk(r) for r in x])
+
+
+def test_a_rare_class_is_sampled_and_keeps_its_share(spark):
+    rows = [(i, ("good words here and there " if i % 50 else "# $ % ") * (3 + i % 5)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i, _ in rows], "doc_id long, quality int")
+    got = quality.classify(docs, labels, sample_rows=60).collect()
+    assert np.mean([r.predicted == (r.doc_id % 50 == 0) for r in got]) > 0.99
+    blind = spark.createDataFrame([(i, "the same text") for i in range(3000)], "doc_id long, text string")
+    assert quality.classify(blind, labels, sample_rows=60).first().score == pytest.approx(0.02, abs=0.005)
+
+
+@pytest.mark.parametrize("operator", [quality, toxicity])
+def test_repeated_ids_teach_once(spark, docs, labels, operator):
+    few, seen = docs.where("doc_id < 200"), labels.where("doc_id < 200")
+    again = few.where("doc_id = 3").crossJoin(spark.range(300)).drop("id")
+    more = few.unionByName(again.withColumn("text", F.lit("~")) if few.where("doc_id = 3").isEmpty() else again)
+    one, two = operator.fit(few, seen), operator.fit(more.repartition(3), seen)
+    texts = [r.text for r in few.limit(40).collect()]
+    if operator is quality:
+        x = np.array([quality.statistics(t) for t in texts])
+        assert one.score(x) == pytest.approx(two.score(x))
+    else:
+        assert one.score(texts) == pytest.approx(two.score(texts))
+
+
+def small_network(**shape):
+    net = toxicity.Network(buckets=97, dims=5, filters=3, **shape)
+    net.start(1)
+    net.bias += 0.1
+    lexicon = toxicity.Lexicon(97)
+    return net, lexicon
+
+
+def test_convolution_equals_a_loop():
+    net, lexicon = small_network()
+    texts = ["", "one", "one two", "b a c a b d e f g a", None, "x y z " * 30]
+    got = net.score(texts, lexicon)
+    for text, score in zip(texts, got):
+        words = toxicity.words_of(text)
+        x = [sum(net.table[r] for r in toxicity.rows_of(w, 97)) for w in words] + [np.zeros(5)] * (2 if words else 3)
+        pooled, column = [], 0
+        for w in toxicity.WIDTHS:
+            for f in range(3):
+                pooled.append(max(sum(x[i + k] @ net.kernel[:, column + 3 * k + f] for k in range(w)) for i in range(max(1, len(words)))))
+            column += 3 * w
+        raw = np.maximum(np.array(pooled) + net.bias, 0) @ net.weight + net.offset
+        assert score == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-5)
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    net, lexicon = small_network()
+    texts = [" ".join(f"w{i * i % 61}" for i in range(n)) for n in (0, 1, 5, 6, 7, 8, 50, 3, 200)]
+    whole = net.score(texts, lexicon)
+    for piece in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        assert net.score(texts, lexicon) == pytest.approx(whole, abs=1e-6)
+
+
+def test_gradients_equal_differences():
+    net, lexicon = small_network()
+    for name in ("table", "kernel", "bias", "weight"):
+        setattr(net, name, getattr(net, name).astype(float) * 5)
+    numbers = [lexicon.numbers(t) for t in ("a b c d", "c a", "e e f g h", "")]
+    rows, y, weights = np.array(lexicon.rows), np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+    _, grads = net.gradients(numbers, rows, y, weights)
+    at, values = grads.pop("table")
+    grads["table"] = np.zeros(net.table.shape)
+    grads["table"][at] = values
+    rng = np.random.default_rng(2)
+    for name in ("kernel", "bias", "weight", "table"):
+        own = getattr(net, name)
+        places = [tuple(rng.integers(0, n) for n in own.shape) for _ in range(15)] if name != "table" else [(int(r), int(rng.integers(0, 5))) for r in at[at > 0][:20]]
+        for place in places:
+            kept, found = own[place], []
+            for step in (1e-4, -1e-4):
+                own[place] = kept + step
+                found.append(net.gradients(numbers, rows, y, weights)[0])
+            own[place] = kept
+            assert grads[name][place] == pytest.approx((found[0] - found[1]) / 2e-4, abs=2e-3, rel=2e-2)
+
+
+def test_words_that_part_the_classes_are_learned():
+    words = [f"w{i}" for i in range(300)]
+    rng = np.random.default_rng(4)
+    texts = [" ".join([*rng.choice(words, 40), *(["you vile creature"] if i % 4 == 0 else [])]) for i in range(400)]
+    y = np.array([float(i % 4 == 0) for i in range(400)])
+    net = toxicity.train(texts, y, ["en", "de"] * 200)
+    filler = " ".join(rng.choice(words, 3000))
+    near, far = net.score([filler + " you vile creature " + filler, filler])
+    assert near > 0.5 > far
+    assert set(net.thresholds) == {"en", "de"} and all(0 < t < 1 for t in net.thresholds.values())
+
+
+def test_thresholds_follow_their_language():
+    rng = np.random.default_rng(5)
+    y = np.tile([0.0, 1.0], 200)
+    langs = ["en"] * 200 + ["de"] * 200
+    scores = np.where(y == 1, 0.9, 0.1) + rng.normal(0, 0.02, 400)
+    scores[200:] = np.where(y[200:] == 1, 0.4, 0.1) + rng.normal(0, 0.02, 200)
+    found = toxicity.thresholds(scores, y, langs)
+    assert 0.35 < found["en"] < 0.65 and 0.15 < found["de"] < 0.35
+    assert all(((scores[i] >= found[langs[i]]) == y[i]) for i in range(400))
+    assert toxicity.thresholds(scores, np.ones(400), langs) == {}
+
+
+def test_most_documents_have_embeddings(docs, labels):
+    net = toxicity.fit(docs, labels)
+    lexicon = toxicity.Lexicon(net.buckets)
+    texts = [r.text for r in docs.where("text IS NOT NULL").collect()]
+    known = [lexicon.numbers(t) for t in texts]
+    length = np.abs(net.table[np.array(lexicon.rows)].sum(axis=1)).sum(axis=1)
+    assert np.mean([length[n].any() for n in known]) > 0.95
+    assert len({round(s, 9) for s in net.score(texts).tolist()}) > 0.5 * len(texts)
 
 
 def test_long_texts_are_counted_in_blocks():
