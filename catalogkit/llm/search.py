@@ -181,8 +181,8 @@ def search(index: DataFrame, queries: DataFrame, visit: Visit, k: int, score_typ
         most = pages.count()
         ends = [e for e in ROUNDS if e < most] + [None]
         for first, end in zip([0, *ends], ends):
-            chosen = settle(met(pages, state, first, end))
-            groups = chosen.select("page", "block").distinct()
+            chosen = met(pages, state, first, end)
+            groups = settle(chosen.select("page", "block").distinct())
             blobs = pages.select("page", "blob").join(groups, "page")
             sent = chosen.select("page", "block", "query_id", "v", "kth", F.lit(None).cast("binary").alias("blob"))
             there = blobs.select("page", "block", *[F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("v", "array<double>"), ("kth", "double"))], "blob")
