@@ -25,6 +25,7 @@ def trim_zeros(digits: Column) -> Column:
 
 def normalize_id(c: Column) -> Column:
     """Upper case, one hyphen between letters and digits, padding zeros trimmed; null gives ""."""
+    #: fixed values: the grammar of identifiers, joined and parted
     d = _upper(c)
     out = d
     for prefix, digits in reversed(SPECIAL_IDS.items()):
@@ -135,6 +136,19 @@ def year_in(c: Column, pattern: str) -> Column:
     return F.regexp_extract(c, pattern, 1).try_cast("int")
 
 
+#: fixed values: how texts speak of a first and of a renewed year
+DEBUT_YEAR = r"(\d{4})\s*年?\s*(?:\d{1,2}\s*月\s*)?(?:デビュー|出道|debut)"
+COMEBACK_YEAR = r"(\d{4})\s*年?\s*(?:\d{1,2}\s*月\s*)?(?:復帰|复出|復出|comeback)"
+
+
+def debut_year(c: Column) -> Column:
+    return year_in(F.lower(c), DEBUT_YEAR)
+
+
+def comeback_year(c: Column) -> Column:
+    return year_in(F.lower(c), COMEBACK_YEAR)
+
+
 def active_span(c: Column, start: str = r"(\d{4})\s*[-~–]", end: str = r"\d{4}\s*[-~–]\s*(\d{4})") -> Column:
     return F.struct(year_in(c, start).alias("start"), year_in(c, end).alias("end"))
 

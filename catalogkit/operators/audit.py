@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogkit.functions.empty import has_value, is_unset
 from catalogkit.operators.merge import Roles, attribution_conflict
+from catalogkit.operators.ordered import one_per_key
 
 KEY_FIELDS = ("title", "cover", "date", "owner")
 
@@ -33,15 +34,25 @@ def validate_index(entities: DataFrame, items: DataFrame) -> DataFrame:
     return nameless.unionByName(codeless)
 
 
-def field_report(items: DataFrame, code: str, fields: Sequence[str], cut: int = 40) -> DataFrame:
-    """(field, present, preview) of one item; no rows if there is none of this code."""
+def field_report(items: DataFrame, code: str, fields: Sequence[str], cut: int = 40, needed: Sequence[str] = KEY_FIELDS) -> DataFrame:
+    """(field, present, preview, verdict) of one item: verdict is ok, gap, or missing for a gap in a needed field.
+
+    An unknown code raises an error, which takes one small job."""
     row = items.where(F.upper("code") == code.strip().upper())
+    if row.isEmpty():
+        raise LookupError(f"no item {code.strip().upper()}")
+    return field_reports(row, fields, cut, needed).drop("code")
+
+
+def field_reports(items: DataFrame, fields: Sequence[str], cut: int = 40, needed: Sequence[str] = KEY_FIELDS) -> DataFrame:
+    """(code, field, present, preview, verdict) of every item: previews are cut, arrays are counted."""
     parts = []
-    for i, f in enumerate(fields):
+    for f in fields:
         kind = items.schema[f].dataType
         text = F.size(f).cast("string") if kind.typeName() in ("array", "map") else F.substring(F.col(f).cast("string"), 1, cut)
-        parts.append(F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), has_value(F.col(f), kind).alias("present"), text.alias("preview")))
-    return row.select(F.explode(F.array(*parts)).alias("r")).select("r.*").orderBy("pos").drop("pos")
+        has = has_value(F.col(f), kind)
+        parts.append(F.struct(F.lit(f).alias("field"), has.alias("present"), text.alias("preview"), F.when(has, "ok").otherwise("missing" if f in needed else "gap").alias("verdict")))
+    return items.select(F.upper("code").alias("code"), F.explode(F.array(*parts)).alias("r")).select("code", "r.*")
 
 
 def field_coverage(items: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -68,9 +79,10 @@ def items_per_owner(items: DataFrame, owner: str = "owner") -> DataFrame:
 def sweep_snapshots(old: DataFrame, new: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """(key, class, owner, source, cast) of every key whose rows differ or that one side lacks.
 
-    An old owner or source that changed is restored; a cast filled where there was none, without the
+    Of rows that share a key the smallest counts.  An old owner or source that changed is restored; a cast filled where there was none, without the
     owner in it, is reverted.  class: error, noise, cast_reverted, attrib_restored or kept."""
     k, columns = roles.key, [c for c in new.columns if c != roles.key and c in old.columns]
+    old, new = (one_per_key(rows.select(k, *columns), [k]) for rows in (old, new))
     o = old.select(k, F.lit(True).alias("o__"), *[F.col(c).alias(f"o_{c}") for c in columns])
     n = new.select(k, F.lit(True).alias("n__"), *[F.col(c).alias(f"n_{c}") for c in columns])
     both = o.join(n, k, "full")
@@ -121,7 +133,7 @@ def fix_attribution(items: DataFrame, trusted: Sequence[str], force: bool = Fals
 
 def attribution_audit(items: DataFrame, observed: DataFrame, placeholders: Sequence[str] = (), roles: Roles = Roles()) -> DataFrame:
     """(key, stored, observed, status): no_data, placeholder, conflict or ok."""
-    o = observed.select(roles.key, F.col(roles.owner).alias("observed"))
+    o = observed.groupBy(roles.key).agg(F.min(roles.owner).alias("observed"))
     joined = items.select(roles.key, F.col(roles.owner).alias("stored")).join(o, roles.key, "left")
     status = (
         F.when(F.coalesce("observed", F.lit("")) == "", "no_data").when(F.col("observed").isin(*placeholders or [""]), "placeholder")
@@ -160,5 +172,5 @@ def run_summary(result: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def share_of_total(counts: DataFrame, n: str = "n") -> DataFrame:
-    """Adds each row's share of the sum."""
-    return counts.withColumn("share", F.round(F.col(n) / counts.agg(F.sum(n)).scalar(), 6))
+    """Adds each row's share of the sum; ``counts`` is a short table of totals."""
+    return counts.withColumn("share", F.round(F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(1))), 6))

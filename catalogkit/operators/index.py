@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.functions.text import former_marker, is_recent
-from catalogkit.operators.ordered import keep_first, top_per_group
+from catalogkit.functions.text import former_marker, is_recent, normalize_id
+from catalogkit.operators.ordered import keep_first, one_per_key, top_per_group
 
 OTHER = "other"
 
@@ -19,20 +19,32 @@ def resolve_owner(items: DataFrame, owner: str = "owner", cast: str = "cast", ot
     return F.coalesce(F.nullif(F.col(owner), F.lit("")), first, F.lit(other))
 
 
-def group_index(items: DataFrame, nested: bool = False, cap: int | None = None, key: str = "code") -> DataFrame:
-    """(owner, work_count, codes) per owner, codes sorted and distinct.
+def owner_codes(items: DataFrame, key: str = "code") -> DataFrame:
+    """(owner, code), each once: the index as rows, which no owner makes large."""
+    return items.select(resolve_owner(items).alias("owner"), F.col(key).alias("code")).distinct()
 
-    ``nested`` adds the items as structs, ``cap`` at most that many, since the bucket for the rest may
-    hold a large part of the table; the flat form is the default."""
+
+def group_index(items: DataFrame, nested: bool = False, cap: int | None = None, key: str = "code", chunk_rows: int = 10_000) -> DataFrame:
+    """(owner, chunk, work_count, codes), codes sorted and distinct, work_count of the whole owner.
+
+    An owner of more than ``chunk_rows`` codes has several chunks, dealt by a hash of the code, since the bucket for
+    the rest may hold a large part of the table; others have chunk 0 alone.  ``nested`` adds the items as structs,
+    ``cap`` at most that many of an owner."""
     owned = items.withColumn("__owner", resolve_owner(items))
-    out = owned.groupBy(F.col("__owner").alias("owner")).agg(F.count_distinct(key).alias("work_count"), F.array_sort(F.collect_set(key)).alias("codes"))
+    pairs = owned.select("__owner", key).where(F.col(key).isNotNull()).distinct()
+    counts = owned.select("__owner").distinct().join(pairs.groupBy("__owner").agg(F.count("*").alias("n")), "__owner", "left").select(F.col("__owner").alias("owner"), F.coalesce("n", F.lit(0)).alias("work_count"))
+    place = F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long")
+    chunk = F.coalesce(F.pmod(place, F.greatest(F.ceil(F.col("work_count") / chunk_rows), F.lit(1))), F.lit(0)).cast("int")
+    out = pairs.withColumnRenamed("__owner", "owner").join(counts, "owner", "right").withColumn("chunk", chunk)
+    out = out.groupBy("owner", "chunk").agg(F.first("work_count").alias("work_count"), F.array_sort(F.collect_list(key)).alias("codes"))
     if not nested:
         return out
     columns = [c for c in items.columns if c != key]
     once = keep_first(owned, ["__owner", key], [F.struct(*columns)] if columns else [F.lit(1)])
     once = top_per_group(once, ["__owner"], [F.col(key)], cap) if cap else once
-    works = once.groupBy(F.col("__owner").alias("owner")).agg(F.array_sort(F.collect_list(F.struct(key, *columns))).alias("works"))
-    return out.join(works, "owner")
+    dealt = once.withColumnRenamed("__owner", "owner__").join(counts.withColumnRenamed("owner", "owner__"), "owner__").withColumn("chunk", chunk)
+    works = dealt.groupBy(F.col("owner__"), "chunk").agg(F.array_sort(F.collect_list(F.struct(key, *columns))).alias("works")).withColumnRenamed("owner__", "owner")
+    return out.join(works, ["owner", "chunk"])
 
 
 def attach_profiles(index: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -57,16 +69,24 @@ def entity_stats(items: DataFrame, dated_only: bool = False) -> DataFrame:
     return rows.groupBy(F.col("__owner").alias("owner")).agg(F.count("*").alias("work_count"), F.min("__date").alias("first_date"), F.max("__date").alias("last_date"))
 
 
-def entity_table(profiles: DataFrame, stats: DataFrame, clusters: DataFrame, buckets: Sequence[str] = (OTHER,), labels: Sequence[str] = ()) -> DataFrame:
-    """All entities of either side: type, aliases (cluster first, without the name), counts; real ones first, then by count and name."""
+def entity_table(profiles: DataFrame, stats: DataFrame, clusters: DataFrame, buckets: Sequence[str] = (OTHER,), labels: Sequence[str] = (), status_labels: dict[str, str] | None = None) -> DataFrame:
+    """All entities of either side: type, aliases (cluster first, without the name), counts, the status' label and a note;
+    real ones first, then by count and name.
+
+    ``status_labels`` is a short literal map; a status that it lacks stays as it is.  The note says what an entity
+    lacks: no_profile, no_items."""
     joined = profiles.join(stats, profiles.name == stats.owner, "full").withColumn("entity", F.coalesce("name", "owner"))
     names = clusters.where("alias <> canonical").groupBy(F.col("canonical").alias("__c")).agg(F.array_sort(F.collect_set("alias")).alias("__names"))
     joined = joined.join(names, F.col("entity") == F.col("__c"), "left")
     none = F.array().cast("array<string>")
     own = F.coalesce("aliases", none) if "aliases" in profiles.columns else none
     aliases = F.array_except(F.array_distinct(F.concat(F.coalesce("__names", none), own)), F.array("entity"))
+    status = F.col("status") if "status" in profiles.columns else F.lit(None).cast("string")
+    if status_labels:
+        status = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in status_labels.items() for x in pair]), status), status)
+    note = F.concat_ws("; ", F.when(F.col("name").isNull(), "no_profile"), F.when(F.col("owner").isNull(), "no_items"))
     kind = F.when(F.col("entity").isin(*buckets), "bucket").when(F.col("entity").isin(*labels or [""]), "label").otherwise("person")
-    out = joined.select(F.col("entity").alias("name"), kind.alias("type"), aliases.alias("aliases"), F.coalesce("work_count", F.lit(0)).alias("work_count"), "first_date", "last_date", F.col("owner").isNull().alias("profile_only"))
+    out = joined.select(F.col("entity").alias("name"), kind.alias("type"), aliases.alias("aliases"), F.coalesce("work_count", F.lit(0)).alias("work_count"), "first_date", "last_date", F.col("owner").isNull().alias("profile_only"), status.alias("status"), note.alias("note"))
     return out.orderBy(F.col("type") != "person", F.desc("work_count"), "name")
 
 
@@ -94,12 +114,15 @@ def cache_split(keys: DataFrame, cache: DataFrame, key: str = "code") -> DataFra
     return keys.select(key).distinct().join(c, key, "left").select(key, status.alias("fetch_status"))
 
 
-def read_through(keys: DataFrame, store: DataFrame, observed: DataFrame, key: str = "code") -> DataFrame:
+def read_through(keys: DataFrame, store: DataFrame, observed: DataFrame, key: str = "code", canon: bool = False) -> DataFrame:
     """Per distinct key the stored row if it has a title, else the observed one, else a pending stub if an
-    owner is known; ``origin`` says which.  ``keys``: key and ``owner``."""
+    owner is known; ``origin`` says which.  ``keys``: key and ``owner``; with ``canon`` keys are brought to their
+    canonical form first.  Of several stored or observed rows of a key the smallest counts."""
     fields = [c for c in store.columns if c in observed.columns and c not in (key, "owner", "source")]
     s = store.where("title <> ''").select(key, F.lit(True).alias("__s"), *[F.col(f).alias(f"s_{f}") for f in [*fields, "owner", "source"]])
     o = observed.select(key, F.lit(True).alias("__o"), *[F.col(f).alias(f"o_{f}") for f in [*fields, "owner", "source"]])
+    s, o = one_per_key(s, [key]), one_per_key(o, [key])
+    keys = keys.withColumn(key, normalize_id(F.col(key))) if canon else keys
     asked = keys.groupBy(key).agg(F.min("owner").alias("hint"))
     joined = asked.join(s, key, "left").join(o, key, "left").where("__s OR __o OR hint <> ''")
     pick = lambda f: F.when(F.col("__s"), F.col(f"s_{f}")).when(F.col("__o"), F.col(f"o_{f}"))

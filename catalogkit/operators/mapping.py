@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogkit.functions.text import clean_ws, code_prefix, is_code_prefix, parse_code, zero_pad
+from catalogkit.operators.ordered import one_per_key
 
 
 def labelled_pairs(items: DataFrame, observed: DataFrame, src: str, dst: str, key: str = "code", skip_prefix: bool = False) -> DataFrame:
@@ -60,7 +61,8 @@ def backfill(items: DataFrame, observed: DataFrame, mappings: dict[str, tuple[st
     """Clears prefix-only series, fills ``direct`` fields as observed and the others through a mapping.
 
     ``mappings``: item field -> (observed field, mapping).  Adds ``events``: what happened to the row."""
-    out = items.join(observed.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in observed.columns if c != key]), key, "left")
+    seen = one_per_key(observed, [key]).select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in observed.columns if c != key])
+    out = items.join(seen, key, "left")
     out = out.withColumn("__clear", is_code_prefix(F.col(series), F.col(key))).withColumn(series, clear_prefix(F.col(series), F.col(key)))
     events = [F.when(F.col("__hit").isNull(), F.lit("no_hit")), F.when(F.col("__clear"), F.lit(f"clear_{series}_prefix"))]
     for f in direct:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from catalogkit.functions.empty import has_value, is_blank, is_unset
 from catalogkit.functions.text import normalize_name
-from catalogkit.operators.ordered import union_arrays
+from catalogkit.operators.ordered import one_per_key, union_arrays
 
 TEXT = T.StringType()
 PENDING = "pending"
@@ -70,9 +70,11 @@ def merged_fields(old: dict[str, Column], new: dict[str, Column], kinds: dict[st
 
 
 def fill_merge(old: DataFrame, new: DataFrame, fields: Sequence[str], roles: Roles = Roles(), guard: str = "strict") -> DataFrame:
-    """Items with their empty fields filled; adds ``changed`` and ``changed_keys``.  ``new`` has one row per key."""
+    """Items with their empty fields filled; adds ``changed`` and ``changed_keys``.
+
+    Of several new rows of a key the smallest counts (``ordered.one_per_key``), so that items never multiply."""
     names = [f for f in fields if f in old.columns and f in new.columns]
-    joined = old.join(new.select(roles.key, *[F.col(f).alias(f"__{f}") for f in names]), roles.key, "left")
+    joined = old.join(one_per_key(new.select(roles.key, *[F.col(f).alias(f"__{f}") for f in names]), [roles.key]), roles.key, "left")
     merged = merged_fields({f: F.col(f) for f in old.columns}, {f: F.col(f"__{f}") for f in names}, {f: _kind(old, f) for f in names}, roles, guard)
     keys = F.filter(F.array(*[F.when(~merged[f].eqNullSafe(F.col(f)), F.lit(f)) for f in names]), lambda x: x.isNotNull())
     rest = [c for c in old.columns if c not in merged]
@@ -83,11 +85,13 @@ def chain_fill(items: DataFrame, observations: DataFrame, fields: Sequence[str],
     """Folds each item's observations by (priority, source); adds ``filled_from``, the sources that changed it.
 
     The chain stops after a source that changed something once all of ``stop_on`` (or, without it, the
-    title) has a value.  A source that changes nothing never stops it.  An item's observations are as many
-    as there are sources, so the gathered array is small.
+    title) has a value.  A source that changes nothing never stops it.  Of several observations of an item by one
+    source at one priority the smallest counts, so that the gathered array is as small as there are sources.
+    Observations without a key are left out.
     """
     names = [f for f in fields if f in observations.columns]
     kinds = {f: _kind(items, f) for f in names}
+    observations = one_per_key(observations.where(F.col(roles.key).isNotNull()).select(roles.key, "priority", "source", *names), [roles.key, "priority", "source"])
     seen = observations.groupBy(roles.key).agg(F.array_sort(F.collect_list(F.struct("priority", F.col("source").alias("by"), *[F.col(f).alias(f"n_{f}") for f in names]))).alias("__seen"))
     joined = items.join(seen, roles.key, "left")
     state = F.struct(*[F.col(f).alias(f) for f in names], F.array().cast("array<string>").alias("filled_from"), F.lit(False).alias("stop"))
@@ -134,7 +138,7 @@ def gap_fill(items: DataFrame, new: DataFrame, fields: Sequence[str], curated: D
 
     Adds ``filled``, the array of filled fields.  ``curated`` has a column ``name``."""
     names = [f for f in fields if f in new.columns]
-    own = new.select(roles.key, *[F.col(f).alias(f"__{f}") for f in names])
+    own = one_per_key(new.select(roles.key, *[F.col(f).alias(f"__{f}") for f in names]), [roles.key])
     if roles.owner in names:
         own = own.join(curated.select(F.col("name").alias(f"__{roles.owner}"), F.lit(True).alias("__ok")).distinct(), f"__{roles.owner}", "left")
     joined = items.join(own, roles.key, "left")
@@ -143,9 +147,16 @@ def gap_fill(items: DataFrame, new: DataFrame, fields: Sequence[str], curated: D
     return joined.select(*[F.when(take[c], F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in take else F.col(c) for c in items.columns], filled.alias("filled"))
 
 
-def profile_fill(profiles: DataFrame, fetched: DataFrame, fields: Sequence[str], key: str = "name", aliases: str | None = "aliases", photo: tuple[str, str] | None = ("photo", "avatar")) -> DataFrame:
-    """Profiles filled where unset (a missing profile starts as its name alone); adds ``changed_keys``."""
-    joined = profiles.join(fetched.select(key, *[F.col(c).alias(f"__{c}") for c in fetched.columns if c != key]), key, "full")
+#: fixed values: what a second source of profiles may give, its link's column and the profile's
+SECOND_SOURCE = ("reading", "birthday", "height", "bust", "waist", "hip", "cup", "debut", "agency", "hobby", "blood_type", "birthplace")
+
+
+def profile_fill(profiles: DataFrame, fetched: DataFrame, fields: Sequence[str], key: str = "name", aliases: str | None = "aliases", photo: tuple[str, str] | None = ("photo", "avatar"), link: tuple[str, str] | None = ("url", "link")) -> DataFrame:
+    """Profiles filled where unset (a missing profile starts as its name alone); adds ``changed_keys``.
+
+    Aliases are joined in order, the photo stands in for a missing avatar and the page's address for a missing link.
+    A second source is the same operator with its own ``fields`` (SECOND_SOURCE) over the names that a probe found."""
+    joined = profiles.join(one_per_key(fetched.select(key, *[F.col(c).alias(f"__{c}") for c in fetched.columns if c != key]), [key]), key, "full")
     out: dict[str, Column] = {}
     for f in fields:
         kind = _kind(profiles, f)
@@ -156,6 +167,9 @@ def profile_fill(profiles: DataFrame, fetched: DataFrame, fields: Sequence[str],
     if photo and photo[0] in fetched.columns and photo[1] in profiles.columns:
         now = out.get(photo[1], F.col(photo[1]))
         out[photo[1]] = F.when(is_unset(now, TEXT) & has_value(F.col(f"__{photo[0]}"), TEXT), F.col(f"__{photo[0]}")).otherwise(now)
+    if link and link[0] in fetched.columns and link[1] in profiles.columns:
+        now = out.get(link[1], F.col(link[1]))
+        out[link[1]] = F.when(is_unset(now, TEXT) & has_value(F.col(f"__{link[0]}"), TEXT), F.col(f"__{link[0]}")).otherwise(now)
     keys = F.filter(F.array(*[F.when(~c.eqNullSafe(F.col(f)), F.lit(f)) for f, c in out.items()]), lambda x: x.isNotNull())
     return joined.select(*[out.get(c, F.col(c)).alias(c) for c in profiles.columns], keys.alias("changed_keys"))
 
@@ -183,7 +197,7 @@ def image_merge(items: DataFrame, found: DataFrame, key: str = "code", force: bo
 
 def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, action): non-blank new values win; action is created, updated or skipped."""
-    fresh = new.select(F.trim(key).alias(key), F.trim(value).alias("__new")).where(f"{key} <> '' AND __new <> ''")
+    fresh = one_per_key(new.select(F.trim(key).alias(key), F.trim(value).alias("__new")).where(f"{key} <> '' AND __new <> ''"), [key])
     joined = old.select(key, value, F.lit(True).alias("__old")).join(fresh, key, "full")
     action = F.when(F.col("__old").isNull(), "created").when(F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col(value)), "updated").otherwise("skipped")
     return joined.select(key, F.coalesce("__new", value).alias(value), action.alias("action"))
@@ -191,7 +205,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 
 def observed_record(old: DataFrame, parsed: DataFrame, primary: str, key: str = "code") -> DataFrame:
     """A fresh record from a parsed page: a known owner and an old cover stand in, the source says if a page was read."""
-    joined = old.select(key, F.col("owner").alias("hint"), F.col("cover").alias("__cover")).join(parsed, key, "left")
+    joined = old.select(key, F.col("owner").alias("hint"), F.col("cover").alias("__cover")).join(one_per_key(parsed, [key]), key, "left")
     status = F.when(F.col("title").isNotNull(), primary).otherwise(PENDING)
     own = {"owner": F.coalesce("hint", "owner"), "cover": F.coalesce("cover", "__cover")}
     return joined.select(key, *[own.get(c, F.col(c)).alias(c) for c in parsed.columns if c not in (key, "source")], status.alias("source"))

@@ -29,12 +29,11 @@ def alias_collisions(clusters: DataFrame) -> DataFrame:
 
 def canonicalise_owner(items: DataFrame, clusters: DataFrame, owner: str = "owner") -> DataFrame:
     """Owners that are an alias of exactly one cluster get its name; canonical, collided and unknown names stay."""
-    sure = clusters.groupBy("alias").agg(F.count_distinct("canonical").alias("n"), F.min("canonical").alias("__canonical")).where("n = 1")
-    heads = clusters.select(F.col("canonical").alias("alias"), F.lit(True).alias("__head")).distinct()
-    joined = items.join(sure.withColumnRenamed("alias", "__a").drop("n"), F.col(owner) == F.col("__a"), "left")
-    joined = joined.join(heads.withColumnRenamed("alias", "__h"), F.col(owner) == F.col("__h"), "left")
-    new = F.when(F.col("__head"), F.col(owner)).otherwise(F.coalesce("__canonical", owner))
-    return joined.select(*[new.alias(c) if c == owner else F.col(c) for c in items.columns])
+    own = clusters.groupBy("alias").agg(F.count_distinct("canonical").alias("n"), F.min("canonical").alias("canonical"))
+    heads = clusters.select(F.col("canonical").alias("alias")).distinct().withColumn("head", F.lit(True))
+    known = own.join(heads, "alias", "full").where("n = 1 AND head IS NULL").select(F.col("alias").alias("__a"), F.col("canonical").alias("__canonical"))
+    joined = items.join(known, F.col(owner) == F.col("__a"), "left")
+    return joined.select(*[F.coalesce("__canonical", owner).alias(c) if c == owner else F.col(c) for c in items.columns])
 
 
 def expand_query(clusters: DataFrame, text: str) -> DataFrame:
@@ -54,13 +53,14 @@ def sync_aliases(edges: DataFrame, profiles: DataFrame, shortest_ascii: int = 5)
 
 
 def attach_value(items: DataFrame, dictionary: DataFrame, key: str, out: str) -> DataFrame:
-    """Adds ``out``: the dictionary's (src, dst) value of the key, null where it has none or an empty one."""
-    found = dictionary.where("dst <> ''").select(F.col("src").alias("__s"), F.col("dst").alias(out))
+    """Adds ``out``: the dictionary's (src, dst) value of the key, null where it has none or an empty one; of several the smallest."""
+    found = dictionary.where("dst <> ''").groupBy(F.col("src").alias("__s")).agg(F.min("dst").alias(out))
     return items.join(found, F.col(key) == F.col("__s"), "left").drop("__s")
 
 
 def look_up_name(items: DataFrame, dictionary: DataFrame, name: str, normalized: str, out: str) -> DataFrame:
-    """Adds ``out``: the dictionary's (src, dst) value of the name, else of the normalised name."""
+    """Adds ``out``: the dictionary's (src, dst) value of the name, else of the normalised name; of several the smallest."""
+    dictionary = dictionary.groupBy("src").agg(F.min("dst").alias("dst"))
     one = dictionary.select(F.col("src").alias("__s1"), F.col("dst").alias("__d1"))
     two = dictionary.select(F.col("src").alias("__s2"), F.col("dst").alias("__d2"))
     joined = items.join(one, F.col(name) == F.col("__s1"), "left").join(two, F.col(normalized) == F.col("__s2"), "left")

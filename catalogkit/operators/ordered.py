@@ -27,9 +27,18 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return _ranked(df, keys, order).where(F.col("__rank") <= n).withColumnRenamed("__rank", "rank")
 
 
-def first_value(c: Column, order: Column, wanted: Column) -> Column:
-    """Aggregate: the value of lowest order among those wanted."""
-    return F.min_by(F.when(wanted, c), F.when(wanted, order))
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key: the smallest by its other columns as JSON text.  A key that is unique keeps its row."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    row = F.struct(*rest)
+    return df.groupBy(*keys).agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("__row")).select(*keys, "__row.*")
+
+
+def prefix(c: Column, n: int = 12) -> Column:
+    """The first ``n`` values of an array; null gives none."""
+    return F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n)
 
 
 def union_arrays(old: Column, new: Column) -> Column:
@@ -38,14 +47,6 @@ def union_arrays(old: Column, new: Column) -> Column:
     return F.array_distinct(F.concat(seen, F.filter(F.coalesce(new, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))))
 
 
-def share_of(amount: Column, keys: Sequence[str]) -> Column:
-    return amount / F.sum(amount).over(Window.partitionBy(*keys))
-
-
-def fraction_of_max(amount: Column, keys: Sequence[str]) -> Column:
-    return amount / F.max(amount).over(Window.partitionBy(*keys))
-
-
 def union_keys(*keys: DataFrame) -> DataFrame:
     """Distinct union of one-column key tables."""
     out = keys[0]

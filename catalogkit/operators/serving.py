@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalogkit.functions.text import link_from_template
+
 NONE = "array<string>"
 
 
@@ -17,7 +19,7 @@ def _array(df: DataFrame, name: str) -> Column:
 def add_search_blob(items: DataFrame, texts: Sequence[str], arrays: Sequence[str]) -> DataFrame:
     """Adds ``search_blob``: all searched fields lower-cased, parted by a control character.
 
-    Stored with the table, a search is one substring test that the scan can use to skip row groups."""
+    Stored with the table, a search reads one column and tests one substring."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in texts] + [F.array_join(_array(items, c), "\u0001") for c in arrays]
     return items.withColumn("search_blob", F.lower(F.concat_ws("\u0001", *parts)))
 
@@ -28,6 +30,27 @@ def search(items: DataFrame, query: str) -> DataFrame:
     return items.where(F.col("search_blob").contains(q)) if q else items
 
 
+def search_everywhere(items: DataFrame, query: str, owners: DataFrame, clusters: DataFrame, tag_map: DataFrame, texts: Sequence[str] = ("code", "title", "maker", "label", "series"), owner: str = "owner", tags: str = "tags") -> DataFrame:
+    """Rows that hold the query in a text, the owner or its translation, an alias of the owner, a tag or its translation.
+
+    ``owners`` and ``tag_map`` are (src, dst), ``clusters`` (canonical, alias).  The dictionaries are searched first; what
+    they find meets the items in semi-joins.  An empty query gives all rows."""
+    q = query.strip().lower()
+    if not q:
+        return items
+    has = lambda c: F.lower(F.col(c)).contains(q)
+    direct = F.lit(False)
+    for c in (*texts, owner):
+        direct = direct | F.coalesce(has(c), F.lit(False))
+    direct = direct | F.coalesce(F.exists(_array(items, tags), lambda x: F.lower(x).contains(q)), F.lit(False))
+    named = owners.where(has("dst")).select(F.col("src").alias("__o")).union(clusters.where(has("alias")).select("canonical")).distinct().withColumn("__named", F.lit(True))
+    told = tag_map.where(has("dst")).select(F.col("src").alias("__t")).distinct()
+    arrays = items.select(F.col(tags).alias("__a")).distinct()
+    tagged = arrays.select("__a", F.explode("__a").alias("__t")).join(told, "__t", "left_semi").select("__a").distinct().withColumn("__tagged", F.lit(True))
+    met = items.join(named, F.col(owner) == F.col("__o"), "left").join(tagged, F.col(tags) == F.col("__a"), "left")
+    return met.where(direct | F.col("__named").isNotNull() | F.col("__tagged").isNotNull()).select(items.columns)
+
+
 def facet_filter(items: DataFrame, kind: str, value: str) -> DataFrame:
     """Exact facet: tag (tags, labels or translated tags), maker (maker or label), series, director."""
     if kind == "tag":
@@ -88,8 +111,27 @@ def facet_browse(items: DataFrame, kind: str, limit: int = 80) -> DataFrame:
     return _facet_values(items, kind).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(limit)
 
 
-def top_n(items: DataFrame, kind: str, n: int) -> DataFrame:
-    return facet_browse(items, kind, n)
+def facet_totals(items: DataFrame, kinds: Sequence[str] = ("tag", "maker", "series", "director")) -> DataFrame:
+    """(kind, values): how many distinct values each facet has."""
+    out = None
+    for kind in kinds:
+        one = _facet_values(items, kind).agg(F.count_distinct("value").alias("values")).select(F.lit(kind).alias("kind"), "values")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: fixed values: how many values of each kind the overview shows
+OVERVIEW = {"maker": 15, "tag": 24, "director": 10, "owner": 15}
+
+
+def overview(items: DataFrame, shown: dict[str, int] = OVERVIEW) -> DataFrame:
+    """(kind, place, value, n): the most frequent values of each kind."""
+    out = None
+    for kind, n in shown.items():
+        top = facet_browse(items, kind, n)
+        one = top.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(F.desc("n"), "value")).alias("place"), "value", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def year_of(date: str = "date") -> Column:
@@ -144,9 +186,9 @@ def latest(items: DataFrame, n: int = 60) -> DataFrame:
 
 
 def head_and_rest(rows: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    """The first ``n`` rows with ``omitted``, how many are left out."""
-    total = rows.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("omitted"))
-    return rows.orderBy(*order).limit(n).withColumn("omitted", total.scalar())
+    """The first ``n`` rows of a report with ``omitted``, how many are left out; a report is a table of totals."""
+    ranked = rows.withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
+    return ranked.orderBy(*order).limit(n).withColumn("omitted", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n")
 
 
 def link_union(items: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:
@@ -158,8 +200,7 @@ def link_union(items: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFr
         F.array(F.struct(F.lit("trailer").alias("site"), F.col("trailer").alias("url")), F.struct(F.lit("source").alias("site"), F.col("source_url").alias("url"))),
     )
     own = items.select("code", F.posexplode(fixed).alias("pos", "l")).select("code", "pos", "l.site", "l.url")
-    url = lambda template: F.replace(F.lit(template), F.lit("{code}"), F.url_encode("code"))
-    listed = F.array(*[F.struct(F.lit(site).alias("site"), url(template).alias("url")) for site, template in templates])
+    listed = F.array(*[F.struct(F.lit(site).alias("site"), link_from_template(F.lit(template), F.col("code")).alias("url")) for site, template in templates])
     made = items.select("code", F.posexplode(listed).alias("ord", "l")).select("code", (F.col("ord") + 1000).alias("pos"), "l.site", "l.url")
     every = (own.unionByName(made) if templates else own).where("url <> ''")
     return every.groupBy("code", "url").agg(F.min(F.struct("pos", "site")).alias("f")).select("code", "f.pos", "f.site", "url")

@@ -60,27 +60,33 @@ def build_tag_map(rows: DataFrame, curated: DataFrame | None = None) -> DataFram
     return found.join(best, "src", "full").select("src", F.coalesce("__curated", "dst").alias("dst"))
 
 
-def _translated(items: DataFrame, key: str, col: str, tag_map: DataFrame) -> DataFrame:
-    """(key, pos, tag, dst) of every tag, by a join that suits dictionaries of any size."""
-    long = items.select(key, F.posexplode(col).alias("pos", "tag"))
-    return long.join(tag_map.select(F.col("src").alias("tag"), "dst"), "tag", "left")
+def _by_array(items: DataFrame, col: str, tag_map: DataFrame, value: Column, out: str, keep: Column | None = None) -> DataFrame:
+    """Adds ``out``: the array of ``value`` over (tag, dst) of each tag, in order.
 
+    Every distinct array is translated once and met again by its value, so that keys may repeat or be null, and
+    dictionaries have any size."""
+    arrays = items.select(F.col(col).alias("__a")).where("__a IS NOT NULL").distinct()
+    long = arrays.select("__a", F.posexplode("__a").alias("pos", "tag")).join(tag_map.select(F.col("src").alias("tag"), "dst"), "tag", "left")
+    kept = long.where(keep) if keep is not None else long
+    done = kept.groupBy("__a").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))), lambda x: x["v"]).alias("__l"))
+    joined = items.join(done, F.col(col) == F.col("__a"), "left")
+    return joined.withColumn(out, F.coalesce("__l", F.array().cast("array<string>"))).drop("__a", "__l")
 
-def translate_aligned(items: DataFrame, key: str, col: str, tag_map: DataFrame, out: str = "tags_zh", convert: tuple[str, str] | None = None) -> DataFrame:
-    """Adds ``out``: translations of the same length and order; a miss or blank mapping keeps the tag, null gives ""."""
+
+def translate_aligned(items: DataFrame, col: str, tag_map: DataFrame, out: str = "tags_zh", convert: tuple[str, str] | None = None) -> DataFrame:
+    """Adds ``out``: translations of the same length and order; a miss or blank mapping keeps the tag, null gives "".
+
+    A null array gives an empty one."""
     value = F.coalesce(F.nullif(F.col("dst"), F.lit("")), F.col("tag"), F.lit(""))
-    value = F.translate(value, *convert) if convert else value
-    rows = _translated(items, key, col, tag_map).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", value.alias("v")))).alias("__l"))
-    return items.join(rows, key, "left").withColumn(out, F.transform(F.coalesce("__l", F.array().cast("array<struct<pos:int,v:string>>")), lambda x: x["v"])).drop("__l")
+    return _by_array(items, col, tag_map, F.translate(value, *convert) if convert else value, out)
 
 
-def normalize_tags(items: DataFrame, key: str, col: str, tag_map: DataFrame, out: str = "tags_norm", convert: tuple[str, str] | None = None) -> DataFrame:
+def normalize_tags(items: DataFrame, col: str, tag_map: DataFrame, out: str = "tags_norm", convert: tuple[str, str] | None = None) -> DataFrame:
     """Adds ``out``: blank tags and tags mapped to blank dropped, others translated, first occurrences kept."""
     value = F.when(F.col("dst").isNotNull(), strip(F.col("dst"))).otherwise(F.col("tag"))
     value = F.translate(value, *convert) if convert else value
-    rows = _translated(items, key, col, tag_map).where(strip(F.col("tag")) != "").withColumn("v", value).where("v <> ''")
-    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("__l"))
-    return items.join(rows, key, "left").withColumn(out, F.array_distinct(F.transform(F.coalesce("__l", F.array().cast("array<struct<pos:int,v:string>>")), lambda x: x["v"]))).drop("__l")
+    found = _by_array(items, col, tag_map, value, out, keep=(strip(F.col("tag")) != "") & (value != ""))
+    return found.withColumn(out, F.array_distinct(out))
 
 
 def tag_coverage(items: DataFrame, col: str, tag_map: DataFrame) -> DataFrame:

@@ -79,7 +79,11 @@ VIEWS: dict[str, str] = {
                       lpad(CAST(CASE WHEN p_partkey % 50 = 1 THEN p_partkey - 1 ELSE p_partkey END AS STRING), 5, '0'), CASE WHEN p_partkey % 5 = 0 THEN concat(' ', p_name) ELSE '' END,
                       CASE WHEN p_partkey % 6 = 0 THEN '_4K60fps' WHEN p_partkey % 6 = 1 THEN '_4Ks2' WHEN p_partkey % 6 = 2 THEN '[8K]' ELSE '' END,
                       CASE WHEN p_partkey % 7 = 0 THEN '.part2' WHEN p_partkey % 7 = 1 THEN ' (3)' ELSE '' END, CASE p_partkey % 8 WHEN 0 THEN '.jpg' WHEN 1 THEN '.txt' ELSE '.mp4' END) AS fn
-        FROM {part}
+        FROM {part} UNION ALL
+        SELECT concat('folder', CAST(p_partkey % 5 AS STRING)), concat('again', CAST(p_partkey AS STRING)), concat(p_type, CASE WHEN p_size > 40 THEN '_' ELSE '-' END, lpad(CAST(p_partkey AS STRING), 5, '0'), '.mp4')
+        FROM {part} WHERE p_size > 30 UNION ALL
+        SELECT concat('folder', CAST(p_partkey % 5 AS STRING)), concat('twice', CAST(p_partkey AS STRING)), concat(p_type, '-', lpad(CAST(p_partkey AS STRING), 5, '0'), '.mp4')
+        FROM {part} WHERE p_size > 35
     """,
 }
 

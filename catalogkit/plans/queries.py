@@ -192,14 +192,14 @@ def profile_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    """WITH n AS (SELECT s_name AS name, 'https://a.example.com/' || s_suppkey AS avatar FROM supplier WHERE s_suppkey % 2 = 0)
+    """WITH n AS (SELECT s_name AS name, 'https://a.example.com/' || s_suppkey AS avatar FROM supplier WHERE s_acctbal > 0)
        SELECT coalesce(p.name, n.name) AS name, coalesce(n.avatar, p.avatar) AS avatar,
               CASE WHEN p.name IS NULL THEN 'created' WHEN n.avatar IS NOT NULL AND n.avatar IS DISTINCT FROM p.avatar THEN 'updated' ELSE 'skipped' END AS action
        FROM profiles p FULL JOIN n ON n.name = p.name""",
     ("profiles",),
 )
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    fresh = view(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_name").alias("name"), F.concat(F.lit("https://a.example.com/"), "s_suppkey").alias("avatar"))
+    fresh = view(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_name").alias("name"), F.concat(F.lit("https://a.example.com/"), "s_suppkey").alias("avatar"))
     return merge.upsert(view(spark, d, "profiles"), fresh, "name", "avatar")
 
 
@@ -229,12 +229,12 @@ def attribution(spark: SparkSession, d: str) -> DataFrame:
 @register(
     """SELECT i.code, i.owner AS stored, o.owner AS observed, CASE WHEN coalesce(o.owner, '') = '' THEN 'no_data' WHEN o.owner = 'Supplier#000000000' THEN 'placeholder'
               WHEN coalesce(i.owner, '') = o.owner THEN 'ok' ELSE 'conflict' END AS status
-       FROM items i LEFT JOIN (SELECT code, members[2] AS owner FROM items WHERE k % 3 <> 0) o ON o.code = i.code""",
+       FROM items i LEFT JOIN (SELECT code, members[2] AS owner FROM items WHERE rating <> 0) o ON o.code = i.code""",
     ("items",),
 )
 def attribution_audit(spark: SparkSession, d: str) -> DataFrame:
     items = view(spark, d, "items")
-    return audit.attribution_audit(items, items.where("k % 3 <> 0").select("code", F.get("members", F.lit(1)).alias("owner")), ["Supplier#000000000"], ROLES)
+    return audit.attribution_audit(items, items.where("rating <> 0").select("code", F.get("members", F.lit(1)).alias("owner")), ["Supplier#000000000"], ROLES)
 
 
 @register(
@@ -262,7 +262,7 @@ _TAGGED = f"WITH {TAG_MAP}, t AS (SELECT code, unnest(tags) AS tag, generate_sub
 
 @register(f"{_TAGGED} SELECT code, string_agg(coalesce(dst, tag), '|' ORDER BY pos) AS tags_zh FROM t LEFT JOIN tm ON tm.src = t.tag GROUP BY code", ("items", "dictionary"))
 def tags_aligned(spark: SparkSession, d: str) -> DataFrame:
-    out = tags.translate_aligned(view(spark, d, "items").select("code", "tags"), "code", "tags", tags.build_tag_map(view(spark, d, "dictionary")))
+    out = tags.translate_aligned(view(spark, d, "items").select("code", "tags"), "tags", tags.build_tag_map(view(spark, d, "dictionary")))
     return out.select("code", joined("tags_zh").alias("tags_zh"))
 
 
@@ -272,7 +272,7 @@ def tags_aligned(spark: SparkSession, d: str) -> DataFrame:
     ("items", "dictionary"),
 )
 def tags_normalised(spark: SparkSession, d: str) -> DataFrame:
-    out = tags.normalize_tags(view(spark, d, "items").select("code", "tags"), "code", "tags", tags.build_tag_map(view(spark, d, "dictionary")))
+    out = tags.normalize_tags(view(spark, d, "items").select("code", "tags"), "tags", tags.build_tag_map(view(spark, d, "dictionary")))
     return out.select("code", joined("tags_norm").alias("tags_norm"))
 
 
@@ -431,7 +431,12 @@ def source_compare(spark: SparkSession, d: str) -> DataFrame:
 RESOLVED = "coalesce(nullif(owner, ''), 'other')"
 
 
-@register(f"SELECT {RESOLVED} AS owner, count(DISTINCT code) AS work_count, string_agg(code, '|' ORDER BY code) AS codes FROM items GROUP BY 1", ("items",))
+@register(
+    f"""WITH o AS (SELECT DISTINCT {RESOLVED} AS owner, code FROM items), n AS (SELECT owner, count(*) AS work_count FROM o GROUP BY owner)
+        SELECT owner, CAST(CAST('0x' || substr(md5(code), 1, 8) AS BIGINT) % greatest(CAST(ceil(work_count / 10000) AS BIGINT), 1) AS INT) AS chunk, work_count, string_agg(code, '|' ORDER BY code) AS codes
+        FROM o JOIN n USING (owner) GROUP BY ALL""",
+    ("items",),
+)
 def owner_index(spark: SparkSession, d: str) -> DataFrame:
     return index.group_index(view(spark, d, "items").drop("members").withColumn("cast", F.array().cast("array<string>"))).withColumn("codes", joined("codes"))
 
@@ -445,12 +450,15 @@ def entity_stats(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {CLUSTERS}, st AS (SELECT {RESOLVED} AS owner, count(*) AS n, min(date) AS f, max(date) AS l FROM items GROUP BY 1),
              al AS (SELECT canonical, string_agg(DISTINCT alias, '|' ORDER BY alias) AS a FROM cl WHERE alias <> canonical GROUP BY 1)
         SELECT coalesce(p.name, st.owner) AS name, CASE WHEN st.owner = 'other' AND p.name IS NULL THEN 'bucket' ELSE 'person' END AS type, coalesce(al.a, '') AS aliases,
-               coalesce(st.n, 0) AS work_count, st.f AS first_date, st.l AS last_date, st.owner IS NULL AS profile_only
+               coalesce(st.n, 0) AS work_count, st.f AS first_date, st.l AS last_date, st.owner IS NULL AS profile_only,
+               CASE WHEN p.lead LIKE '%retired%' THEN 'Retired' WHEN p.lead IS NOT NULL THEN 'open' END AS status,
+               CASE WHEN p.name IS NULL THEN 'no_profile' WHEN st.owner IS NULL THEN 'no_items' ELSE '' END AS note
         FROM profiles p FULL JOIN st ON st.owner = p.name LEFT JOIN al ON al.canonical = coalesce(p.name, st.owner)""",
     ("items", "profiles", "edges", "curated"),
 )
 def entity_table(spark: SparkSession, d: str) -> DataFrame:
-    out = index.entity_table(view(spark, d, "profiles"), index.entity_stats(view(spark, d, "items")), _clusters(spark, d))
+    people = view(spark, d, "profiles").withColumn("status", F.when(F.col("lead").contains("retired"), "retired").otherwise("open"))
+    out = index.entity_table(people, index.entity_stats(view(spark, d, "items")), _clusters(spark, d), status_labels={"retired": "Retired", "active": "Active"})
     return out.withColumn("aliases", joined("aliases"))
 
 
@@ -660,9 +668,9 @@ _PARSED = r"""s1 AS (SELECT *, CASE WHEN regexp_matches(fn, '^\d{4}-\d{2}-\d{2}
     s4 AS (SELECT *, TRY_CAST(regexp_extract(c, '\s\((\d+)\)$', 1) AS INT) AS copy, regexp_replace(c, '\s\(\d+\)$', '') AS e FROM s3),
     s5 AS (SELECT *, CASE WHEN e LIKE '%\_4K60fps' ESCAPE '\' THEN '[4K][60fps]' WHEN e LIKE '%\_4Ks2' ESCAPE '\' THEN '[4K-S2]' WHEN e LIKE '%[8K]' THEN '[8K]' ELSE '' END AS tags,
                   regexp_replace(e, '(_4K60fps|_4Ks2|\[8K\])$', '') AS f FROM s4),
-    s6 AS (SELECT *, regexp_extract(f, '^([A-Z]+)(-?)(\d+)', 1) AS letters, regexp_extract(f, '^([A-Z]+)(-?)(\d+)', 2) AS dash, regexp_extract(f, '^([A-Z]+)(-?)(\d+)', 3) AS digits,
-                  trim(regexp_replace(f, '^[A-Z]+-?\d+', '')) AS body FROM s5),
-    s7 AS (SELECT *, letters || '-' || CASE WHEN dash = '-' THEN digits ELSE CAST(CAST(digits AS INT) AS VARCHAR) END AS code FROM s6),
+    s6 AS (SELECT *, regexp_extract(f, '^([A-Z]+)([-_]?)(\d+)', 1) AS letters, regexp_extract(f, '^([A-Z]+)([-_]?)(\d+)', 2) AS dash, regexp_extract(f, '^([A-Z]+)([-_]?)(\d+)', 3) AS digits,
+                  trim(regexp_replace(f, '^[A-Z]+[-_]?\d+', '')) AS body FROM s5),
+    s7 AS (SELECT *, letters || '-' || CASE WHEN dash <> '' THEN digits ELSE CAST(CAST(digits AS INT) AS VARCHAR) END AS code FROM s6),
     s8 AS (SELECT s7.*, coalesce(nullif(body, ''), nullif(i.title, '')) AS title, coalesce(file_date, i.date) AS date FROM s7 LEFT JOIN items i ON i.code = s7.code),
     plan AS (SELECT *, CASE WHEN ext = '' THEN 'extension' END AS reason, CASE WHEN ext <> '' THEN
         rtrim(trim(regexp_replace(concat_ws(' ', date, code, replace(title, '/', '_')) || tags || coalesce(' (' || copy || ')', '') || coalesce('.part' || part, '') || ext, '\s+', ' ', 'g'))) END AS new FROM s8)"""
@@ -723,16 +731,21 @@ def page_gates(spark: SparkSession, d: str) -> DataFrame:
     return gated.select("page_id", "reject_reason", F.size(pages.links(F.col("html"))).cast("long").alias("n_links"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("host"))
 
 
-@register("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages WHERE html LIKE '%<h1%'")
+_BARE = "trim(regexp_replace(regexp_replace({}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_HEAD, _DOC = (_BARE.format(f"regexp_extract(html, '(?is)<{t}[^>]*>(.*?)</{t}>', 1)") for t in ("h1", "title"))
+
+
+@register(f"SELECT page_id, coalesce(nullif({_HEAD}, ''), nullif(trim(string_split({_DOC}, '|')[1]), '')) AS title FROM pages")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "pages").where(F.contains("html", F.lit("<h1"))).select("page_id", pages.page_title(F.col("html")).alias("title"))
+    return view(spark, d, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"))
 
 
 @register(
-    """WITH l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link FROM pages)
+    """WITH l AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*"([^"]*)"', 1))) AS link FROM pages)
        SELECT page_id, link, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '^(https?:)', 1) || link
+              WHEN link = '' THEN url WHEN starts_with(link, '#') THEN regexp_extract(url, '^([^#]*)', 1) || link WHEN starts_with(link, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || link
               WHEN starts_with(link, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || link
-              ELSE coalesce(nullif(regexp_extract(url, '^(https?://[^?#]*/)', 1), ''), '') || link END AS absolute FROM l"""
+              ELSE coalesce(nullif(regexp_extract(url, '^(https?://[^?#]*/)', 1), ''), regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/') || link END AS absolute FROM l"""
 )
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "pages").select("page_id", "url", F.explode(pages.links(F.col("html"))).alias("link"))

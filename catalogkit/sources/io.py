@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,14 @@ def read_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, raw.where("reason IS NOT NULL").select("path", "reason")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, on whatever file system, is there."""
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").limit(1).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def read_entities(spark: SparkSession, path: str, folder_wins: bool = False) -> DataFrame:
     """Profiles keyed by their folder; the name is the profile's own unless ``folder_wins`` or it has none."""
     raw = spark.read.schema(ENTITIES).option("multiLine", True).json(path)
@@ -33,9 +42,13 @@ def read_entities(spark: SparkSession, path: str, folder_wins: bool = False) ->
 
 
 def read_maps(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """name -> (src, dst) from a JSON object of string maps; absent maps are empty."""
+    """name -> (src, dst) from a JSON object of string maps; absent maps, and those of an absent or unreadable file, are
+    empty."""
     schema = ", ".join(f"`{n}` map<string,string>" for n in names)
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    if exists(spark, path):
+        raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    else:
+        raw = spark.createDataFrame([], schema)
     return {n: raw.select(F.explode(n).alias("src", "dst")) for n in names}
 
 
@@ -51,15 +64,26 @@ def invert_aliases(edges: DataFrame) -> DataFrame:
     return edges.groupBy("alias").agg(F.array_sort(F.collect_set("canonical")).alias("canonicals"))
 
 
-def read_tag_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Rows of header-driven CSV files with the source's name (the file's), file and row order; missing columns are null."""
+def read_tag_sources(spark: SparkSession, paths: Sequence[str], legacy: str | None = None) -> DataFrame:
+    """Rows of header-driven CSV files with the source's name (the file's), file and row order; missing columns are null.
+
+    Files that are absent or hold no header are skipped, and a file that the folder ``legacy`` holds too is read from
+    there."""
     out = None
     for i, path in enumerate(paths):
-        part = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        older = f"{legacy}/{path.rsplit('/', 1)[-1]}" if legacy else None
+        chosen = older if older and exists(spark, older) else path
+        if not exists(spark, chosen):
+            continue
+        part = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(chosen)
+        if not set(part.columns) & set(TAG_SOURCES):
+            continue
         columns = [(F.col(c) if c in part.columns else F.lit(None).cast("string")).alias(c) for c in TAG_SOURCES]
-        source = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+        source = F.regexp_replace(F.url_decode(F.regexp_extract(F.lit(path), r"([^/]+)/?$", 1)), r"\.[^.]*$", "")
         part = part.select(source.alias("source"), F.lit(i).alias("file_ord"), F.monotonically_increasing_id().alias("row_ord"), *columns)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(["source string", "file_ord int", "row_ord long", *[f"`{c}` string" for c in TAG_SOURCES]]))
     return out
 
 
@@ -71,16 +95,16 @@ def read_codes(spark: SparkSession, path: str | None, more: Sequence[str] = ())
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(parent, fid, fn) of the files below a folder, without reading them."""
+    """(parent, fid, fn, file_path) of the files below a folder, without reading them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     name = F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1))
-    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("parent"), F.sha2("path", 256).alias("fid"), name.alias("fn"))
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("parent"), F.sha2("path", 256).alias("fid"), name.alias("fn"), F.col("path").alias("file_path"))
 
 
 def storage_index(spark: SparkSession, path: str) -> DataFrame:
-    """(code, file_path, file_name) from the stored files' names."""
+    """(code, file_path, folder, file_name) from the stored files' names."""
     files = list_files(spark, path)
-    return files.select(F.upper(F.regexp_replace("fn", r"\.[^.]*$", "")).alias("code"), F.col("parent").alias("folder"), F.col("fn").alias("file_name"))
+    return files.select(F.upper(F.regexp_replace("fn", r"\.[^.]*$", "")).alias("code"), "file_path", F.col("parent").alias("folder"), F.col("fn").alias("file_name"))
 
 
 def write_snapshot(items: DataFrame, path: str, snapshot_id: str) -> None:
@@ -98,6 +122,25 @@ def changed_only(merged: DataFrame) -> DataFrame:
     return merged.where("changed").drop("changed", "changed_keys")
 
 
+def write_changes(merged: DataFrame, path: str, snapshot_id: str, apply: bool = False) -> DataFrame:
+    """The rows a merge changed; with ``apply`` they are written as the snapshot ``snapshot_id``, else it is a dry run.
+
+    The folder of a snapshot appears as a whole when the job commits, so readers see all of it or nothing."""
+    rows = changed_only(merged)
+    if apply:
+        write_snapshot(rows, path, snapshot_id)
+    return rows
+
+
+def overlay(base: DataFrame, *changes: DataFrame, key: str = "code") -> DataFrame:
+    """``base`` with its rows replaced by those of the latest change that holds their key; new keys are added."""
+    columns = base.columns
+    every = base.withColumn("__at", F.lit(0))
+    for i, part in enumerate(changes):
+        every = every.unionByName(part.select(columns).withColumn("__at", F.lit(i + 1)))
+    return keep_last(every, [key], ["__at"]).drop("__at")
+
+
 def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
     rows.select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 

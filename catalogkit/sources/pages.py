@@ -39,28 +39,42 @@ def clean_title(c: Column, suffixes: Sequence[str], code: Column | None = None)
     return strip(out)
 
 
+#: a JSON text with its escapes, and a JSON scalar
+_TEXT = r'"(?:[^"\\]|\\.)*"'
+_SCALAR = rf"{_TEXT}|-?[0-9][0-9.eE+-]*|true|false"
+
+
+def _unquoted(literal: Column) -> Column:
+    """The value of a JSON scalar as text."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), literal, F.lit("}")), "$.v")
+
+
 def json_field(html: Column, name: str) -> Column:
-    """A scalar of embedded JSON, text or number."""
-    return _found(F.regexp_extract(html, rf'"{name}"\s*:\s*"?([^",}}\]]*)', 1))
+    """A scalar of embedded JSON, as text, wherever the field stands first; its text may hold commas and escapes."""
+    return _found(_unquoted(_found(F.regexp_extract(html, rf'(?s)"{re.escape(name)}"\s*:\s*({_SCALAR})', 1))))
 
 
 def json_names(html: Column, field: str) -> Column:
     """The names in a field that is one object or an array of them."""
-    block = F.regexp_extract(html, rf'(?s)"{field}"\s*:\s*(\[.*?\]|\{{.*?\}})', 1)
-    return F.array_distinct(F.regexp_extract_all(block, F.lit(r'"name"\s*:\s*"([^"]*)"'), F.lit(1)))
+    inside = rf"(?:{_TEXT}|[^\]\}}\"])*"
+    block = F.regexp_extract(html, rf'(?s)"{re.escape(field)}"\s*:\s*(\[(?:{_TEXT}|[^\]"])*\]|\{{{inside}\}})', 1)
+    return F.array_distinct(F.transform(F.regexp_extract_all(block, F.lit(rf'"name"\s*:\s*({_TEXT})'), F.lit(1)), _unquoted))
+
+
+def json_list(html: Column, field: str, *synonyms: str) -> Column:
+    """The first occurrence of a field, or else of a synonym, in repeated JSON fragments, split at separators."""
+    first = F.coalesce(*[json_field(html, f) for f in (field, *synonyms)], F.lit(""))
+    return F.filter(F.split(first, r"[、,;/]\s*"), lambda x: x != "")
 
 
-def json_list(html: Column, field: str) -> Column:
-    """The first occurrence of a field in repeated JSON fragments, split at separators."""
-    return F.filter(F.split(F.coalesce(json_field(html, field), F.lit("")), r"[、,;/]\s*"), lambda x: x != "")
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute of a tag, in either kind of quotes."""
+    return _found(F.coalesce(_found(F.regexp_extract(tag, rf'(?is)(?<![\w-]){name}\s*=\s*"([^"]*)"', 1)), _found(F.regexp_extract(tag, rf"(?is)(?<![\w-]){name}\s*=\s*'([^']*)'", 1))))
 
 
 def og_image(html: Column) -> Column:
-    """The preview image, with the meta tag's attributes in either order."""
-    return F.coalesce(
-        _found(F.regexp_extract(html, r'(?i)<meta[^>]*property="og:image"[^>]*content="([^"]*)"', 1)),
-        _found(F.regexp_extract(html, r'(?i)<meta[^>]*content="([^"]*)"[^>]*property="og:image"', 1)),
-    )
+    """The preview image, with the meta tag's attributes in either order and either kind of quotes."""
+    return attribute(F.regexp_extract(html, r"""(?is)<meta\b[^>]*property\s*=\s*["']og:image["'][^>]*>""", 0), "content")
 
 
 def definition(html: Column, names: Sequence[str]) -> Column:
@@ -68,13 +82,22 @@ def definition(html: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[_found(strip_tags(F.regexp_extract(html, rf"(?is)<dt[^>]*>\s*{re.escape(n)}\s*:?\s*</dt>\s*<dd[^>]*>(.*?)</dd>", 1))) for n in names])
 
 
-def labelled_rows(pages: DataFrame, synonyms: DataFrame, pattern: str = r"(?is)<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>", key: str = "page_id") -> DataFrame:
-    """(page_id, field, value): label and value pairs whose label a synonym (label, field) names."""
+def labelled_rows(pages: DataFrame, synonyms: DataFrame, pattern: str = r"(?is)<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>", key: str = "page_id", contains: bool = False) -> DataFrame:
+    """(page_id, field, value): label and value pairs whose label a synonym (label, field) names.
+
+    With ``contains`` a label that holds a synonym, or is part of one, counts too, after those that equal one;
+    ``synonyms`` is then a short table, given to every task."""
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("l"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("v"))
     long = pages.select(key, F.posexplode(pairs).alias("pos", "p"))
-    long = long.select(key, "pos", F.lower(F.regexp_replace(strip_tags(F.col("p.l")), r"[:：]\s*\z", "")).alias("label"), strip_tags(F.col("p.v")).alias("value"))
-    named = long.join(synonyms.select(F.lower("label").alias("label"), "field"), "label").where("value <> ''")
-    return named.groupBy(key, "field").agg(F.min_by("value", "pos").alias("value"))
+    long = long.select(key, "pos", F.lower(F.regexp_replace(strip_tags(F.col("p.l")), r"[:：]\s*\z", "")).alias("label"), strip_tags(F.col("p.v")).alias("value")).where("value <> ''")
+    known = synonyms.select(F.lower("label").alias("name"), "field")
+    if not contains:
+        named = long.join(known, F.col("label") == F.col("name")).withColumn("far", F.lit(0))
+    else:
+        table = known.agg(F.sort_array(F.collect_set(F.struct("name", "field")))).scalar()
+        near = F.filter(table, lambda k: F.contains(F.col("label"), k["name"]) | F.contains(k["name"], F.col("label")))
+        named = long.where("label <> ''").withColumn("k", F.explode(near)).select(key, "pos", "value", F.col("k.field").alias("field"), F.when(F.col("k.name") == F.col("label"), 0).otherwise(1).alias("far"))
+    return named.groupBy(key, "field").agg(F.min_by("value", F.struct("far", "pos", "value")).alias("value"))
 
 
 def link_texts(html: Column, href: str, noise: Sequence[str] = (), shortest: int = 1) -> Column:
@@ -84,23 +107,40 @@ def link_texts(html: Column, href: str, noise: Sequence[str] = (), shortest: int
 
 
 def links(html: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), F.lit(1)))
+    """The addresses of the page's links, in either kind of quotes, first occurrences in order."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)(?<![\w-])href\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))
+
+
+def _resolved(path: Column) -> Column:
+    """A path without its . and .. parts."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x)),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(""))
 
 
 def absolute_url(link: Column, page_url: Column) -> Column:
-    """Links made absolute by the page's scheme and host."""
+    """Links made absolute by the page's address, with . and .. resolved; a query or fragment stays on the page."""
     scheme, host = F.regexp_extract(page_url, r"^(https?:)", 1), F.regexp_extract(page_url, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(page_url, r"^(https?://[^?#]*/)", 1)
+    own = F.regexp_extract(page_url, r"^https?://[^/?#]+([^?#]*)", 1)
+    path, more = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)\z", 1)
+    folder = F.regexp_extract(own, r"^(.*/)", 1)
+    full = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path))
     return (
         F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
-        .when(F.startswith(link, F.lit("/")), F.concat(host, link)).otherwise(F.concat(F.when(F.length(folder) > 8, folder).otherwise(F.concat(host, F.lit("/"))), link))
+        .when(link == "", page_url).when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(page_url, r"^([^#]*)", 1), link))
+        .when(F.startswith(link, F.lit("?")), F.concat(host, own, link)).otherwise(F.concat(host, _resolved(full), more))
     )
 
 
 def lazy_image(html: Column, attributes: Sequence[str] = ("data-src", "data-original", "src")) -> Column:
     """The first image's address, by the preferred attribute."""
     tag = F.regexp_extract(html, r"(?is)<img\b[^>]*>", 0)
-    return F.coalesce(*[_found(F.regexp_extract(tag, rf'(?i)\b{a}="([^"]*)"' if a == "src" else rf'(?i){a}="([^"]*)"', 1)) for a in attributes])
+    return F.coalesce(*[attribute(tag, a) for a in attributes])
 
 
 def cards(pages: DataFrame, card: str, fields: dict[str, str], key: str = "page_id") -> DataFrame:
@@ -144,12 +184,23 @@ def iso_date(c: Column) -> Column:
 
 def profile_header(html: Column) -> Column:
     """struct(name, reading, roman) of a heading ``name (reading / roman)``."""
-    head = strip_tags(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    head = strip_tags(F.regexp_extract(html, r"(?is)<h[12][^>]*>(.*?)</h[12]>", 1))
     p = r"^(.*?)\s*[（(]\s*([^/）)]*?)\s*(?:/\s*([^）)]*?)\s*)?[）)]"
     name = _found(F.regexp_extract(head, p, 1))
     return F.struct(F.coalesce(name, _found(head)).alias("name"), _found(F.regexp_extract(head, p, 2)).alias("reading"), _found(F.regexp_extract(head, p, 3)).alias("roman"))
 
 
+def sizes(c: Column, letters: Sequence[str] = ("T", "B", "W", "H")) -> Column:
+    """struct of whole numbers after each letter of a size text such as ``T160 / B85 / W58 / H86``; null where absent."""
+    return F.struct(*[F.regexp_extract(c, rf"(?i)(?<![A-Za-z]){x}\s*[:：]?\s*(\d{{2,3}})", 1).try_cast("int").alias(x.lower()) for x in letters])
+
+
+def names_without_notes(c: Column) -> Column:
+    """Names of a list parted by separators, without what stands in brackets, in order and once."""
+    bare = F.regexp_replace(c, r"[（(][^）)]*[）)]", "")
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(bare, F.lit("")), r"[、,;/]"), strip), lambda x: x != ""))
+
+
 def accept_snippets(snippets: DataFrame) -> DataFrame:
     """(code, title, snippet) rows that name the code they were asked for; adds ``date``."""
     text = F.upper(F.concat_ws(" ", "title", "snippet"))

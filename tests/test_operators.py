@@ -100,9 +100,9 @@ def test_dictionary_values(spark):
 def test_tags_with_blanks(spark):
     table = spark.createDataFrame([("a", "A"), ("b", ""), ("c", "A")], "src string, dst string")
     rows = spark.createDataFrame([(1, ["a", "", "b", "q", "c"]), (2, []), (3, None)], "k int, tags array<string>")
-    aligned = {r.k: r.tags_zh for r in tags.translate_aligned(rows, "k", "tags", table).collect()}
+    aligned = {r.k: r.tags_zh for r in tags.translate_aligned(rows, "tags", table).collect()}
     assert aligned == {1: ["A", "", "b", "q", "A"], 2: [], 3: []}
-    assert {r.k: r.tags_norm for r in tags.normalize_tags(rows, "k", "tags", table).collect()} == {1: ["A", "q"], 2: [], 3: []}
+    assert {r.k: r.tags_norm for r in tags.normalize_tags(rows, "tags", table).collect()} == {1: ["A", "q"], 2: [], 3: []}
 
 
 def test_dictionary_ladder(spark):
@@ -137,7 +137,7 @@ def test_audits(spark):
         audit.assert_complete(rows)
     assert [tuple(r) for r in audit.field_coverage(rows.limit(0), ["title"]).collect()] == [("title", 0, 0, 0)]
     assert {r.field: r.pct for r in audit.field_coverage(rows, ["title", "date"]).collect()} == {"title": 50, "date": 100}
-    assert [tuple(r) for r in audit.field_report(rows, " A ", ["title", "cover"]).collect()] == [("title", True, "t"), ("cover", True, "c")]
+    assert [tuple(r) for r in audit.field_report(rows, " A ", ["title", "cover"]).collect()] == [("title", True, "t", "ok"), ("cover", True, "c", "ok")]
     stored = spark.createDataFrame([("a.json",), ("z.json",)], "file_name string")
     assert [r.file_name for r in audit.reconcile(stored, rows).collect()] == ["z.json"]
     assert audit.validate_index(spark.createDataFrame([("",)], "name string"), rows).first().kind == "entity_without_name"
