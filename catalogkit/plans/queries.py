@@ -665,14 +665,14 @@ def link_union(spark: SparkSession, d: str) -> DataFrame:
 _PARSED = r"""s1 AS (SELECT *, CASE WHEN regexp_matches(fn, '^\d{4}-\d{2}-\d{2} ') THEN substr(fn, 1, 10) END AS file_date, regexp_replace(fn, '^\d{4}-\d{2}-\d{2} ', '') AS a FROM files),
     s2 AS (SELECT *, regexp_extract(a, '(\.(?:mp4|jpg))$', 1) AS ext, regexp_replace(a, '\.(mp4|jpg)$', '') AS b FROM s1),
     s3 AS (SELECT *, TRY_CAST(regexp_extract(b, '\.part(\d+)', 1) AS INT) AS part, regexp_replace(b, '\.part\d+', '') AS c FROM s2),
-    s4 AS (SELECT *, TRY_CAST(regexp_extract(c, '\s\((\d+)\)$', 1) AS INT) AS copy, regexp_replace(c, '\s\(\d+\)$', '') AS e FROM s3),
+    s4 AS (SELECT *, TRY_CAST(regexp_extract(c, '(?:\s\(|_)(\d+)\)?$', 1) AS INT) AS copy, regexp_replace(c, '(\s\(\d+\)|_\d+)$', '') AS e FROM s3),
     s5 AS (SELECT *, CASE WHEN e LIKE '%\_4K60fps' ESCAPE '\' THEN '[4K][60fps]' WHEN e LIKE '%\_4Ks2' ESCAPE '\' THEN '[4K-S2]' WHEN e LIKE '%[8K]' THEN '[8K]' ELSE '' END AS tags,
                   regexp_replace(e, '(_4K60fps|_4Ks2|\[8K\])$', '') AS f FROM s4),
     s6 AS (SELECT *, regexp_extract(f, '^([A-Z]+)([-_]?)(\d+)', 1) AS letters, regexp_extract(f, '^([A-Z]+)([-_]?)(\d+)', 2) AS dash, regexp_extract(f, '^([A-Z]+)([-_]?)(\d+)', 3) AS digits,
                   trim(regexp_replace(f, '^[A-Z]+[-_]?\d+', '')) AS body FROM s5),
-    s7 AS (SELECT *, letters || '-' || CASE WHEN dash <> '' THEN digits ELSE CAST(CAST(digits AS INT) AS VARCHAR) END AS code FROM s6),
-    s8 AS (SELECT s7.*, coalesce(nullif(body, ''), nullif(i.title, '')) AS title, coalesce(file_date, i.date) AS date FROM s7 LEFT JOIN items i ON i.code = s7.code),
-    plan AS (SELECT *, CASE WHEN ext = '' THEN 'extension' END AS reason, CASE WHEN ext <> '' THEN
+    s7 AS (SELECT *, CASE WHEN letters <> '' THEN letters || '-' END || CASE WHEN dash <> '' THEN digits ELSE CAST(TRY_CAST(digits AS INT) AS VARCHAR) END AS code FROM s6),
+    s8 AS (SELECT s7.*, coalesce(CASE WHEN letters <> '' THEN nullif(body, '') END, nullif(i.title, '')) AS title, coalesce(file_date, i.date) AS date FROM s7 LEFT JOIN items i ON i.code = s7.code),
+    plan AS (SELECT *, CASE WHEN s8.code IS NULL THEN 'unparsable' WHEN ext = '' THEN 'extension' END AS reason, CASE WHEN s8.code IS NOT NULL AND ext <> '' THEN
         rtrim(trim(regexp_replace(concat_ws(' ', date, code, replace(title, '/', '_')) || tags || coalesce(' (' || copy || ')', '') || coalesce('.part' || part, '') || ext, '\s+', ' ', 'g'))) END AS new FROM s8)"""
 
 
