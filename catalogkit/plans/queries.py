@@ -787,3 +787,114 @@ def curated_ranking(spark: SparkSession, d: str) -> DataFrame:
     flagged = audit.annotate_completeness(filled)
     out = flagged.groupBy("owner").agg(F.count("*").alias("n"), F.count_if("incomplete").alias("incomplete"), F.min("code").alias("first_code"))
     return out.orderBy(F.desc("n"), "owner")
+
+
+@register(
+    """SELECT 'tag' AS kind, count(DISTINCT value) AS "values" FROM (SELECT unnest(tags) AS value FROM items) WHERE value <> ''
+       UNION ALL SELECT 'maker', count(DISTINCT value) FROM (SELECT unnest([maker, label]) AS value FROM items) WHERE value <> ''
+       UNION ALL SELECT 'series', count(DISTINCT series) FROM items WHERE series <> ''""",
+    ("items",),
+)
+def facet_totals(spark: SparkSession, d: str) -> DataFrame:
+    return serving.facet_totals(view(spark, d, "items"), ("tag", "maker", "series"))
+
+
+@register(
+    """WITH v AS (SELECT 'maker' AS kind, unnest([maker, label]) AS value FROM items UNION ALL SELECT 'tag', unnest(tags) FROM items
+                 UNION ALL SELECT 'series', series FROM items UNION ALL SELECT 'owner', owner FROM items),
+            n AS (SELECT kind, value, count(*) AS n FROM v WHERE value <> '' GROUP BY ALL),
+            r AS (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS INT) AS place, value, n FROM n)
+       SELECT kind, place, value, n FROM r WHERE place <= CASE kind WHEN 'tag' THEN 24 WHEN 'series' THEN 10 ELSE 15 END""",
+    ("items",),
+)
+def facet_overview(spark: SparkSession, d: str) -> DataFrame:
+    return serving.overview(view(spark, d, "items"), {"maker": 15, "tag": 24, "series": 10, "owner": 15})
+
+
+SORTED = {
+    "date_desc": "coalesce(date, '') DESC, code", "date_asc": "coalesce(date, ''), code", "rating": "coalesce(rating, 0) DESC, code",
+    "duration": "coalesce(duration, 0) DESC, code", "code": "code",
+}
+
+
+@register("\nUNION ALL\n".join(f"(SELECT '{mode}' AS mode, code FROM items ORDER BY {order} LIMIT 60)" for mode, order in SORTED.items()), ("items",))
+def sorted_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of the catalogue in each of its orders."""
+    out = None
+    for mode in SORTED:
+        one = serving.sort_items(view(spark, d, "items"), mode).limit(60).select(F.lit(mode).alias("mode"), "code")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register(
+    r"""WITH t AS (SELECT *, substr(date, 1, 4 + 3 * CAST(k % 3 AS INT)) AS cut FROM items)
+        SELECT code, CASE length(cut) WHEN 10 THEN 'day' WHEN 7 THEN 'month' WHEN 4 THEN 'year' END AS precision,
+               coalesce(try_cast(regexp_extract(cut, '^(\d{4}-\d{2})', 1) || '-01' AS DATE) >= DATE '1996-06-01' - INTERVAL 720 DAY, false) AS recent,
+               coalesce(array_to_string([x FOR x IN tags IF x <> ''], ';'), '') AS tag_text, CAST(substr(CAST(duration AS VARCHAR), 1, 4) AS INT) AS minutes,
+               regexp_replace(coalesce(cover, ''), '[\\/:*?"<>|]', '_', 'g') AS file_name,
+               repeat('0', greatest(0, 3 - length(CAST(k AS VARCHAR)))) || k AS padded, coalesce(nullif(title, ''), raw, '') AS shown,
+               CASE WHEN upper(series) <> regexp_extract(upper(code), '^([A-Z]+)', 1) THEN series END AS own_series,
+               CASE WHEN code LIKE 'PROMO%' THEN 'PR' || substr(code, 6) ELSE code END AS rewritten
+        FROM t""",
+    ("items",),
+)
+def text_fields(spark: SparkSession, d: str) -> DataFrame:
+    items = view(spark, d, "items")
+    cut = F.substring(F.col("date"), F.lit(1), (4 + 3 * (F.col("k") % 3)).cast("int"))
+    return items.select(
+        "code", text.date_precision(cut).alias("precision"), text.is_recent(cut, F.lit("1996-06-01").cast("date")).alias("recent"), text.stringify(F.col("tags"), True).alias("tag_text"),
+        text.duration_minutes(F.concat("duration", F.lit(" min"))).alias("minutes"), text.safe_name(F.col("cover")).alias("file_name"), text.zero_pad(F.col("k"), F.lit(3)).alias("padded"),
+        text.display_value(F.col("title"), F.col("raw")).alias("shown"), mapping.clear_prefix(F.col("series"), F.col("code")).alias("own_series"), text.rewrite_prefix(F.col("code"), {"PROMO": "PR"}).alias("rewritten"),
+    )
+
+
+@register(
+    """SELECT CASE WHEN fn LIKE '%.jpg' THEN 'cover' WHEN fn LIKE '%.mp4' THEN 'video' ELSE 'other' END AS kind, count(*) AS n FROM files GROUP BY ALL""",
+    ("files",),
+)
+def media_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "files").groupBy(text.media_kind(F.regexp_extract("fn", r"(\.[^.]*)$", 1)).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@register(
+    """WITH g AS (SELECT * FROM observations WHERE source = 'gamma')
+       SELECT i.code, g.title, g.date, coalesce(i.owner, g.maker) AS owner, coalesce(CASE WHEN length(g.title) > 20 THEN 'https://g.example.com/' || i.code END, i.cover) AS cover,
+              CASE WHEN g.title IS NOT NULL THEN 'gamma' ELSE 'pending' END AS source FROM items i LEFT JOIN g ON g.code = i.code""",
+    ("items", "observations"),
+)
+def observed_record(spark: SparkSession, d: str) -> DataFrame:
+    cover = F.when(F.length("title") > 20, F.concat(F.lit("https://g.example.com/"), "code"))
+    parsed = view(spark, d, "observations").where("source = 'gamma'").select("code", "title", "date", F.col("maker").alias("owner"), cover.alias("cover"))
+    return merge.observed_record(view(spark, d, "items"), parsed, "gamma")
+
+
+@register(
+    """WITH b AS (SELECT *, coalesce(nullif(trim(zh_cn), ''), nullif(trim(zh_tw), ''), nullif(trim(translate), '')) AS base FROM dictionary),
+            c AS (SELECT *, coalesce(base IS NOT NULL AND translate(base, 'ae', 'xy') <> coalesce(zh_cn, ''), false) AS fixed FROM b)
+       SELECT source, ja, CASE WHEN fixed THEN translate(base, 'ae', 'xy') ELSE zh_cn END AS zh_cn, fixed FROM c""",
+    ("dictionary",),
+)
+def dictionary_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return tags.fix_dictionary(view(spark, d, "dictionary"), ("ae", "xy")).select("source", "ja", "zh_cn", "fixed")
+
+
+@register(
+    """WITH g AS (SELECT * FROM observations WHERE source = 'gamma'),
+            p AS (SELECT g.maker AS src, i.maker AS dst, count(*) AS n FROM items i JOIN g ON g.code = i.code WHERE i.maker <> '' AND g.maker <> '' GROUP BY ALL),
+            r AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS place FROM p),
+            m AS (SELECT src, dst FROM r WHERE place = 1 AND n >= 0.8 * total),
+            j AS (SELECT i.code, i.series, i.date, i.maker, g.code AS hit, g.date AS seen_date, g.maker AS seen_maker, m.dst, upper(i.series) = regexp_extract(upper(i.code), '^([A-Z]+)', 1) AS bare
+                  FROM items i LEFT JOIN g ON g.code = i.code LEFT JOIN m ON m.src = g.maker)
+       SELECT code, CASE WHEN NOT bare THEN series END AS series, coalesce(date, seen_date) AS date, coalesce(maker, dst) AS maker,
+              concat_ws('|', CASE WHEN hit IS NULL THEN 'no_hit' END, CASE WHEN bare THEN 'clear_series_prefix' END, CASE WHEN date IS NULL AND seen_date IS NOT NULL THEN 'fill_date' END,
+                        CASE WHEN maker IS NULL AND dst IS NOT NULL THEN 'fill_maker' WHEN maker IS NULL AND seen_maker IS NOT NULL THEN 'unmapped_maker' END) AS events
+       FROM j""",
+    ("items", "observations"),
+)
+def backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Series that are only the code's letters cleared, dates and makers filled from a source that names makers in its own way."""
+    items, seen = view(spark, d, "items").select("code", "series", "date", "maker"), view(spark, d, "observations").where("source = 'gamma'")
+    learned = mapping.learn_mapping(mapping.labelled_pairs(items, seen, "maker", "maker"))
+    out = mapping.backfill(items, seen.select("code", "date", "maker"), {"maker": ("maker", learned)}, ["date"])
+    return out.withColumn("events", joined("events"))
