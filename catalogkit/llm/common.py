@@ -83,8 +83,10 @@ def sample_labelled(docs: DataFrame, known: DataFrame, sample_rows: int, longest
     characters come after all others, at most ``most_long`` of them.  Null texts are left out.
     """
     long = F.length("text") > longest if longest else F.lit(False)
-    own = F.min(F.struct(long.alias("long"), F.xxhash64("text").alias("hash"))).alias("own")
-    ids = settle(docs.where("text IS NOT NULL").join(known, "doc_id").groupBy("doc_id", "y").agg(own).select("doc_id", "y", "own.*"))
+    own = F.min(F.struct("long", "hash")).alias("own")
+    # hashed before the join, which then moves no text
+    hashed = docs.where("text IS NOT NULL").select("doc_id", long.alias("long"), F.xxhash64("text").alias("hash"))
+    ids = settle(hashed.join(known, "doc_id").groupBy("doc_id", "y").agg(own).select("doc_id", "y", "own.*"))
     parts = []
     for label in (0, 1):
         mine = ids.where(F.col("y") == label)
