@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,13 +58,50 @@ def test_quality_of_held_out_documents(docs, labels):
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
 
 
-def test_toxicity_of_held_out_documents(docs, labels):
+def toxic_words(texts, labels):
+    """Words of at least three toxic texts and, text for text, ten times rarer in clean ones."""
+    met = {0: Counter(), 1: Counter()}
+    for t, y in zip(texts, labels):
+        met[y].update(set(toxicity.words_of(t)))
+    n = Counter(labels)
+    return {w for w, k in met[1].items() if k >= 3 and met[0][w] / n[0] <= k / n[1] / 10}
+
+
+def test_toxicity_of_held_out_documents_by_class(spark):
+    """Some labelled texts hold no word that tells: they can't be learned, so recall is taken over the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     truth = {r.doc_id: r.toxic for r in labels.collect()}
+    text = {r.doc_id: r.text for r in docs.collect() if r.doc_id in truth}
+    learned = [i for i in text if zlib.crc32(str(i).encode()) % 5]
+    known = toxic_words([text[i] for i in learned], [truth[i] for i in learned])
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    assert len(got) == docs.count() and all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
+    held = [i for i in text if got[i].held_out]
+    toxic = [i for i in held if truth[i] == 1]
+    plain = [i for i in toxic if known & set(toxicity.words_of(text[i]))]
+    assert len(toxic) > 80 and len(plain) >= 0.9 * len(toxic)
+    assert np.mean([got[i].predicted == 1 for i in plain]) >= 0.95
+    assert np.mean([got[i].predicted == 1 for i in toxic]) >= 0.88
+    assert np.mean([got[i].predicted == 0 for i in held if truth[i] == 0]) >= 0.985
+
+
+def test_planted_words_are_told_in_every_language(spark):
+    """Clear cases: words that only toxic texts hold, few to each language."""
+    rng = np.random.default_rng(4)
+    common = {lang: [f"{lang}{a}{b}" for a in "aeiou" for b in "bcdfghklmn"] for lang in ("en", "fr", "de")}
+    rows = []
+    for i in range(900):
+        lang = ("en", "fr", "de")[i % 3]
+        words = list(rng.choice(common[lang], 60))
+        if i % 5 == 0:
+            for at in rng.integers(0, 60, 3):
+                words[at] = f"{lang}vile{'xyz'[int(at) % 3]}"
+        rows.append((i, " ".join(words), lang, int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
     got = toxicity.classify(docs, labels).collect()
-    held = [r for r in got if r.held_out and r.doc_id in truth]
-    assert len(got) == docs.count()
-    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
-    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got)
+    for label in (0, 1):
+        assert np.mean([r.predicted == label for r in got if r.held_out and rows[r.doc_id][3] == label]) >= 0.99
 
 
 @pytest.mark.parametrize("operator", [quality, toxicity])
