@@ -60,7 +60,7 @@ class Tree:
     span: list  # per node: its rows (first, end)
 
 
-def grow(ids: list, x: np.ndarray, wild: bool = False, leaf: int = 512, fanout: int = 8) -> Tree:
+def grow(ids: list, x: np.ndarray, wild: bool = False, leaf: int = 128, fanout: int = 8) -> Tree:
     """Bulk load: a node's rows are dealt to the nearest of ``fanout`` pivots chosen farthest first.  A wild page has no
     tree."""
     if wild:
@@ -148,7 +148,7 @@ def best(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np
     return out, counts
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, page_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, page_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score, pages_visited, entries_scored): for each row whose vec_id is divisible by
     ``every``, the ``k`` other rows with the highest integer inner products, ties to the smaller vec_id.
 

@@ -56,7 +56,7 @@ def post(ids: list, vectors: np.ndarray, wild: bool, pivots: int, prefix: int) -
     return page
 
 
-def ranked(page: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray | None = None, share: float = 0.2) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+def ranked(page: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray | None = None, share: float = 0.3) -> tuple[list[tuple[int, int, float]], np.ndarray]:
     """(query_id, vec_id, score) of the ``k`` best found in the page for every query, and how many were reranked."""
     vectors, n = page["vectors"].astype(float), page["n"]
     loud = np.arange(n, len(vectors))
@@ -84,7 +84,7 @@ def ranked(page: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, kth:
     return out, counts
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 512, prefix: int = 48, share: float = 0.2, page_rows: int = 4096) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 512, prefix: int = 48, share: float = 0.3, page_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score, pages_visited, entries_scored): for each row whose vec_id is divisible by ``every``,
     the ``k`` nearest other rows found, nearest first, ties to the smaller vec_id; score is the exact inner product.
 

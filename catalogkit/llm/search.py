@@ -15,6 +15,7 @@ The pages' bounds are read in slices of at most about SLICE pages, so that what
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,7 @@ from catalogkit.llm.common import sample_by_hash, settle
 
 MOST_TASKS = 20_000  # of one round; beyond it a task takes several visits in turn
 MOST_PIVOTS = 1024
+MOST_PAGE = 4096
 SLICE = 4096
 ROUNDS = (1, 8)  # pages that a query has met after the first rounds; another round takes all that are left
 SLACK = 1e-9  # relative room for rounding in the bounds, which are not exact
@@ -69,14 +71,22 @@ def lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), kind))
 
 
-def build(rows: DataFrame, index_of: Callable[[list, np.ndarray, bool], object], page_rows: int, k: int, prepare: Callable[[np.ndarray], np.ndarray] | None = None, wild: float = np.inf) -> DataFrame:
-    """(dims, page, n, center, radius, top, blob): an index for each page of at most about ``page_rows`` entries.
+def page_size(n: int) -> int:
+    """Entries of a page for ``n`` entries in all: pages and their sizes grow together, up to MOST_PAGE."""
+    return max(1, min(MOST_PAGE, math.ceil(8 * math.sqrt(n))))
+
+
+def build(rows: DataFrame, index_of: Callable[[list, np.ndarray, bool], object], page_rows: int | None, k: int, prepare: Callable[[np.ndarray], np.ndarray] | None = None, wild: float = np.inf) -> DataFrame:
+    """(dims, page, n, center, radius, top, blob): an index for each page of at most about ``page_rows`` entries
+    (``page_size`` of their number, if not given).
 
     ``prepare`` changes the vectors (to integers, say) before anything is measured; those with a norm of ``wild`` or more
     get pages of their own, without bounds.  ``index_of`` gets each entry's ids, the vectors, and whether they are wild.
     """
     distinct = settle(entries(rows, k))
-    pivots = min(MOST_PIVOTS, -(-distinct.count() // page_rows))
+    n = distinct.count()
+    page_rows = page_rows or page_size(n)
+    pivots = min(MOST_PIVOTS, -(-n // page_rows))
     chosen: dict[int, list] = {}
     for r in sample_by_hash(distinct.select("v"), "v", pivots).collect():
         chosen.setdefault(len(r.v), []).append(r.v)
@@ -172,9 +182,12 @@ def search(index: DataFrame, queries: DataFrame, visit: Visit, k: int, score_typ
         ask = frame[~here].sort_values("query_id")
         ids = ask.query_id.to_numpy(np.int64)
         rows, scored = visit(own, ids, np.array(ask.v.tolist(), float), k, ask.kth.to_numpy(float))
-        found = pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-        count = pd.DataFrame({"query_id": ids, "entries": scored})  # a row without vec_id counts the visit
-        return pd.concat([found.assign(entries=0), count.assign(vec_id=None, score=None)])[["query_id", "vec_id", "score", "entries"]].astype({"vec_id": "Int64", "score": "Int64" if score_type == "long" else "float64"})
+        n, m = len(rows), len(ids)  # after the rows found, one without vec_id counts each query's visit
+        asked_by, found, score = zip(*rows) if rows else ((), (), ())
+        return pd.DataFrame({
+            "query_id": np.concatenate([np.array(asked_by, np.int64), ids]), "vec_id": pd.array([*found, *[None] * m], "Int64"),
+            "score": pd.array([*score, *[None] * m], "Int64" if score_type == "long" else "Float64"), "entries": np.concatenate([np.zeros(n, np.int64), scored]),
+        })
 
     for s in range(slices):
         pages = index.where(F.pmod(F.xxhash64("page"), F.lit(slices)) == s) if slices > 1 else index
@@ -187,7 +200,7 @@ def search(index: DataFrame, queries: DataFrame, visit: Visit, k: int, score_typ
             sent = chosen.select("page", "block", "query_id", "v", "kth", F.lit(None).cast("binary").alias("blob"))
             there = blobs.select("page", "block", *[F.lit(None).cast(t).alias(c) for c, t in (("query_id", "long"), ("v", "array<double>"), ("kth", "double"))], "blob")
             # a few rows hold much work here: their number, not their bytes, sets the number of tasks
-            visits = max(1, min(MOST_TASKS, 2 * groups.count()))
+            visits = max(1, min(MOST_TASKS, groups.count()))
             found = sent.union(there).repartition(visits, "page", "block").groupBy("page", "block").applyInPandas(run, f"query_id long, vec_id long, score {score_type}, entries long")
             found = settle(found)
             seen = found.where("vec_id IS NULL").groupBy("query_id").agg(F.count("*").alias("pages_visited"), F.sum("entries").alias("entries_scored"))

@@ -166,3 +166,44 @@ def test_permutation_leaves_out_a_repeated_id_of_equal_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 7)]
     got = permutation.neighbours(table(spark, rows), k=9).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5, 6, 7, 8, 8]
+
+
+def test_registered_defaults_page_and_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 32)) * 4
+    vectors = np.concatenate([m + rng.normal(size=(100, 32)) * 0.3 for m in middles])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * vectors).astype(np.int64)
+    got: dict = {}
+    for r in mtree.top_k(df).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert len(got) == 40
+    for q, rows in got.items():
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(2000), -scores)).tolist() if i != q][:5]
+        assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(i, int(scores[i])) for i in order]
+    pages = [rows[0].pages_visited for rows in got.values()]
+    assert min(pages) < max(pages) and np.mean(pages) < 0.75 * max(pages)
+    assert np.mean([rows[0].entries_scored for rows in got.values()]) < 0.5 * 2000
+    near: dict = {}
+    for r in permutation.neighbours(df).collect():
+        near.setdefault(r.query_id, []).append(r)
+    found = [len(set(np.argsort(-np.where(np.arange(2000) == q, -np.inf, vectors @ vectors[q]))[:20].tolist()) & {r.vec_id for r in rows}) / 20 for q, rows in near.items()]
+    assert len(near) == 100 and np.mean(found) >= 0.95
+    assert np.mean([rows[0].pages_visited for rows in near.values()]) < 0.9 * max(pages)
+
+
+@pytest.mark.parametrize("sf, floor, worst", [("sf0.01", 0.95, 0.8), ("sf0.1", 0.97, 0.85)])
+def test_recall_of_the_registered_defaults(spark, sf, floor, worst):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = df.collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got: dict = {}
+    for r in permutation.neighbours(df).collect():
+        got.setdefault(r.query_id, []).append(r)
+    found = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        scores = np.where(ids == ids[at], -np.inf, v @ v[at])
+        found.append(len(set(ids[np.lexsort((ids, -scores))[:20]].tolist()) & {r.vec_id for r in got[ids[at]]}) / 20)
+    assert all(r.pages_visited > 1 for rows in got.values() for r in rows)
+    assert np.mean(found) >= floor and min(found) >= worst
