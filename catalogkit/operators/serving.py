@@ -30,27 +30,6 @@ def search(items: DataFrame, query: str) -> DataFrame:
     return items.where(F.col("search_blob").contains(q)) if q else items
 
 
-def search_everywhere(items: DataFrame, query: str, owners: DataFrame, clusters: DataFrame, tag_map: DataFrame, texts: Sequence[str] = ("code", "title", "maker", "label", "series"), owner: str = "owner", tags: str = "tags") -> DataFrame:
-    """Rows that hold the query in a text, the owner or its translation, an alias of the owner, a tag or its translation.
-
-    ``owners`` and ``tag_map`` are (src, dst), ``clusters`` (canonical, alias).  The dictionaries are searched first; what
-    they find meets the items in semi-joins.  An empty query gives all rows."""
-    q = query.strip().lower()
-    if not q:
-        return items
-    has = lambda c: F.lower(F.col(c)).contains(q)
-    direct = F.lit(False)
-    for c in (*texts, owner):
-        direct = direct | F.coalesce(has(c), F.lit(False))
-    direct = direct | F.coalesce(F.exists(_array(items, tags), lambda x: F.lower(x).contains(q)), F.lit(False))
-    named = owners.where(has("dst")).select(F.col("src").alias("__o")).union(clusters.where(has("alias")).select("canonical")).distinct().withColumn("__named", F.lit(True))
-    told = tag_map.where(has("dst")).select(F.col("src").alias("__t")).distinct()
-    arrays = items.select(F.col(tags).alias("__a")).distinct()
-    tagged = arrays.select("__a", F.explode("__a").alias("__t")).join(told, "__t", "left_semi").select("__a").distinct().withColumn("__tagged", F.lit(True))
-    met = items.join(named, F.col(owner) == F.col("__o"), "left").join(tagged, F.col(tags) == F.col("__a"), "left")
-    return met.where(direct | F.col("__named").isNotNull() | F.col("__tagged").isNotNull()).select(items.columns)
-
-
 def facet_filter(items: DataFrame, kind: str, value: str) -> DataFrame:
     """Exact facet: tag (tags, labels or translated tags), maker (maker or label), series, director."""
     if kind == "tag":

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from catalogkit.functions import text
 from catalogkit.functions.empty import has_value, is_blank, is_unset
-from catalogkit.operators import audit, index, mapping, merge, names, ordered, rename, select, serving, tags
+from catalogkit.operators import audit, index, mapping, merge, names, ordered, postings, rename, select, serving, tags
 from catalogkit.plans.adapters import oracle_views, view
 from catalogkit.sources import io, pages
 
@@ -497,6 +497,26 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return serving.search(serving.add_search_blob(view(spark, d, "items"), ["code", "title", "owner", "maker", "label", "series"], ["tags"]), " MO-1").select("code")
 
 
+#: one query for each kind of field, one for a part of a word, one too short for a gram, one that nothing holds
+SOUGHT = (" MO-1", "Brand#1", "0000012", "chin", "-T", "red-", "e", "zzz")
+
+
+@register(
+    f"""WITH {CLUSTERS}, {TAG_MAP}, sought AS (SELECT unnest([{", ".join(f"'{q}'" for q in SOUGHT)}]) AS query), vals AS (
+            SELECT code, unnest([code, title, owner, maker, label, series]) AS v FROM items UNION ALL SELECT code, unnest(tags) FROM items
+            UNION ALL SELECT code, coalesce(dst, t) FROM (SELECT code, unnest(tags) AS t FROM items) x LEFT JOIN tm ON tm.src = x.t
+            UNION ALL SELECT code, team FROM items i JOIN profiles p ON p.name = i.owner UNION ALL SELECT code, alias FROM items i JOIN cl ON cl.canonical = i.owner
+            UNION ALL SELECT code, dst FROM (SELECT code, unnest(tags) AS t FROM items) x JOIN tm ON tm.src = x.t)
+        SELECT DISTINCT query, code FROM sought JOIN vals ON contains(lower(v), lower(trim(query)))""",
+    ("items", "profiles", "edges", "curated", "dictionary"),
+)
+def search_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    tag_map = tags.build_tag_map(view(spark, d, "dictionary"))
+    items = tags.translate_aligned(view(spark, d, "items"), "tags", tag_map)
+    owners = view(spark, d, "profiles").select(F.col("name").alias("src"), F.col("team").alias("dst"))
+    return postings.search_everywhere(items, SOUGHT, owners, _clusters(spark, d), tag_map)
+
+
 @register(
     """SELECT count(*) AS items, min(substr(date, 1, 4)) AS first_year, max(substr(date, 1, 4)) AS last_year, count(*) FILTER (WHERE rating <> 0) AS rated,
               round(avg(rating) FILTER (WHERE rating <> 0), 4) AS mean_rating FROM items""",
