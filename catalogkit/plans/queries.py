@@ -12,7 +12,7 @@ from catalogkit.functions import text
 from catalogkit.functions.empty import has_value, is_blank, is_unset
 from catalogkit.operators import audit, index, mapping, merge, names, ordered, postings, rename, select, serving, tags
 from catalogkit.plans.adapters import oracle_views, view
-from catalogkit.sources import io, pages
+from catalogkit.sources import io, pages, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -918,3 +918,20 @@ def backfill(spark: SparkSession, d: str) -> DataFrame:
     learned = mapping.learn_mapping(mapping.labelled_pairs(items, seen, "maker", "maker"))
     out = mapping.backfill(items, seen.select("code", "date", "maker"), {"maker": ("maker", learned)}, ["date"])
     return out.withColumn("events", joined("events"))
+
+
+@register(
+    """WITH l AS (SELECT page_id, regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a></li>', 1) AS t FROM pages), u AS (
+           SELECT page_id, i, replace(t[i], '&amp;', '&') AS name, replace(t[i + 1], '&amp;', '&') AS mark FROM (SELECT page_id, t, unnest(range(1, len(t) + 1)) AS i FROM l) x)
+       SELECT page_id, string_agg(name, '|' ORDER BY i) AS names FROM (SELECT page_id, name, min(i) AS i FROM u WHERE name <> '' AND NOT contains(coalesce(mark, ''), 'e') GROUP BY ALL) y GROUP BY page_id"""
+)
+def unmarked_names(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.unmarked(view(spark, d, "pages"), "marked", "e", tag="li").select("page_id", joined("names").alias("names"))
+
+
+@register()
+def page_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's elements by tag; tests hold it against another reading of the pages."""
+    rows = tokens.with_next(tokens.elements(view(spark, d, "pages")))
+    alike = F.count_if(F.coalesce(F.col("next.tag") == F.col("tag"), F.lit(False)))
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), alike.alias("followed"), F.sum(F.length("text")).alias("letters"))
