@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from catalogkit.functions.empty import has_value, is_unset
@@ -174,3 +174,15 @@ def run_summary(result: DataFrame, flags: Sequence[str]) -> DataFrame:
 def share_of_total(counts: DataFrame, n: str = "n") -> DataFrame:
     """Adds each row's share of the sum; ``counts`` is a short table of totals."""
     return counts.withColumn("share", F.round(F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(1))), 6))
+
+
+def counted(result: DataFrame, write: Callable[[DataFrame], None], flags: Sequence[str] = (), events: str | None = None, fields: Sequence[str] = ()) -> dict[str, int]:
+    """Writes ``result`` by ``write``, in one job, and returns what it counted on the way: ``rows``, the rows with each boolean
+    of ``flags``, and for each of ``fields`` the rows whose array ``events`` holds it (as ``field:name``).
+
+    ``write`` runs one action on the whole table it is given.  Nulls count as false."""
+    seen = Observation()
+    wanted = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f)).alias(f) for f in flags]]
+    wanted += [F.count_if(F.array_contains(events, f)).alias(f"field:{f}") for f in fields]
+    write(result.observe(seen, *wanted))
+    return seen.get

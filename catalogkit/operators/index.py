@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogkit.functions.text import former_marker, is_recent, normalize_id
@@ -48,14 +48,17 @@ def group_index(items: DataFrame, nested: bool = False, cap: int | None = None,
 
 
 def attach_profiles(index: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Owner groups with their profile's columns; without one the name is the owner's."""
-    p = profiles.withColumnRenamed("name", "__name")
+    """Owner groups with their profile's columns; without one the name is the owner's.  Of profiles that share a name the
+    smallest counts."""
+    p = one_per_key(profiles, ["name"]).withColumnRenamed("name", "__name")
     return index.join(p, F.col("owner") == F.col("__name"), "left").withColumn("name", F.coalesce("__name", "owner")).drop("__name")
 
 
 def flatten_index(index: DataFrame) -> DataFrame:
-    """One row per nested item with its owner and avatar."""
-    return index.select("owner", *(["avatar"] if "avatar" in index.columns else []), F.explode("works").alias("w")).select("*", "w.*").drop("w")
+    """One row per nested item with its group's owner and avatar, which stand for the item's own."""
+    outer = ["owner", *(["avatar"] if "avatar" in index.columns else [])]
+    fields = [f for f in index.schema["works"].dataType.elementType.fieldNames() if f not in outer]
+    return index.select(*outer, F.explode("works").alias("w")).select(*outer, *[F.col(f"w.`{f}`").alias(f) for f in fields])
 
 
 def global_counts(items: DataFrame) -> DataFrame:
@@ -108,8 +111,10 @@ def infer_status(entities: DataFrame, as_of: Column, window_days: int = 720, for
 
 
 def cache_split(keys: DataFrame, cache: DataFrame, key: str = "code") -> DataFrame:
-    """(key, fetch_status): hit, miss (looked up before and not there) or untried.  ``cache``: key, payload (null for a miss)."""
-    c = cache.select(key, F.lit(True).alias("__seen"), F.col("payload").isNotNull().alias("__hit"))
+    """(key, fetch_status): hit, miss (looked up before and not there) or untried.  ``cache``: key, payload (null for a miss).
+
+    Of several entries of a key one hit makes it a hit."""
+    c = cache.groupBy(key).agg(F.lit(True).alias("__seen"), F.bool_or(F.col("payload").isNotNull()).alias("__hit"))
     status = F.when(F.col("__seen").isNull(), "untried").when(F.col("__hit"), "hit").otherwise("miss")
     return keys.select(key).distinct().join(c, key, "left").select(key, status.alias("fetch_status"))
 
@@ -132,3 +137,28 @@ def read_through(keys: DataFrame, store: DataFrame, observed: DataFrame, key: st
 
 def entity_names(index: DataFrame) -> DataFrame:
     return index.select("name").distinct()
+
+
+def save_index(index: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """The index as a table in ``buckets`` buckets by owner, sorted in each; ``path`` is its folder, if not the warehouse's.
+
+    Profiles saved alike by their name (``save_profiles``) meet it without an exchange."""
+    _save(index, table, buckets, "owner", path)
+
+
+def save_profiles(profiles: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """One profile of each name, dealt as ``save_index`` deals owners."""
+    _save(one_per_key(profiles, ["name"]), table, buckets, "name", path)
+
+
+def _save(rows: DataFrame, table: str, buckets: int, key: str, path: str | None) -> None:
+    # a file for each bucket, not one for each bucket and task
+    writer = rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def profiled_items(spark: SparkSession, index_table: str, profile_table: str) -> DataFrame:
+    """``flatten_index`` of the saved index with the saved profiles' columns, without an exchange where both have as many buckets."""
+    index, profiles = spark.table(index_table), spark.table(profile_table)
+    met = index.join(profiles.withColumnRenamed("name", "__name"), F.col("owner") == F.col("__name"), "left")
+    return flatten_index(met.withColumn("name", F.coalesce("__name", "owner")).drop("__name"))

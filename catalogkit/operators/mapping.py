@@ -37,8 +37,10 @@ def ambiguous_detail(pairs: DataFrame, mapping: DataFrame, src: str = "src_value
 
 
 def apply_mapping(rows: DataFrame, mapping: DataFrame, src: str, dst: str) -> DataFrame:
-    """Fills ``dst`` where it has none by the accepted mapping of ``src``; adds ``outcome``: kept, mapped, unmapped, no_source."""
-    known = mapping.where("status = 'accepted'").select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    """Fills ``dst`` where it has none by the accepted mapping of ``src``; adds ``outcome``: kept, mapped, unmapped, no_source.
+
+    Of a source that is accepted twice the smallest target counts."""
+    known = mapping.where("status = 'accepted'").groupBy(F.col("src").alias("__src")).agg(F.min("dst").alias("__dst"))
     joined = rows.withColumn("__key", clean_ws(F.col(src))).join(known, F.col("__key") == F.col("__src"), "left")
     has = F.coalesce(F.col(dst), F.lit("")) != ""
     outcome = F.when(has, "kept").when(F.col("__dst").isNotNull(), "mapped").when(F.col("__key") == "", "no_source").otherwise("unmapped")
@@ -99,8 +101,9 @@ def learn_template(items: DataFrame, url: str, code: str, suffixes: str = "pl|ps
 def url_candidates(items: DataFrame, templates: DataFrame, code: str, host: str, guesses: Sequence[tuple[str, str, str, int]]) -> DataFrame:
     """(code, pos, url, kind): the template of the code's prefix in two paddings, or else every guess.
 
-    ``guesses``: (section, suffix, lead, pad) in order."""
-    parsed = items.select(F.col(code).alias("code"), parse_code(F.col(code)).alias("p")).where("p IS NOT NULL")
+    ``guesses``: (section, suffix, lead, pad) in order.  Of several templates of a prefix the one with the most votes counts,
+    then the smallest; a code that repeats has its candidates once."""
+    parsed = items.select(F.col(code).alias("code")).distinct().select("code", parse_code(F.col(code)).alias("p")).where("p IS NOT NULL")
     parsed = parsed.select("code", F.col("p.number").alias("number"), F.lower(F.regexp_replace("p.series", "[0-9]", "")).alias("letters"), F.upper(F.regexp_extract("p.series", "^([A-Za-z]+)", 1)).alias("prefix"))
 
     def url(section: Column, suffix: Column, lead: Column, pad: Column) -> Column:
@@ -112,7 +115,10 @@ def url_candidates(items: DataFrame, templates: DataFrame, code: str, host: str,
     made = F.array(F.struct(url(*shape, F.col("pad")).alias("url"), F.lit("template").alias("kind")), F.struct(url(*shape, other).alias("url"), F.lit("template_pad").alias("kind")))
     made = F.when(F.col("pad") == 3, made).otherwise(F.when(F.col("pad") == other, F.slice(made, 1, 1)).otherwise(made))
     guessed = F.array(*[F.struct(url(F.lit(a), F.lit(b), F.lit(c), F.lit(d)).alias("url"), F.lit("guess").alias("kind")) for a, b, c, d in guesses])
-    listed = parsed.join(templates, "prefix", "left").select("code", F.posexplode(F.when(F.col("pad").isNotNull(), made).otherwise(guessed)).alias("pos", "c"))
+    shapes = ["lead", "pad", "section", "suffix"]
+    best = F.min_by(F.struct(*shapes), F.struct((-F.col("votes") if "votes" in templates.columns else F.lit(0)).alias("v"), *shapes)).alias("t")
+    one = templates.groupBy("prefix").agg(best).select("prefix", "t.*")
+    listed = parsed.join(one, "prefix", "left").select("code", F.posexplode(F.when(F.col("pad").isNotNull(), made).otherwise(guessed)).alias("pos", "c"))
     return listed.select("code", "pos", "c.url", "c.kind")
 
 

@@ -166,8 +166,8 @@ def latest(items: DataFrame, n: int = 60) -> DataFrame:
 
 def head_and_rest(rows: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows of a report with ``omitted``, how many are left out; a report is a table of totals."""
-    ranked = rows.withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    return ranked.orderBy(*order).limit(n).withColumn("omitted", F.greatest(F.col("__n") - n, F.lit(0))).drop("__n")
+    every = rows.agg(F.count("*").alias("n")).scalar()
+    return rows.orderBy(*order).limit(n).withColumn("omitted", F.greatest(every - n, F.lit(0)))
 
 
 def link_union(items: DataFrame, templates: Sequence[tuple[str, str]]) -> DataFrame:

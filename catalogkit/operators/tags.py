@@ -64,7 +64,8 @@ def _by_array(items: DataFrame, col: str, tag_map: DataFrame, value: Column, out
     """Adds ``out``: the array of ``value`` over (tag, dst) of each tag, in order.
 
     Every distinct array is translated once and met again by its value, so that keys may repeat or be null, and
-    dictionaries have any size."""
+    dictionaries have any size; of a tag that a dictionary holds twice the smallest value counts."""
+    tag_map = tag_map.groupBy("src").agg(F.min("dst").alias("dst"))
     arrays = items.select(F.col(col).alias("__a")).where("__a IS NOT NULL").distinct()
     long = arrays.select("__a", F.posexplode("__a").alias("pos", "tag")).join(tag_map.select(F.col("src").alias("tag"), "dst"), "tag", "left")
     kept = long.where(keep) if keep is not None else long

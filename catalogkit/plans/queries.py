@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogkit.functions import text
+from catalogkit.functions import phrases, text
 from catalogkit.functions.empty import has_value, is_blank, is_unset
-from catalogkit.operators import audit, index, mapping, merge, names, ordered, postings, rename, select, serving, tags
+from catalogkit.operators import audit, digests, index, mapping, merge, names, ordered, postings, rename, select, serving, tags
 from catalogkit.plans.adapters import oracle_views, view
 from catalogkit.sources import io, pages, tokens
 
@@ -935,3 +935,50 @@ def page_outline(spark: SparkSession, d: str) -> DataFrame:
     rows = tokens.with_next(tokens.elements(view(spark, d, "pages")))
     alike = F.count_if(F.coalesce(F.col("next.tag") == F.col("tag"), F.lit(False)))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"), alike.alias("followed"), F.sum(F.length("text")).alias("letters"))
+
+
+@register(
+    """WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS owner, o_orderkey % 8 = 0 AS bare FROM orders WHERE o_orderkey % 41 <> 0),
+            n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS owner, o_orderkey % 10 = 0 AS titled FROM orders WHERE o_orderkey % 43 <> 0)
+       SELECT CAST(coalesce(o.k, n.k) AS VARCHAR) AS code, CASE WHEN o.k IS NULL OR n.k IS NULL THEN 'error' WHEN o.bare THEN 'cast_reverted'
+              WHEN o.owner IS NOT DISTINCT FROM coalesce(o.owner, n.owner) AND NOT titled THEN 'noise' WHEN o.owner IS NOT NULL AND o.owner IS DISTINCT FROM n.owner THEN 'attrib_restored' ELSE 'kept' END AS class
+       FROM o FULL JOIN n ON n.k = o.k WHERE o.k IS NULL OR n.k IS NULL OR o.owner IS DISTINCT FROM n.owner OR o.bare OR titled"""
+)
+def snapshot_sweep_digests(spark: SparkSession, d: str) -> DataFrame:
+    return digests.sweep(*_snapshots(spark, d), ROLES).select("code", "class")
+
+
+#: phrases that overlap: the longest at each place counts, from left to right
+PHRASES = (("ed", "1"), ("red", "2"), ("d s", "3"), ("d st", "4"), ("steel", "5"), ("teel", "6"), ("el", "7"), ("green b", "8"), ("n bolt", "9"))
+LETTERS = (("e", "E"), ("ed", "no"), ("t", "T"))
+_ENTRIES = ", ".join(f"('{a}', '{b}')" for a, b in (*PHRASES, *(x for x in LETTERS if len(x[0]) == 1)))
+
+
+@register(
+    f"""WITH RECURSIVE entries(src, dst) AS (VALUES {_ENTRIES}), places AS (SELECT p_partkey AS k, p_name AS t, unnest(range(1, length(p_name) + 1)) AS pos FROM part), longest AS (
+            SELECT k, pos, max(length(src)) AS len, arg_max(dst, length(src)) AS dst FROM places JOIN entries ON substr(t, pos, length(src)) = src GROUP BY k, pos
+        ), walk AS (
+            SELECT p_partkey AS k, p_name AS t, CAST(1 AS BIGINT) AS pos, '' AS done FROM part
+            UNION ALL SELECT w.k, w.t, w.pos + coalesce(l.len, 1), w.done || coalesce(l.dst, substr(w.t, w.pos, 1)) FROM walk w LEFT JOIN longest l ON l.k = w.k AND l.pos = w.pos WHERE w.pos <= length(w.t)
+        ) SELECT k, done AS converted FROM walk WHERE pos > length(t)"""
+)
+def phrase_conversion(spark: SparkSession, d: str) -> DataFrame:
+    schema = "src string, dst string"
+    convert = phrases.converter(spark.createDataFrame(PHRASES, schema), spark.createDataFrame(LETTERS, schema))
+    return view(spark, d, "part").select(F.col("p_partkey").alias("k"), convert("p_name").alias("converted"))
+
+
+#: labels of fields, of which some are parts of a page's labels and some hold them
+SYNONYMS = (("the", "article"), ("that", "article"), ("und", "joint"), ("nicht wahr", "denial"), ("ing", "form"), ("für alle", "aim"), ("attionals", "long"))
+
+
+@register(
+    f"""WITH s(name, field) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)}), pairs AS (
+            SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1)) AS l, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2)) AS v, unnest(range(1000)) AS pos FROM pages
+        ), long AS (SELECT page_id, pos, lower(l) AS label, trim(regexp_replace(v, '\s+', ' ', 'g')) AS value FROM pairs WHERE l IS NOT NULL), near AS (
+            SELECT page_id, field, value, pos, CASE WHEN label = name THEN 0 ELSE 1 END AS far FROM long JOIN s ON contains(label, name) OR contains(name, label) WHERE label <> '' AND value <> ''
+        ) SELECT page_id, field, arg_min(value, (far, pos, value)) AS value FROM near GROUP BY page_id, field"""
+)
+def page_labels(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.createDataFrame(SYNONYMS, "label string, field string")
+    return pages.labelled_rows(view(spark, d, "pages"), names, r'(?is)<a href="/([^"]*)">([^<]*)</a>', contains=True)

@@ -85,21 +85,32 @@ def definition(html: Column, names: Sequence[str]) -> Column:
 def labelled_rows(pages: DataFrame, synonyms: DataFrame, pattern: str = r"(?is)<th[^>]*>(.*?)</th>\s*<td[^>]*>(.*?)</td>", key: str = "page_id", contains: bool = False) -> DataFrame:
     """(page_id, field, value): label and value pairs whose label a synonym (label, field) names.
 
-    With ``contains`` a label that holds a synonym, or is part of one, counts too, after those that equal one;
-    ``synonyms`` is then a short table, given to every task."""
+    With ``contains`` a label that holds a synonym, or is part of one, counts too, after those that equal one.  Neither side
+    is tested against all of the other: the parts of each distinct label, of those lengths that synonyms have, meet the
+    synonyms in an equi-join, and the parts of the synonyms, of those lengths that labels have, the labels.  Empty
+    labels and synonyms name nothing."""
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("l"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("v"))
     long = pages.select(key, F.posexplode(pairs).alias("pos", "p"))
     long = long.select(key, "pos", F.lower(F.regexp_replace(strip_tags(F.col("p.l")), r"[:：]\s*\z", "")).alias("label"), strip_tags(F.col("p.v")).alias("value")).where("value <> ''")
-    known = synonyms.select(F.lower("label").alias("name"), "field")
+    known = synonyms.select(F.lower("label").alias("name"), "field").where("name <> ''").distinct()
     if not contains:
         named = long.join(known, F.col("label") == F.col("name")).withColumn("far", F.lit(0))
     else:
-        table = known.agg(F.sort_array(F.collect_set(F.struct("name", "field")))).scalar()
-        near = F.filter(table, lambda k: F.contains(F.col("label"), k["name"]) | F.contains(k["name"], F.col("label")))
-        named = long.where("label <> ''").withColumn("k", F.explode(near)).select(key, "pos", "value", F.col("k.field").alias("field"), F.when(F.col("k.name") == F.col("label"), 0).otherwise(1).alias("far"))
+        labels = long.select("label").where("label <> ''").distinct()
+        near = parts_that_match(labels, "label", known.select("name").distinct(), "name").unionByName(parts_that_match(known.select("name").distinct(), "name", labels, "label")).distinct()
+        named = long.join(near, "label").join(known, "name").withColumn("far", F.when(F.col("name") == F.col("label"), 0).otherwise(1))
     return named.groupBy(key, "field").agg(F.min_by("value", F.struct("far", "pos", "value")).alias("value"))
 
 
+def parts_that_match(texts: DataFrame, text: str, wanted: DataFrame, name: str) -> DataFrame:
+    """(text, name) where a text of ``texts`` holds one of ``wanted``; both tables hold one column of distinct, not empty texts."""
+    lengths = F.broadcast(wanted.select(F.length(name).alias("__n")).distinct())
+    cut = texts.join(lengths, F.col("__n") <= F.length(text))
+    places = cut.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("__n") + 1)))
+    found = places.select(text, F.substring(F.col(text), F.col("__at"), F.col("__n")).alias(name)).distinct()
+    return found.join(wanted, name).select(text, name)
+
+
 def link_texts(html: Column, href: str, noise: Sequence[str] = (), shortest: int = 1) -> Column:
     """Texts of the links whose address matches, without noise words, first occurrences in order."""
     texts = F.transform(F.regexp_extract_all(html, F.lit(rf'(?is)<a[^>]*href="[^"]*{href}[^"]*"[^>]*>(.*?)</a>'), F.lit(1)), strip_tags)
