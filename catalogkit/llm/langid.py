@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import fold
+from catalogkit.llm.common import fold, settle
 
 UNKNOWN = "und"
 _LETTERS_ONLY = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -134,26 +134,40 @@ def _floors(cosines: dict[str, np.ndarray], varieties: dict[str, np.ndarray], co
     return out
 
 
-def sample(labelled: DataFrame, sample_rows: int, longest: int, least: int = 200, most_long: int = 50) -> DataFrame:
+def sample(labelled: DataFrame, sample_rows: int, longest: int, least: int = 200, most_long: int = 50, most_langs: int = 500) -> DataFrame:
     """(doc_id, lang, text): for each language its rows with the smallest id hashes, one per id.
 
     Up to ``sample_rows`` rows of a language; with more than four languages they share 4 ``sample_rows``, but
-    have ``least`` each.  Texts over ``longest`` characters come after all others, at most ``most_long``.
+    have ``least`` each.  Texts over ``longest`` characters come after all others, at most ``most_long``.  A column of more than
+    ``most_langs`` languages teaches those with the most ids, ties to the smaller name.
+
+    Hashes are cut to a little over the wanted number before they are ranked, so that no task ranks all ids of a language,
+    and what comes to the driver has a bound that the parameters set.
     """
     usable = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike("\\p{L}"))
     own = F.struct((F.length("text") > longest).alias("long"), F.xxhash64("text").alias("hash"))
-    ids = usable.groupBy("lang", "doc_id").agg(F.min(own).alias("own")).select("lang", "doc_id", "own.*")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
-    first = ids.withColumn("rank", rank).where(F.col("rank") <= sample_rows).collect()
-    langs = len({r.lang for r in first})
-    share = min(sample_rows, max(least, 4 * sample_rows // max(1, langs)))
-    chosen = [(r.lang, r.doc_id, r.hash) for r in first if r.rank <= (most_long if r.long else share)]
+    ids = settle(usable.groupBy("lang", "doc_id").agg(F.min(own).alias("own")).select("lang", "doc_id", "own.*"))
+    sizes = ids.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("over"))
+    known = sizes.orderBy(F.desc(F.col("short") + F.col("over")), "lang").limit(most_langs).collect()
+    share = min(sample_rows, max(least, 4 * sample_rows // max(1, len(known))))
+    limits = [(r.lang, long, _cut(n, most)) for r in known for long, n, most in ((False, r.short, share), (True, r.over, most_long))]
     types = dict(labelled.select("lang", "doc_id").dtypes)
-    wanted = labelled.sparkSession.createDataFrame(chosen, f"lang {types['lang']}, doc_id {types['doc_id']}, hash long")
+    spark = labelled.sparkSession
+    near = ids.join(F.broadcast(spark.createDataFrame(limits, f"lang {types['lang']}, long boolean, most long")), ["lang", "long"]).where(F.xxhash64("doc_id") <= F.col("most"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    first = near.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("long"), min(share, most_long)).otherwise(share))
+    chosen = [(r.lang, r.doc_id, r.hash) for r in first.collect()]
+    wanted = spark.createDataFrame(chosen, f"lang {types['lang']}, doc_id {types['doc_id']}, hash long")
     found = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(wanted), ["lang", "doc_id", "hash"])
     return found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
+def _cut(n: int, most: int) -> int:
+    """A hash below which about 4 ``most`` and 400 of ``n`` even hashes lie: ``most`` of them for certain, but for a chance
+    of less than 1e-80."""
+    return 2**63 - 1 if n <= 4 * most + 400 else -(2**63) + 2**64 * (4 * most + 400) // n
+
+
 def fit(labelled: DataFrame, sample_rows: int = 3000, longest: int = 20_000, clusters: int = 4, buckets: int = 4096) -> Centroids:
     """Learns centroids from rows (doc_id, text, lang); null ids and languages, null and letterless texts are left out."""
     rows = sorted((r for r in sample(labelled, sample_rows, longest).collect() if has_letter(r.text)), key=lambda r: (r.doc_id, r.lang, r.text))
@@ -203,7 +217,10 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
 
 def keep_spoken(docs: DataFrame, model: Centroids) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with their columns as they are."""
+    """The rows of ``docs`` that the model does not reject, with their columns as they are, whatever their names and types.
+
+    Null, empty and letterless texts go, repeated rows stay or go each, long texts are read whole; of an empty table
+    nothing stays, nor of any where nothing could be learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -222,7 +239,9 @@ def keep_spoken(docs: DataFrame, model: Centroids) -> DataFrame:
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected): learned from the folds crc32(doc_id) mod 4 <> 2."""
+    """(doc_id, held_out, lang_pred, score, rejected): learned from the folds crc32(doc_id) mod 4 <> 2.
+
+    A row per row of ``docs``; what of nulls and empty tables is as in ``predict``."""
     held_out = fold("doc_id", 4) == 2
     model = fit(docs.where(~held_out), **options)
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -171,7 +171,10 @@ def predict(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFram
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their columns as they are."""
+    """The rows of ``docs`` that score at least ``threshold``, with their columns as they are, whatever their names and types.
+
+    Null texts are judged as empty ones, repeated rows each, long texts whole; of an empty table nothing stays.  Where
+    nothing could be learned every row scores one half and stays."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     place = docs.columns.index("text")
 
@@ -184,6 +187,8 @@ def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFr
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row per row of ``docs``; extra columns are ignored."""
+    """(doc_id, held_out, score, predicted), a row per row of ``docs``; extra columns are ignored.
+
+    Null and empty texts are scored alike; repeated rows each; an empty table gives no rows."""
     forest = fit(docs, labels, **options)
     return predict(docs, forest).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructField
 
 from catalogkit.llm.common import attach, fresh, settle
 
@@ -223,8 +224,15 @@ def keep_representatives(docs: DataFrame, radius: int = 4, shingle_words: int =
 
 
 def row_mark(docs: DataFrame) -> Column:
-    """A hash of all columns."""
-    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    """A hash of all columns; maps, which have no hash, count by their JSON text, with a map column's keys in order."""
+
+    def hashable(f: StructField) -> Column:
+        if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString():
+            return F.col(f"`{f.name}`")
+        entries = F.array_sort(F.map_entries(f"`{f.name}`")) if isinstance(f.dataType, MapType) and "map<" not in f.dataType.valueType.simpleString() else F.col(f"`{f.name}`")
+        return F.to_json(F.struct(entries.alias("v")))
+
+    return F.xxhash64(*[hashable(f) for f in docs.schema.fields], *[F.col(f"`{c}`").isNull() for c in docs.columns])
 
 
 def first_of_each(docs: DataFrame, mark: Column, prints: DataFrame, members: DataFrame) -> DataFrame:
@@ -240,4 +248,4 @@ def first_of_each(docs: DataFrame, mark: Column, prints: DataFrame, members: Dat
     if copied.isEmpty():
         return kept.select(docs.columns)
     once = kept.join(copied, own, "left_anti").select(docs.columns)
-    return once.unionByName(kept.join(copied, own, "left_semi").select(docs.columns).dropDuplicates())
+    return once.unionByName(kept.join(copied, own, "left_semi").dropDuplicates([own]).select(docs.columns))

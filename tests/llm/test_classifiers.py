@@ -301,3 +301,71 @@ def test_latin_gibberish_and_unlearned_languages_are_rejected(spark):
     assert [r.doc_id for r in langid.predict(odd, langid.fit(docs)).where("NOT rejected").collect()] == []
     left_out = langid.predict(docs.where("lang = 'fr' AND length(text) > 200"), langid.fit(docs.where("lang <> 'fr'"))).collect()
     assert np.mean([r.rejected for r in left_out]) > 0.9
+
+
+def test_registered_toxicity_query_equals_loops(spark):
+    """Every row of the query against the fitted network, read word by word and window by window."""
+    from catalogkit.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    net, got = toxicity.fit(docs, labels), {r.doc_id: r for r in queries.op2_convolutional_toxicity(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts) and net.table is not None
+    for doc in sorted(texts)[:60]:
+        rows = [net.table[toxicity.rows_of(w, net.buckets)].sum(axis=0) for w in toxicity.words_of(texts[doc])] or [np.zeros(net.dims)]
+        rows += [np.zeros(net.dims)] * toxicity.PAD
+        raw, column, unit = net.offset, 0, 0
+        for width in toxicity.WIDTHS:
+            for f in range(net.filters):
+                best = max(sum(float(rows[at + k] @ net.kernel[:, column + k * net.filters + f]) for k in range(width)) for at in range(len(rows) - toxicity.PAD))
+                raw += max(best + float(net.bias[unit]), 0) * float(net.weight[unit])
+                unit += 1
+            column += width * net.filters
+        assert got[doc].score == pytest.approx(1 / (1 + np.exp(-raw)), abs=2e-3)
+        assert got[doc].held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
+
+
+def test_language_query_equals_loops(spark):
+    """TF-IDF, cosine and rejection of the registered query, with grams counted one by one in a dictionary."""
+    from catalogkit.llm import queries
+    from catalogkit.llm.common import fold
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    shift = 64 - model.buckets.bit_length() + 1
+
+    def grams(text):
+        low = "".join(c if c.isascii() is False or c.isalpha() else " " for c in text.lower())
+        raw = (" " + " ".join(x for x in low.split(" ") if x) + " ").encode()
+        out = Counter()
+        for n in range(1, 5):
+            for at in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[at : at + n], "big")
+                out[((code + (n << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> shift] += 1
+        return out
+
+    learned = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and any(map(str.isalpha, r.text or ""))]
+    met = Counter(g for r in learned for g in grams(r.text))
+    for g in list(met)[:300]:
+        assert model.idf[g] == pytest.approx(np.log((1 + len(learned)) / (1 + met[g])) + 1)
+    got = {r.doc_id: r for r in queries.op9_centroid_language(spark, sf).collect()}
+    for r in docs.collect()[:80]:
+        counts = grams(r.text or "")
+        weights = {g: np.log1p(k) * model.idf[g] for g, k in counts.items()}
+        norm = np.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(row[g]) for g, w in weights.items()) / norm for row in model.matrix]
+        best = int(np.argmax(cosines))
+        assert got[r.doc_id].lang_pred == model.langs[best] and got[r.doc_id].score == pytest.approx(cosines[best], abs=1e-4)
+
+
+def test_a_column_of_many_languages_is_bounded(spark):
+    rows = [(i, f"text of some words {i % 7} letters", "common" if i % 2 else f"l{i}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = langid.sample(docs, 30, 20_000, least=5, most_langs=10).collect()
+    langs = Counter(r.lang for r in chosen)
+    assert len(langs) == 10 and langs["common"] == 12 and max(langs.values()) <= 30
+    plain = langid.sample(docs.where("lang = 'common'"), 30, 20_000).collect()
+    hashed = [r.doc_id for r in docs.where("lang = 'common'").orderBy(F.xxhash64("doc_id")).limit(30).collect()]
+    assert {r.doc_id for r in plain} == set(hashed)
