@@ -975,7 +975,7 @@ SYNONYMS = (("the", "article"), ("that", "article"), ("und", "joint"), ("nicht w
 @register(
     f"""WITH s(name, field) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)}), pairs AS (
             SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1)) AS l, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2)) AS v, unnest(range(1000)) AS pos FROM pages
-        ), long AS (SELECT page_id, pos, lower(l) AS label, trim(regexp_replace(v, '\s+', ' ', 'g')) AS value FROM pairs WHERE l IS NOT NULL), near AS (
+        ), long AS (SELECT page_id, pos, lower(l) AS label, trim(regexp_replace(v, '\\s+', ' ', 'g')) AS value FROM pairs WHERE l IS NOT NULL), near AS (
             SELECT page_id, field, value, pos, CASE WHEN label = name THEN 0 ELSE 1 END AS far FROM long JOIN s ON contains(label, name) OR contains(name, label) WHERE label <> '' AND value <> ''
         ) SELECT page_id, field, arg_min(value, (far, pos, value)) AS value FROM near GROUP BY page_id, field"""
 )
