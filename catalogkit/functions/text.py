@@ -58,7 +58,7 @@ def canon_code(c: Column, split: bool = True) -> Column:
 
 def extract_code(c: Column) -> Column:
     """The first code in free text, or null."""
-    pattern = r"([A-Za-z]{2,8})[_ -]?(\d{2,5})"
+    pattern = r"([A-Za-z]{2,8})[_ -]?(\d{2,5})"  #: fixed value: what a code in running text looks like
     letters = F.regexp_extract(c, pattern, 1)
     return F.when(letters != "", F.upper(F.concat_ws("-", letters, F.regexp_extract(c, pattern, 2))))
 
@@ -66,7 +66,7 @@ def extract_code(c: Column) -> Column:
 def parse_code(c: Column) -> Column:
     """struct(series, number) of a code, one trailing letter aside; null if it is none."""
     bare = F.regexp_replace(c, "[A-Za-z]$", "")
-    pattern = r"^([A-Za-z]+[0-9]*)-([0-9]+)$"
+    pattern = r"^([A-Za-z]+[0-9]*)-([0-9]+)$"  #: fixed value: series and number of a code
     number = F.regexp_extract(bare, pattern, 2).try_cast("bigint")
     series = F.regexp_extract(bare, pattern, 1)
     return F.when(series != "", F.struct(series.alias("series"), number.alias("number")))

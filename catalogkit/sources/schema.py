@@ -1,5 +1,6 @@
 """Explicit schemas; items may lack any field, and unreadable ones keep their text."""
 
+#: fixed values: the field names of the data
 ITEMS = (
     "code string, title string, date string, owner string, cast array<string>, series string, maker string, label string, publisher string, "
     "duration string, director string, tags array<string>, labels array<string>, synopsis string, rating double, rating_count int, "
