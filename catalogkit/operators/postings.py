@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAM = 3
+DIGITS = 2  # hexadecimal digits of a stored index's folders
 TEXTS = ("code", "title", "owner", "maker", "label", "series")
 ARRAYS = ("tags", "tags_zh")
 Index = dict[str, DataFrame]
@@ -60,15 +61,17 @@ def build(values: DataFrame, key: str = "code") -> Index:
     return {"terms": terms, "grams": grams.select("gram", "term"), "posts": posts}
 
 
-def _bucket(term: Column) -> Column:
-    """One of 256 folders."""
-    return F.substring(F.hex(term), 1, 2)
+def _bucket(term: Column, digits: int) -> Column:
+    """One of 16 to the power of ``digits`` folders."""
+    return F.substring(F.hex(term), 1, digits)
 
 
-def write(index: Index, path: str, files: int = 1) -> None:
-    """Stores the tables below ``path``: each in folders by the hash of gram or term, of ``files`` files, sorted by it."""
+def write(index: Index, path: str, files: int = 1, digits: int = DIGITS) -> None:
+    """Stores the tables below ``path``: each in folders by the hash of gram or term, of ``files`` files, sorted by it.
+
+    Searches of the index need the same ``digits``."""
     for name, by, key in (("grams", "gram", _term(F.col("gram"))), ("terms", "term", F.col("term")), ("posts", "term", F.col("term"))):
-        dealt = index[name].withColumn("bucket", _bucket(key)).repartition("bucket", F.pmod(F.xxhash64(*index[name].columns), F.lit(files)))
+        dealt = index[name].withColumn("bucket", _bucket(key, digits)).repartition("bucket", F.pmod(F.xxhash64(*index[name].columns), F.lit(files)))
         dealt.sortWithinPartitions("bucket", by).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
@@ -81,7 +84,7 @@ def grams_of(query: str) -> list[str]:
     return [query] if len(query) <= GRAM else sorted({query[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
 
 
-def search(index: Index, queries: Sequence[str], items: DataFrame | None = None, key: str = "code") -> DataFrame:
+def search(index: Index, queries: Sequence[str], items: DataFrame | None = None, key: str = "code", digits: int = DIGITS) -> DataFrame:
     """(query, key) of the items that hold a query, trimmed and lower-cased, in a searched value.
 
     ``queries`` are a user's, so few.  An empty one finds all ``items`` (none, if these aren't given)."""
@@ -92,9 +95,9 @@ def search(index: Index, queries: Sequence[str], items: DataFrame | None = None,
     known = sorted({g for _, _, g, _ in wanted})
     grams = index["grams"]
     if "bucket" in grams.columns:
-        grams = grams.where(F.col("bucket").isin(*sorted({hashlib.md5(g.encode()).hexdigest()[:2].upper() for g in known})))
+        grams = grams.where(F.col("bucket").isin(*sorted({hashlib.md5(g.encode()).hexdigest()[:digits].upper() for g in known})))
     met = grams.where(F.col("gram").isin(*known)).select("gram", "term").join(F.broadcast(table), "gram")
-    near = met.groupBy("query", "wanted", "need", "term").agg(F.count("*").alias("n")).where("n = need").select("query", "wanted", "term", _bucket(F.col("term")).alias("bucket"))
+    near = met.groupBy("query", "wanted", "need", "term").agg(F.count("*").alias("n")).where("n = need").select("query", "wanted", "term", _bucket(F.col("term"), digits).alias("bucket"))
     on = {name: ["bucket", "term"] if "bucket" in index[name].columns else ["term"] for name in ("terms", "posts")}
     held = near.join(index["terms"], on["terms"]).where(F.contains("value", "wanted")).select("query", "bucket", "term")
     found = held.join(index["posts"], on["posts"]).select("query", key).distinct()
