@@ -29,9 +29,11 @@ def alias_collisions(clusters: DataFrame) -> DataFrame:
 
 def canonicalise_owner(items: DataFrame, clusters: DataFrame, owner: str = "owner") -> DataFrame:
     """Owners that are an alias of exactly one cluster get its name; canonical, collided and unknown names stay."""
-    own = clusters.groupBy("alias").agg(F.count_distinct("canonical").alias("n"), F.min("canonical").alias("canonical"))
-    heads = clusters.select(F.col("canonical").alias("alias")).distinct().withColumn("head", F.lit(True))
-    known = own.join(heads, "alias", "full").where("n = 1 AND head IS NULL").select(F.col("alias").alias("__a"), F.col("canonical").alias("__canonical"))
+    # each row tells of its alias and of its canonical name, so that the clusters are made once
+    told = F.array(F.struct(F.col("alias").alias("name"), F.col("canonical").alias("of")), F.struct(F.col("canonical").alias("name"), F.lit(None).cast("string").alias("of")))
+    names = clusters.select(F.explode(told).alias("t")).groupBy(F.col("t.name").alias("__a"))
+    known = names.agg(F.min("t.of").alias("__canonical"), F.max("t.of").alias("__last"), F.bool_or(F.col("t.of").isNull()).alias("__head"))
+    known = known.where("NOT __head AND __canonical = __last").select("__a", "__canonical")
     joined = items.join(known, F.col(owner) == F.col("__a"), "left")
     return joined.select(*[F.coalesce("__canonical", owner).alias(c) if c == owner else F.col(c) for c in items.columns])
 

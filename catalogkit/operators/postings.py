@@ -107,6 +107,12 @@ def search(index: Index, queries: Sequence[str], items: DataFrame | None = None,
     return found
 
 
-def search_everywhere(items: DataFrame, queries: Sequence[str], owners: DataFrame, clusters: DataFrame, tag_map: DataFrame, key: str = "code", **fields) -> DataFrame:
-    """``search`` through an index that is built for this call only."""
-    return search(build(searched_values(items, owners, clusters, tag_map, key=key, **fields), key), queries, items, key)
+def search_everywhere(items: DataFrame, queries: Sequence[str], owners: DataFrame, clusters: DataFrame, tag_map: DataFrame, key: str = "code", store: str | None = None, **fields) -> DataFrame:
+    """``search`` through an index that is built for this call only.
+
+    Its three tables come of the same values: with ``store``, a new folder, these are made once and written there."""
+    values = searched_values(items, owners, clusters, tag_map, key=key, **fields)
+    if store:
+        values.write.parquet(store)
+        values = items.sparkSession.read.parquet(store)
+    return search(build(values, key), queries, items, key)

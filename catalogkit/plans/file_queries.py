@@ -6,9 +6,6 @@ Their files lie in a folder of their own for each call, below the shared folder
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +18,6 @@ from catalogkit.sources.generations import Catalogue
 FILE_ROWS = 500  # objects of a JSON file
 
 
-def folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='catalogkit-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def write_objects(rows: DataFrame, path: str) -> None:
     """JSON files of about FILE_ROWS objects each, as an array, in a folder each."""
     files = max(1, -(-rows.count() // FILE_ROWS))
@@ -39,7 +29,7 @@ def write_objects(rows: DataFrame, path: str) -> None:
 @register("SELECT code, title, owner, array_to_string(tags, '|') AS tags, k % 20 = 0 AS twice FROM items WHERE k % 7 <> 0", ("items",))
 def scanned_items(spark: SparkSession, d: str) -> DataFrame:
     """Items written as JSON and scanned: those without a code are rejects, of repeated codes the last path counts."""
-    at, items = folder(spark), view(spark, d, "items")
+    at, items = io.scratch_folder(spark), view(spark, d, "items")
     own = items.select(F.when(F.col("k") % 7 != 0, F.col("code")).alias("code"), "title", "owner", "tags", (F.col("k") % 20 == 0).alias("twice"))
     write_objects(own.select("code", "title", "owner", "tags"), f"{at}/a")
     write_objects(own.where("twice").select("code", "title", "owner", "tags", F.lit("again").alias("series")), f"{at}/b")
@@ -50,7 +40,7 @@ def scanned_items(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT coalesce(CASE WHEN length(team) <> 6 THEN name END, 'file=0') AS name, avatar, team AS \"group\" FROM profiles", ("profiles",))
 def scanned_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles written as JSON and read: one without a name has its folder's."""
-    at = folder(spark)
+    at = io.scratch_folder(spark)
     rows = view(spark, d, "profiles").select(F.when(F.length("team") != 6, F.col("name")).alias("name"), "avatar", F.col("team").alias("group"))
     text = F.to_json(F.struct("name", "avatar", "group"))
     rows.select(F.lit(0).alias("file"), text.alias("value")).repartition(rows.count() or 1).write.option("maxRecordsPerFile", 1).partitionBy("file").text(at)
@@ -60,7 +50,7 @@ def scanned_profiles(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT source, file_ord, id, coalesce(url, '') AS url, ja, coalesce(zh_cn, '') AS zh_cn, note FROM dictionary", ("dictionary",))
 def tag_files(spark: SparkSession, d: str) -> DataFrame:
     """Dictionaries written as CSV, a file each, and read by their headers."""
-    at, rows = folder(spark), view(spark, d, "dictionary")
+    at, rows = io.scratch_folder(spark), view(spark, d, "dictionary")
     for name in ("one", "two"):
         io.write_csv(rows.where(F.col("source") == name), f"{at}/{name}.csv", ["note", "ja", "id", "url", "zh_cn"])
     back = io.read_tag_sources(spark, [f"{at}/one.csv", f"{at}/none.csv", f"{at}/two.csv"])
@@ -70,7 +60,7 @@ def tag_files(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT code, title, k % 3 = 0 AS old, k % 2 = 0 AS new FROM items WHERE k % 3 = 0 OR k % 2 = 0", ("items",))
 def snapshots_read_back(spark: SparkSession, d: str) -> DataFrame:
     """Two snapshots of one folder, the second written twice: the last writing alone counts."""
-    at, items = folder(spark), view(spark, d, "items").select("k", "code", "title")
+    at, items = io.scratch_folder(spark), view(spark, d, "items").select("k", "code", "title")
     io.write_snapshot(items.where("k % 3 = 0"), at, "old")
     io.write_snapshot(items, at, "new")
     io.write_snapshot(items.where("k % 2 = 0"), at, "new")
@@ -85,7 +75,7 @@ def snapshots_read_back(spark: SparkSession, d: str) -> DataFrame:
 )
 def committed_generations(spark: SparkSession, d: str) -> DataFrame:
     """A catalogue after two commits and a dry run, with the rows that the second commit wrote."""
-    own, items = Catalogue(spark, folder(spark)), view(spark, d, "items").select("k", "code", "title")
+    own, items = Catalogue(spark, io.scratch_folder(spark)), view(spark, d, "items").select("k", "code", "title")
     own.commit(items.where("k % 5 <> 0").select("code", "title"), apply=True)
     own.commit(items.select("code", F.lit("dry").alias("title")))
     second = items.select("code", F.when(F.col("k") % 4 == 0, "new").otherwise(F.col("title")).alias("title"), (F.col("k") % 4 == 0).alias("fresh"), "k").where("fresh OR k % 5 <> 0")
@@ -96,7 +86,7 @@ def committed_generations(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2")
 def report_read_back(spark: SparkSession, d: str) -> DataFrame:
     """A report written as JSON and read again."""
-    at = folder(spark)
+    at = io.scratch_folder(spark)
     rows = view(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.min("l_linenumber").alias("first"))
     io.write_report(rows, at)
     return spark.read.schema("flag string, status string, n long, first int").json(at)
@@ -105,7 +95,7 @@ def report_read_back(spark: SparkSession, d: str) -> DataFrame:
 @register("SELECT DISTINCT trim(p_name) AS code FROM part WHERE trim(p_name) <> '' UNION SELECT 'X-1'")
 def code_list(spark: SparkSession, d: str) -> DataFrame:
     """Codes from a text file with blanks, and more that are given."""
-    at = folder(spark)
+    at = io.scratch_folder(spark)
     view(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), "p_name", F.lit(" "))).otherwise(F.col("p_name")).alias("value")).union(spark.createDataFrame([("",), ("  ",)], "value string")).write.text(at)
     return io.read_codes(spark, at, [" X-1", ""])
 
@@ -120,7 +110,7 @@ def code_list(spark: SparkSession, d: str) -> DataFrame:
 )
 def stored_search(spark: SparkSession, d: str) -> DataFrame:
     """The search over all fields, through an index that is stored first."""
-    at = folder(spark)
+    at = io.scratch_folder(spark)
     owners = view(spark, d, "profiles").select(F.col("name").alias("src"), F.col("team").alias("dst"))
     values = postings.searched_values(view(spark, d, "items"), owners, _clusters(spark, d), tags.build_tag_map(view(spark, d, "dictionary")))
     values.write.parquet(f"{at}/values")

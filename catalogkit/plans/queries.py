@@ -514,7 +514,7 @@ def search_everywhere(spark: SparkSession, d: str) -> DataFrame:
     tag_map = tags.build_tag_map(view(spark, d, "dictionary"))
     items = tags.translate_aligned(view(spark, d, "items"), "tags", tag_map)
     owners = view(spark, d, "profiles").select(F.col("name").alias("src"), F.col("team").alias("dst"))
-    return postings.search_everywhere(items, SOUGHT, owners, _clusters(spark, d), tag_map)
+    return postings.search_everywhere(items, SOUGHT, owners, _clusters(spark, d), tag_map, store=io.scratch_folder(spark))
 
 
 @register(

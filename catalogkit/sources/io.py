@@ -5,6 +5,8 @@ Every reader goes through Spark, so paths may be on any file system that Spark k
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -107,6 +109,15 @@ def storage_index(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.upper(F.regexp_replace("fn", r"\.[^.]*$", "")).alias("code"), "file_path", F.col("parent").alias("folder"), F.col("fn").alias("file_name"))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares, ``spark.checkpoint.dir``; a local session without one gets a
+    temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='catalogkit-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_snapshot(items: DataFrame, path: str, snapshot_id: str) -> None:
     """One partition per snapshot; writing a snapshot again replaces it alone."""
     items.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
