@@ -60,9 +60,10 @@ class Tree:
     span: list  # per node: its rows (first, end)
 
 
-def grow(ids: list, x: np.ndarray, wild: bool = False, leaf: int = 512, fanout: int = 8) -> Tree:
-    """Bulk load: a node's rows are dealt to the nearest of ``fanout`` pivots chosen farthest first.  A wild page has no
-    tree."""
+def grow(ids: list, x: np.ndarray, wild: bool = False, leaf: int | None = None, fanout: int = 8) -> Tree:
+    """Bulk load: a node of more than ``leaf`` rows (a quarter of the page, 512 at most) deals them to the
+    nearest of ``fanout`` pivots chosen farthest first.  A wild page has no tree."""
+    leaf = leaf or min(512, max(32, -(-len(x) // 4)))
     if wild:
         none = np.zeros(0)
         return Tree(ids, x, none, none, none, none, none, none, [], [])
