@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,14 +20,29 @@ def settle(df: DataFrame) -> DataFrame:
     local master (one machine, as in tests) and an error on a cluster.  Spark removes checkpoints that are
     no longer used where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settle``, by a table written to the same folder, which stays until the folder is cleared.
+
+    For loops of joins: a checkpoint hands on its plan's estimated size, and a table that is joined to itself round by round
+    squares the estimate each time, until planning takes minutes; a written table has its true size.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
 def fold(id_column: str, modulus: int) -> Column:

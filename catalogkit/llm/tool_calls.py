@@ -10,8 +10,9 @@ chain of needs among calls ready at the same place.  Each call thus follows thos
 whose calls need earlier ones only is in order of place.
 
 Scale.  Such a conversation, of whatever size, is numbered by a two-level running sum.  One with a call that needs a
-later one is ordered in one task if it has at most ``group_rows`` calls, and else by rounds of joins, to the same
-order: as many rounds as calls in the longest chain that waits for a later place.
+later one is ordered in one task if it has at most ``group_rows`` calls, and else by joins of numbered calls, to the same
+order.  Chains of calls with one need each are drawn together by doubling pointers; what is left takes as many
+rounds as calls with several needs lie on the longest chain that waits for a later place.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.llm.common import running_sum, settle
+from catalogkit.llm.common import running_sum, settle, stored
 
 _KINDS = {
     "string": lambda v: isinstance(v, str),
@@ -142,44 +143,79 @@ def order_of(keys: list[tuple], needs: list[list[int]]) -> list[tuple | None]:
     return [(ready[i], level[i]) if done[i] else None for i in range(len(keys))]
 
 
-def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, place, ready_place, ready_id, level), level null on or behind a cycle: as ``order_of``, by joins.
+def _shortcuts(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of ``edges`` (v, need) drawn together: (v, to, most, steps) of the calls with one need, and the same of the
+    needs of the others.
 
-    ``calls`` (conv_id, call_id, place) and ``edges`` (conv_id, call_id, need) are settled.
+    to is the first call with no need or several that a chain of single needs leads to, most the greatest number before it
+    and steps the way there; to is null where the chain runs into a circle.  Pointers double, so that the rounds
+    are as many as the logarithm of the longest chain.
     """
-    at = F.struct("ready_place", "ready_id")
-    state = settle(calls.withColumn("ready_place", F.col("place")).withColumn("ready_id", F.col("call_id")))
-    moved = state.select("conv_id", "call_id", at.alias("at"))
-    while True:  # what a need is ready at reaches the calls that wait for it; only calls that moved hand on
-        met = edges.join(moved.select("conv_id", F.col("call_id").alias("need"), "at"), ["conv_id", "need"])
-        risen = met.groupBy("conv_id", "call_id").agg(F.max("at").alias("at"))
-        moved = settle(risen.join(state, ["conv_id", "call_id"]).where(F.col("at") > at).select("conv_id", "call_id", risen["at"]))
+    one = edges.groupBy("v").agg(F.count("*").alias("n"), F.min("need").alias("to")).where("n = 1")
+    ways = stored(one.select("v", "to", F.col("v").alias("most"), F.lit(1).cast("long").alias("steps")))
+    reach, most = 1, ways.count()
+    while True:
+        ahead = ways.select(F.col("v").alias("to"), F.col("to").alias("next"), F.col("most").alias("more"), F.col("steps").alias("further"))
+        longer = F.col("steps") + F.coalesce("further", F.lit(0))
+        met = ways.join(ahead, "to", "left").select("v", F.coalesce("next", "to").alias("to"), F.greatest("most", "more").alias("most"), longer.alias("steps"), F.col("next").isNotNull().alias("open"))
+        ways = stored(met)
+        if reach >= most or ways.where("open").isEmpty():
+            break
+        reach *= 2
+    ways = ways.select("v", F.when(~F.col("open"), F.col("to")).alias("to"), "most", "steps")
+    hop = ways.select(F.col("v").alias("need"), "to", "most", "steps", F.lit(True).alias("chained"))
+    others = edges.join(ways.select("v"), "v", "left_anti").join(hop, "need", "left")
+    to = F.when(F.col("chained"), F.col("to")).otherwise(F.col("need")).alias("to")
+    short = others.select("v", to, F.coalesce("most", "need").alias("most"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    return ways, stored(short.groupBy("v", "to").agg(F.max("most").alias("most"), F.max("steps").alias("steps")))
+
+
+def _ready(calls: DataFrame, ways: DataFrame, short: DataFrame) -> DataFrame:
+    """(v, ready): the greatest number among a call's own and those of all calls that it needs."""
+    value = moved = stored(short.groupBy("v").agg(F.max("most").alias("most")).select("v", F.greatest("v", "most").alias("value")))
+    while True:  # only calls that moved hand on
+        risen = short.join(moved.select(F.col("v").alias("to"), F.col("value").alias("new")), "to").groupBy("v").agg(F.max("new").alias("new"))
+        moved = stored(risen.join(value, "v").where("new > value").select("v", F.col("new").alias("value")))
         if moved.isEmpty():
             break
-        kept = state.join(moved.withColumnRenamed("at", "new"), ["conv_id", "call_id"], "left")
-        state = settle(kept.select("conv_id", "call_id", "place", F.coalesce("new.ready_place", "ready_place").alias("ready_place"), F.coalesce("new.ready_id", "ready_id").alias("ready_id")))
-    own = state.select("conv_id", "call_id", at.alias("own"))
-    needed = state.select("conv_id", F.col("call_id").alias("need"), at.alias("theirs"))
-    inner = edges.join(own, ["conv_id", "call_id"]).join(needed, ["conv_id", "need"]).where(F.col("own") == F.col("theirs"))
-    inner = settle(inner.select("conv_id", "call_id", "need"))
-    chained = inner.select("conv_id", "call_id").union(inner.select("conv_id", "need")).distinct()
-    waiting, turn = settle(chained), 0
-    levels = state.select("conv_id", "call_id").join(chained, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    while True:  # calls free at the same time are of one level
-        free = settle(waiting.join(inner.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
+        value = stored(value.join(moved.withColumnRenamed("value", "new"), "v", "left").select("v", F.coalesce("new", "value").alias("value")))
+    there = value.select(F.col("v").alias("to"), F.col("value").alias("value_there"))
+    met = calls.select("v").join(ways, "v", "left").join(there, "to", "left").join(value, "v", "left")
+    return stored(met.select("v", F.greatest("v", "most", "to", "value_there", "value").alias("ready")))
+
+
+def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, ready, level) of ``calls`` (v), level null on or behind a cycle: as ``order_of``, by joins.
+
+    v numbers the calls by (conversation, place, id); ``edges`` are (v, need), each once.  Both are stored.
+    """
+    ways, short = _shortcuts(edges)
+    ready = _ready(calls, ways, short)
+    needed = ready.select(F.col("v").alias("need"), F.col("ready").alias("theirs"))
+    near, far = _shortcuts(stored(edges.join(ready, "v").join(needed, "need").where("ready = theirs").select("v", "need")))
+    waiting = far.select(F.col("v").alias("to")).distinct().withColumn("waits", F.lit(True))
+    known = F.col("to").isNotNull() & F.col("waits").isNull()
+    left = stored(far.join(waiting, "to", "left").select("v", "to", "steps", known.alias("known")))
+    levels = left.select("v", F.col("steps").alias("level")).limit(0)
+    while True:  # calls all of whose needs have a level get theirs
+        free = stored(left.groupBy("v").agg(F.bool_and("known").alias("known"), F.max("steps").alias("level")).where("known").select("v", "level"))
         if free.isEmpty():
             break
-        levels = levels.unionByName(free.withColumn("level", F.lit(turn)))
-        waiting = settle(waiting.join(free, ["conv_id", "call_id"], "left_anti"))
-        inner = settle(inner.join(free.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti").select("conv_id", "call_id", "need"))
-        turn += 1
-    stuck = new = waiting
+        levels = stored(levels.unionByName(free))
+        rest = left.join(free.select("v"), "v", "left_anti").join(free.withColumnRenamed("v", "to"), "to", "left")
+        left = stored(rest.select("v", "to", (F.col("steps") + F.coalesce("level", F.lit(0))).alias("steps"), (F.col("known") | F.col("level").isNotNull()).alias("known")))
+    bound = left.select("v").distinct()
+    behind = near.where("to IS NULL").select("v").union(near.join(bound.withColumnRenamed("v", "to"), "to", "left_semi").select("v"))
+    stuck = new = stored(bound.union(behind).union(short.where("to IS NULL").select("v")).distinct())
     while not new.isEmpty():
-        behind = edges.join(new.withColumnRenamed("call_id", "need"), ["conv_id", "need"]).select("conv_id", "call_id").distinct()
-        new = settle(behind.join(stuck, ["conv_id", "call_id"], "left_anti"))
-        stuck = stuck.unionByName(new)
-    levels = levels.join(stuck, ["conv_id", "call_id"], "left_anti")
-    return state.join(levels, ["conv_id", "call_id"], "left")
+        met = short.join(new.withColumnRenamed("v", "to"), "to", "left_semi").select("v").distinct()
+        new = stored(met.join(stuck, "v", "left_anti"))
+        stuck = stored(stuck.union(new))
+    stuck = stuck.union(ways.where("to IS NULL").select("v")).union(ways.join(stuck.withColumnRenamed("v", "to"), "to", "left_semi").select("v")).distinct()
+    there = levels.select(F.col("v").alias("to"), F.col("level").alias("level_there"))
+    chained = near.select("v", "to", "steps").join(there, "to", "left").select("v", (F.col("steps") + F.coalesce("level_there", F.lit(0))).alias("level"))
+    found = ready.join(levels.unionByName(chained), "v", "left").join(stuck.withColumn("stuck", F.lit(True)), "v", "left")
+    return found.select("v", "ready", F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"))
 
 
 def positions(calls: DataFrame, group_rows: int = 10_000) -> DataFrame:
@@ -213,8 +249,11 @@ def positions(calls: DataFrame, group_rows: int = 10_000) -> DataFrame:
     order = order.unionByName(small.groupBy("conv_id").applyInPandas(sort, "conv_id long, call_id string, position long"))
     if large.isEmpty():
         return order
-    long = settle(_rounds(settle(odd.join(large, "conv_id", "left_semi")), settle(edges.join(large, "conv_id", "left_semi").select("conv_id", "call_id", "need"))))
-    ranked = running_sum(long.where("level IS NOT NULL").withColumn("one", F.lit(1)), "one", "position", ["conv_id"], ["ready_place", "ready_id", "level", "place", "call_id"])
+    ids = stored(running_sum(odd.join(large, "conv_id", "left_semi").withColumn("one", F.lit(1)), "one", "v", [], ["conv_id", "place", "call_id"]).select("conv_id", "call_id", "v"))
+    owned = edges.join(large, "conv_id", "left_semi").join(ids, ["conv_id", "call_id"]).select("conv_id", "v", F.col("need").alias("call_id"))
+    numbered = stored(owned.join(ids.withColumnRenamed("v", "need"), ["conv_id", "call_id"]).select("v", "need"))
+    long = stored(ids.join(_rounds(ids, numbered), "v"))
+    ranked = running_sum(long.where("level IS NOT NULL").withColumn("one", F.lit(1)), "one", "position", ["conv_id"], ["ready", "level", "v"])
     stuck = long.where("level IS NULL").select("conv_id", "call_id", F.lit(None).cast("long").alias("position"))
     return order.unionByName(ranked.select("conv_id", "call_id", "position")).unionByName(stuck)
 

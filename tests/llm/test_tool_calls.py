@@ -114,3 +114,18 @@ def test_nested_schemas():
     for bad in ({"type": "text"}, {"properties": {"p": {"type": ["string", "x"]}}}, {"items": {"type": 3}}, {"pattern": "("}):
         with pytest.raises((ValueError, TypeError, re.error)):
             tool_calls.check_schema(bad)
+
+
+def test_jobs_do_not_grow_with_a_chain(spark):
+    """The number of Spark jobs grows with the logarithm of a chain's length."""
+
+    def jobs(n):
+        edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(n, 0), (n, 1)], "v long, need long")
+        group = f"chain-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.v: (r.ready, r.level) for r in tool_calls._rounds(spark.range(n + 1).toDF("v"), edges).collect()}
+        spark.sparkContext.setJobGroup("none", "none")
+        assert got == {i: (n - 1, n - 1 - i) for i in range(n)} | {n: (n, 0)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(400) <= 2.5 * jobs(30)
