@@ -5,7 +5,9 @@ unless a splitter has to cut through a group that is too large.  Rows that repea
 shards depend on the rows alone, however they are split.  The splitters are found without sorting:
 in each round the exact bytes below a set of candidate boundaries are counted in all partitions, and each
 splitter's interval shrinks around its target until a boundary meets the tolerance.  Boundaries between
-groups are tried before those inside one.  Rows are then exchanged once, to their shard.
+groups are tried before those inside one.  Rows are then exchanged once, by the splitters: a shard of many rows is cut
+into pieces by further boundaries, from exact counts of rows, and each piece is sorted where it arrives.  The rows below a
+piece's boundary number it within its shard.
 
 Only counts at the probes, a bounded number, reach the driver.
 """
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogkit.llm.common import fresh, running_sum, settle
@@ -93,27 +95,49 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.005, fan: int =
     return sorted(b for _, b in best)
 
 
-def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005) -> DataFrame:
+def pieces(rows: DataFrame, cut: np.ndarray, piece_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending boundaries, ``cut`` among them, between which at most ``piece_rows`` rows lie (more only where they share a
+    key), and the rows before each piece.  Pieces that are too large are cut evenly by key, which is a hash, and counted
+    again; boundaries are about twice as many as rows / piece_rows."""
+    counted = rows.select("key", F.lit(1).cast("long").alias("size"))
+    total, ends = rows.count(), np.unique(cut)
+    while True:
+        starts = np.concatenate([[0], bytes_below(counted, ends)])
+        low, high, n = np.concatenate([[0], ends]), np.concatenate([ends, [TOP - 1]]), np.diff(np.concatenate([starts, [total]]))
+        large = np.flatnonzero((n > piece_rows) & (high - low > 1))
+        if not len(large):
+            return ends, starts
+        parts = -(-2 * n[large] // piece_rows)
+        steps = np.maximum(1, (high - low)[large] // parts)
+        inner = [a + step * np.arange(1, k, dtype=np.int64) for a, step, k in zip(low[large], steps, parts)]
+        ends = np.union1d(ends, np.concatenate([x[x < b] for x, b in zip(inner, high[large])]))
+
+
+def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.005, piece_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, key): a row per row of ``docs``.
 
     size is the text's UTF-8 bytes (none for a null text) plus 16; null ids are ids like others.  slot numbers a
     shard's rows from 0 without gaps, in the order of the keys.  The result is the same however the input is
-    split.  A shard's bytes are within ``tolerance`` of the mean unless a text larger than that lies at its
-    edge.  An empty table gives no rows; with fewer rows than shards some shards stay empty.  Extra columns are
-    ignored.
+    split and whatever ``piece_rows``, the most rows of a piece.  A shard's bytes are within ``tolerance`` of the mean unless
+    a text larger than that lies at its edge.  An empty table gives no rows; with fewer rows than shards some shards
+    stay empty.  Extra columns are ignored.
     """
     rows = keyed(docs)
     cut = np.array(splitters(rows, shards, tolerance), np.int64)
+    ends, starts = pieces(rows, cut, piece_rows)
+    shard_of = np.concatenate([[0], np.searchsorted(cut, ends, side="right")])
+    before = starts - starts[np.searchsorted(shard_of, shard_of, side="left")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.searchsorted(cut, np.asarray(batch.column("key")), side="right").astype(np.int32)
-            yield batch.append_column("shard", pa.array(at)).append_column("one", pa.array(np.ones(len(at), np.int32)))
+            piece = np.searchsorted(ends, np.asarray(batch.column("key")), side="right")
+            yield batch.append_column("piece", pa.array(piece.astype(np.int32))).append_column("shard", pa.array(shard_of[piece].astype(np.int32))).append_column("before", pa.array(before[piece]))
 
     # two texts may share a key: id and checksum settle their order
-    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, twin long, shard int, one int")
-    return running_sum(placed, "one", "slot", ["shard"], ["key", "doc_id", "twin", "text_crc32", "size"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "key"
+    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, key long, twin long, piece int, shard int, before long")
+    place_in_piece = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id", "twin", "text_crc32", "size"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + place_in_piece - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "key"
     )
 
 

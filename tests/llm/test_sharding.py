@@ -79,3 +79,22 @@ def test_written_shards_hold_the_same_rows(spark, tmp_path):
     expected = {(r.doc_id, r.shard) for r in sharding.shard(docs, 4).collect()}
     assert {(r.doc_id, r["shard_"]) for r in back.collect()} == expected and back.count() == 600
     assert all(len(list(f.glob("*.parquet"))) <= 2 for f in (tmp_path / "out").glob("shard_=*"))
+
+
+def test_pieces_do_not_change_the_result_and_rows_are_exchanged_once(spark):
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i} " * (1 + i % 9), 1, 2) for i in range(3000)] + [(9999, "twin", 1, 2)] * 300
+    docs = spark.createDataFrame(rows, SCHEMA)
+    small = sharding.shard(docs, 10, piece_rows=100)
+    assert set(map(tuple, small.collect())) == set(map(tuple, sharding.shard(docs, 10).collect()))
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+    assert small._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
+    check(rows, small.collect(), 10)
+
+
+def test_pieces_hold_few_rows(spark):
+    keys = [5] * 40 + list(range(1000, 1100)) + [n << 40 for n in range(1, 3000)]
+    rows = spark.createDataFrame([(k,) for k in keys], "key long")
+    ends, starts = sharding.pieces(rows, np.array([1050, 9 << 45], np.int64), 50)
+    assert {1050, 9 << 45} <= set(ends.tolist())
+    assert starts.tolist() == [0, *(sum(k < e for k in keys) for e in ends.tolist())]
+    assert np.diff([*starts.tolist(), len(keys)]).max() <= 50
