@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from catalogkit.llm import sharding
