@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from catalogkit.llm import sharding
@@ -58,14 +57,11 @@ def test_the_shards_do_not_depend_on_partitions(spark):
     assert key(3) == key(7)
 
 
-def test_splitters_equal_brute_force():
+def test_splitters_equal_brute_force(spark):
     """Bytes below each boundary, as the sorted keys give them, are within the tolerance of their target."""
-    import numpy as np
-    from pyspark.sql import SparkSession
-
     rng = np.random.default_rng(1)
     keys, sizes = rng.integers(0, 1 << 62, 5000), rng.integers(16, 400, 5000)
-    rows = SparkSession.getActiveSession().createDataFrame(list(zip(keys.tolist(), sizes.tolist())), "key long, size long")
+    rows = spark.createDataFrame(list(zip(keys.tolist(), sizes.tolist())), "key long, size long")
     cut = sharding.splitters(rows, 40, 0.02)
     total = int(sizes.sum())
     assert len(cut) == 39 and cut == sorted(cut)
