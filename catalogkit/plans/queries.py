@@ -801,9 +801,11 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
     ("items", "observations"),
 )
 def curated_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Codes normalised, gaps filled from a second source, completeness flagged, owners ranked."""
-    items = view(spark, d, "items").withColumn("code", text.normalize_id(F.col("raw"))).withColumn("owner", index.resolve_owner(view(spark, d, "items").drop("members")))
+    """Gaps filled from a second source, codes normalised, completeness flagged, owners ranked."""
+    items = view(spark, d, "items").withColumn("owner", index.resolve_owner(view(spark, d, "items").drop("members")))
+    # sources know an item by its own code, which a raw spelling may have cut: the fill comes before the normalising
     filled = merge.fill_merge(items, view(spark, d, "observations").where("source = 'beta'"), ["title", "date"], ROLES)
+    filled = filled.withColumn("code", text.normalize_id(F.col("raw")))
     flagged = audit.annotate_completeness(filled)
     out = flagged.groupBy("owner").agg(F.count("*").alias("n"), F.count_if("incomplete").alias("incomplete"), F.min("code").alias("first_code"))
     return out.orderBy(F.desc("n"), "owner")
