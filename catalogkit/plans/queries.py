@@ -396,7 +396,7 @@ def learn_template(spark: SparkSession, d: str) -> DataFrame:
 )
 def url_candidates(spark: SparkSession, d: str) -> DataFrame:
     items = view(spark, d, "items")
-    return mapping.url_candidates(items, mapping.learn_template(items, "cover", "code"), "code", "https://i.example.com/", [("v", "pl", "", 3)])
+    return mapping.url_candidates(items, mapping.learn_template(items, "cover", "code"), "code", "https://i.example.com/", [("v", "pl", "", 3)], fixed_width=True)
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

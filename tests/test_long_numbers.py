@@ -17,7 +17,7 @@ def long_keys(tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["curated_ranking"])
+@pytest.mark.parametrize("name", ["curated_ranking", "url_candidates"])
 def test_query_equals_its_oracle_on_long_keys(spark, long_keys, name):
     at, con = long_keys
     assert canonical(QUERIES[name](spark, at).toPandas()) == canonical(con.execute(ORACLE_SQL[name]).df())
