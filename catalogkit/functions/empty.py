@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,11 @@ from pyspark.sql import types as T
 NOTHING = ("null", "none", "n/a", "不明")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once; a column that an expression names twice may be worked out twice."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")

@@ -102,6 +102,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].format(array="array", first=0, **{t: "{" + t + "}" for t in TABLES}), **tables)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt to all cores: a small file is one task, however much work each of its rows is."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def oracle_views(*names: str) -> str:
     """A WITH clause for the oracle's engine, whose arrays start at 1."""
     parts = [f"{n} AS ({VIEWS[n].format(array='list_value', first=1, **{t: t for t in TABLES})})" for n in names]

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from catalogkit.functions import text
 from catalogkit.operators import audit, index, mapping, merge, names, ordered, rename, select, serving
-from catalogkit.plans.adapters import view
+from catalogkit.plans.adapters import spread, view
 from catalogkit.plans.queries import _PARSED, NORMAL, _plan, joined, register
 from catalogkit.sources import pages
 
 
 def site(spark: SparkSession, d: str) -> DataFrame:
     """A page for each part, with fields in every form that the rules read."""
-    p = view(spark, d, "part")
+    p = spread(view(spark, d, "part"), "p_partkey")
     k, name, brand, size = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand"), F.col("p_size")
     code = F.concat(F.col("p_type"), F.lit("-"), k)
     odd = F.col("p_partkey") % 2 == 1

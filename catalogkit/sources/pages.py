@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogkit.functions.empty import strip
+from catalogkit.functions.empty import once, strip
 from catalogkit.functions.text import clean_ws
 from catalogkit.operators.ordered import keep_first
 
 
 def _found(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    return once(c, lambda x: F.when(x != "", x))
 
 
 def strip_tags(c: Column) -> Column:
@@ -28,7 +28,7 @@ def page_title(html: Column, site: str = "") -> Column:
     """The first heading, else the document title up to a bar; the site's own name is none."""
     heading = strip_tags(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
     title = strip(F.substring_index(strip_tags(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), "|", 1))
-    return F.coalesce(*[F.when(c != site, _found(c)) for c in (heading, title)])
+    return F.coalesce(*[once(c, lambda x: F.when((x != site) & (x != ""), x)) for c in (heading, title)])
 
 
 def clean_title(c: Column, suffixes: Sequence[str], code: Column | None = None) -> Column:
@@ -179,11 +179,11 @@ def sane_duration(c: Column, low: int = 5, high: int = 600) -> Column:
 def duration(html: Column, unit: str = "min", labels: Sequence[str] = ("duration",)) -> Column:
     """Minutes by the first of: number and unit, ISO duration, labelled number; out of range is none."""
     iso = r"PT(?:(\d+)H)?(?:(\d+)M)?"
-    hours, minutes = F.regexp_extract(html, iso, 1).try_cast("int"), F.regexp_extract(html, iso, 2).try_cast("int")
-    whole = F.when(hours.isNotNull() | minutes.isNotNull(), 60 * F.coalesce(hours, F.lit(0)) + F.coalesce(minutes, F.lit(0)))
-    tries = [F.regexp_extract(html, rf"(?i)(\d{{1,4}})\s*{unit}", 1).try_cast("int"), whole]
+    parts = lambda x: [F.regexp_extract(x, iso, i).try_cast("int") for i in (1, 2)]
+    whole = lambda h, m: F.when(h.isNotNull() | m.isNotNull(), 60 * F.coalesce(h, F.lit(0)) + F.coalesce(m, F.lit(0)))
+    tries = [F.regexp_extract(html, rf"(?i)(\d{{1,4}})\s*{unit}", 1).try_cast("int"), once(F.regexp_extract(html, iso, 0), lambda x: whole(*parts(x)))]
     tries += [F.regexp_extract(html, rf"(?i){re.escape(x)}\D{{0,20}}(\d{{1,4}})", 1).try_cast("int") for x in labels]
-    return F.coalesce(*[sane_duration(t) for t in tries])
+    return F.coalesce(*[once(t, lambda x: sane_duration(x)) for t in tries])
 
 
 def iso_date(c: Column) -> Column:
@@ -197,13 +197,13 @@ def profile_header(html: Column) -> Column:
     """struct(name, reading, roman) of a heading ``name (reading / roman)``."""
     head = strip_tags(F.regexp_extract(html, r"(?is)<h[12][^>]*>(.*?)</h[12]>", 1))
     p = r"^(.*?)\s*[（(]\s*([^/）)]*?)\s*(?:/\s*([^）)]*?)\s*)?[）)]"
-    name = _found(F.regexp_extract(head, p, 1))
-    return F.struct(F.coalesce(name, _found(head)).alias("name"), _found(F.regexp_extract(head, p, 2)).alias("reading"), _found(F.regexp_extract(head, p, 3)).alias("roman"))
+    group = lambda x, i: _found(F.regexp_extract(x, p, i))
+    return once(head, lambda x: F.struct(F.coalesce(group(x, 1), _found(x)).alias("name"), group(x, 2).alias("reading"), group(x, 3).alias("roman")))
 
 
 def sizes(c: Column, letters: Sequence[str] = ("T", "B", "W", "H")) -> Column:
     """struct of whole numbers after each letter of a size text such as ``T160 / B85 / W58 / H86``; null where absent."""
-    return F.struct(*[F.regexp_extract(c, rf"(?i)(?<![A-Za-z]){x}\s*[:：]?\s*(\d{{2,3}})", 1).try_cast("int").alias(x.lower()) for x in letters])
+    return once(c, lambda t: F.struct(*[F.regexp_extract(t, rf"(?i)(?<![A-Za-z]){x}\s*[:：]?\s*(\d{{2,3}})", 1).try_cast("int").alias(x.lower()) for x in letters]))
 
 
 def names_without_notes(c: Column) -> Column:
