@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from catalogkit.functions import phrases, text
 from catalogkit.functions.empty import has_value, is_blank, is_unset
 from catalogkit.operators import audit, digests, index, mapping, merge, names, ordered, postings, rename, select, serving, tags
-from catalogkit.plans.adapters import oracle_views, view
+from catalogkit.plans.adapters import oracle_views, spread, view
 from catalogkit.sources import io, pages, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -697,7 +697,7 @@ _PARSED = r"""s1 AS (SELECT *, CASE WHEN regexp_matches(fn, '^\d{4}-\d{2}-\d{2}
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    return rename.plan_renames(view(spark, d, "files"), view(spark, d, "items"))
+    return rename.plan_renames(spread(view(spark, d, "files"), "fid"), view(spark, d, "items"))
 
 
 @register(f"WITH {_PARSED} SELECT fid, code, part, copy, tags, title, date, new, reason FROM plan", ("items", "files"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from catalogkit.plans import site_queries
+from catalogkit.plans import queries, site_queries
 from catalogkit.sources import pages
 from pyspark.sql import functions as F
 from test_queries import SF
@@ -20,3 +20,11 @@ def test_each_text_is_searched_once(spark, field, searched, times):
 
 def test_pages_are_dealt_to_all_cores(spark):
     assert site_queries.site(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_filter_on_a_plan_reads_no_name_twice(spark):
+    for rows in (site_queries.renamed_files(spark, SF), queries.rename_collisions(spark, SF)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        # the step that cuts the volume stands in the plan once, and in no filter
+        assert plan.count(r"(?is)^(.*?)\.part\d+") == 1
+        assert queries._plan(spark, SF).rdd.getNumPartitions() > 1
