@@ -18,12 +18,13 @@ from catalogkit.sources.generations import Catalogue
 FILE_ROWS = 500  # objects of a JSON file
 
 
-def write_objects(rows: DataFrame, path: str) -> None:
-    """JSON files of about FILE_ROWS objects each, as an array, in a folder each."""
+def write_objects(rows: DataFrame, path: str, together: bool = False) -> None:
+    """JSON files of about FILE_ROWS objects each, as an array, in a folder each, or ``together`` in the one folder file=0."""
     files = max(1, -(-rows.count() // FILE_ROWS))
     text = F.to_json(F.collect_list(F.struct(*rows.columns)))
     grouped = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(files)).alias("file")).agg(text.alias("value"))
-    grouped.write.partitionBy("file").text(path)
+    grouped = grouped.withColumn("file", F.lit(0)) if together else grouped
+    grouped.write.option("maxRecordsPerFile", 1).partitionBy("file").text(path)  # a file holds one array
 
 
 @register("SELECT code, title, owner, array_to_string(tags, '|') AS tags, k % 20 = 0 AS twice FROM items WHERE k % 7 <> 0", ("items",))
@@ -42,8 +43,7 @@ def scanned_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles written as JSON and read: one without a name has its folder's."""
     at = io.scratch_folder(spark)
     rows = view(spark, d, "profiles").select(F.when(F.length("team") != 6, F.col("name")).alias("name"), "avatar", F.col("team").alias("group"))
-    text = F.to_json(F.struct("name", "avatar", "group"))
-    rows.select(F.lit(0).alias("file"), text.alias("value")).repartition(rows.count() or 1).write.option("maxRecordsPerFile", 1).partitionBy("file").text(at)
+    write_objects(rows, at, together=True)
     return io.read_entities(spark, f"{at}/*/*").select("name", "avatar", "group")
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from catalogkit.plans import queries, site_queries
+from catalogkit.plans import file_queries, queries, site_queries
 from catalogkit.sources import pages
 from pyspark.sql import functions as F
 from test_queries import SF
@@ -28,3 +28,11 @@ def test_a_filter_on_a_plan_reads_no_name_twice(spark):
         # the step that cuts the volume stands in the plan once, and in no filter
         assert plan.count(r"(?is)^(.*?)\.part\d+") == 1
         assert queries._plan(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_profiles_are_read_from_few_files(spark, monkeypatch):
+    read = {}
+    monkeypatch.setattr(file_queries.io, "read_entities", lambda s, path, f=file_queries.io.read_entities: read.setdefault("rows", f(s, path)))
+    n = file_queries.scanned_profiles(spark, "/root/testdata/sf0.1").count()
+    files = len(read["rows"].inputFiles())
+    assert n == 900 and 1 <= files <= 2 * -(-n // file_queries.FILE_ROWS)
