@@ -57,7 +57,8 @@ def post(ids: list, vectors: np.ndarray, wild: bool, pivots: int, prefix: int) -
 
 
 def ranked(page: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, kth: np.ndarray | None = None, share: float = 0.3) -> tuple[list[tuple[int, int, float]], np.ndarray]:
-    """(query_id, vec_id, score) of the ``k`` best found in the page for every query, and how many were reranked."""
+    """(query_id, vec_id, score) of the ``k`` best found in the page for every query, unless they are below ``kth``, and how
+    many were reranked."""
     vectors, n = page["vectors"].astype(float), page["n"]
     loud = np.arange(n, len(vectors))
     keep, out, counts = min(n, max(k + 1, int(np.ceil(share * n)))), [], np.zeros(len(query_ids), int)
@@ -73,6 +74,10 @@ def ranked(page: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, kth:
             chosen = np.concatenate([np.flatnonzero(near >= cut), loud])
         scores = np.einsum("ij,j->i", vectors[chosen], q)
         counts[at] = len(chosen)
+        if kth is not None:  # below it nothing is among the k best of all pages
+            chosen, scores = chosen[scores >= kth[at]], scores[scores >= kth[at]]
+            if not len(chosen):
+                continue
         if len(chosen) > k:  # one entry may hold the query's own id alone
             top = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
             chosen, scores = chosen[top], scores[top]
