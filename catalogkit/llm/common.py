@@ -24,14 +24,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """As ``settle``, by a table written to the same folder, which stays until the folder is cleared.
 
     For loops of joins: a checkpoint hands on its plan's estimated size, and a table that is joined to itself round by round
     squares the estimate each time, until planning takes minutes; a written table has its true size.
     """
     path = f"{_shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ number of rows allows, and then the thresholds for each language are calibrated.
 The fit reads every labelled row outside the fold, whole.  Spark counts in how many texts of each class a row of the table is.
 A text is then kept as the numbers of its words that learn, and runs of other words, whose embeddings are zero, are cut to
 the length of the widest filter: no filter's maximum changes.  The texts are dealt by their ids' hashes to parts of about
-PART texts, PARTS at most; in each epoch a task takes a part's mini-batches from the common network on, and the
+PART texts, PARTS at most, and numbered there, in chunks that write each word's rows once; in each epoch a task takes a part's mini-batches from the common network on, and the
 changes, which travel in half precision, are averaged, a table row's over the parts that met it, in proportion to how often.  Neither a task nor the driver holds more than the
 network and CHUNK texts; the held-out rows' scores reach the driver as counts.
 The thresholds decide ``flagged``, never the score.
@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import chain
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +35,24 @@ from pyspark.sql import functions as F
 
 from catalogkit.llm.common import fold, settle, stored
 
-_WORD = re.compile(r"\w+")
+_ODD = re.compile(r"[^\w\x00-\x7f]")  # of no word, beyond ASCII
+_SPACED = bytes(c if c >= 128 or re.match(r"\w", chr(c)) else 32 for c in range(256))
 STEMS = (3, 4, 5, 6, 7, 8)
 WIDTHS = (1, 2, 3)
 PAD = max(WIDTHS) - 1  # words without meaning after each text
 PIECE = 1 << 16  # words that are scored at a time
 PART, PARTS = 8000, 32  # texts of a part that one task learns from in an epoch, while there are fewer than so many parts
 CHUNK = 4096  # texts of a part that are shuffled together
+WORDS = 300_000  # words of a chunk's texts that are numbered together
 SLOT = 2048  # rows of the table that travel together
 STEP = 64  # held-out scores are counted by their log odds, in so many steps to one
 DENSE = ("kernel", "bias", "weight", "offset")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The lower-case runs of \\w."""
+    text = (text or "").lower()
+    return (text if text.isascii() else _ODD.sub(" ", text)).encode().translate(_SPACED).decode().split()
 
 
 def rows_of_words(words: list[str], buckets: int) -> np.ndarray:
@@ -67,27 +72,29 @@ def rows_of(word: str, buckets: int) -> list[int]:
     return rows_of_words([word], buckets)[0].tolist()
 
 
-class Lexicon(dict):
-    """word -> its number among the words met so far; number 0 follows a text.  ``rows`` are their rows of the table.
+class Lexicon(defaultdict):
+    """word -> how many words were met before it.  A text's words have their numbers, whose rows of the table are ``rows``; number 0 follows a text.
 
     With ``slots``, a row's place among those that learn (0: it does not), rows are those places, and a word without any has number 0.
     """
 
     def __init__(self, buckets: int, slots: np.ndarray | None = None):
-        super().__init__()
+        super().__init__(count().__next__)
         self.buckets, self.slots, self.rows, self.products = buckets, slots, np.zeros((1, 1 + len(STEMS)), np.int32), None
+        self.number = np.zeros(0, np.int32)  # by how many words were met before
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's words."""
-        words = [words_of(t) for t in texts]
-        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in self]
-        if new:
+        known = len(self)
+        met = [np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in map(words_of, texts)]
+        if len(self) > known:
+            new = list(islice(reversed(self), len(self) - known))[::-1]
             rows = rows_of_words(new, self.buckets)
             rows = rows if self.slots is None else self.slots[rows].astype(np.int32)
             active = rows.any(axis=1)
-            self.update(zip(new, np.where(active, active.cumsum() + len(self.rows) - 1, 0).tolist()))
+            self.number = np.concatenate([self.number, np.where(active, active.cumsum() + len(self.rows) - 1, 0).astype(np.int32)])
             self.rows = np.concatenate([self.rows, rows[active]])
-        return [np.fromiter(map(self.__getitem__, w), np.int32, len(w)) for w in words]
+        return [self.number[m] for m in met]
 
     def numbers(self, text: str | None) -> np.ndarray:
         return self.texts([text])[0]
@@ -99,6 +106,16 @@ def compact(numbers: np.ndarray) -> np.ndarray:
     return numbers[at - np.maximum.accumulate(np.where(numbers != 0, at, -1)) <= max(WIDTHS)]
 
 
+def distinct(numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ``numbers``, all below ``most``, and where among them each is."""
+    at = np.arange(len(numbers), dtype=np.int32)
+    mark = np.empty(most, np.int32)
+    mark[numbers] = at
+    used = numbers[mark[numbers] == at]
+    mark[used] = at[: len(used)]
+    return used, mark[numbers]
+
+
 def joined(texts: list[np.ndarray], tails: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts after one another, each followed by PAD zeros, or its tail, PAD words of which no window starts (an empty
     text is one zero); where each starts; and which places are windows."""
@@ -134,22 +151,29 @@ class Network:
         self.bias = np.zeros(self.filters * len(WIDTHS), np.float32)
         self.weight = rng.normal(0, 0.3, self.filters * len(WIDTHS)).astype(np.float32)
 
-    def responses(self, z: np.ndarray) -> list[np.ndarray]:
-        """The filters' values at every place but the last PAD, by width, from each place's products with the kernel."""
-        n, f, out, column = len(z) - PAD, self.filters, [], 0
-        for w in WIDTHS:
-            value = z[:n, column : column + f]
+    def embedded(self, rows: np.ndarray) -> np.ndarray:
+        """Each word's embedding, from its rows."""
+        out = self.table[rows[:, 0]]
+        for column in rows.T[1:]:
+            out += self.table[column]
+        return out
+
+    def responses(self, z: np.ndarray) -> np.ndarray:
+        """All filters' values, a line for each, at every place but the last PAD, from the places' products with the kernel, a line for each of its columns."""
+        n, f, column = z.shape[1] - PAD, self.filters, 0
+        out = np.empty((f * len(WIDTHS), n), z.dtype)
+        for own, w in zip(out.reshape(len(WIDTHS), f, n), WIDTHS):
+            own[:] = z[column : column + f, :n]
             for k in range(1, w):
-                value = value + z[k : n + k, column + k * f : column + (k + 1) * f]
-            out.append(value)
+                own += z[column + k * f : column + (k + 1) * f, k : n + k]
             column += w * f
         return out
 
     def pooled(self, z: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
         """Each text's maxima of all filters."""
-        values = np.concatenate(self.responses(z), axis=1)
-        values[~inside] = -np.inf
-        return np.maximum.reduceat(values, starts, axis=0)
+        values = self.responses(np.ascontiguousarray(z.T))
+        values[:, ~inside] = -np.inf
+        return np.maximum.reduceat(values, starts, axis=1).T
 
     def output(self, best: np.ndarray) -> np.ndarray:
         raw = np.maximum(best + self.bias, 0) @ self.weight + self.offset
@@ -182,35 +206,32 @@ class Network:
         numbers = [compact(t) for t in lexicon.texts(texts)]
         done = 0 if lexicon.products is None else len(lexicon.products)
         if done < len(lexicon.rows):
-            new = self.table[lexicon.rows[done:]].sum(axis=1) @ self.kernel
+            new = self.embedded(lexicon.rows[done:]) @ self.kernel
             lexicon.products = np.concatenate([lexicon.products, new]) if done else new
         return self.scores(numbers, lexicon.products)
 
-    def places(self, z: np.ndarray, word: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, z: np.ndarray, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each text's maxima of all filters and their first places, from the words' products with the kernel, PIECE places at a time."""
-        units = self.filters * len(WIDTHS)
-        best, place = np.full((len(starts), units), -np.inf, z.dtype), np.zeros((len(starts), units), np.int64)
-        text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(inside))))
-        for a in range(0, len(inside), PIECE):
-            own = text[a : a + PIECE]
-            values = np.concatenate(self.responses(z[word[a : a + len(own) + PAD]]), axis=1)
-            values[~inside[a : a + PIECE]] = -np.inf
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            top = np.maximum.reduceat(values, first, axis=0)
-            unit, at = np.nonzero((values == top[own - own[0]]).T)
-            _, lead = np.unique(unit * len(first) + own[at] - own[0], return_index=True)  # the first of equal maxima
-            spot, mine = at[lead].reshape(-1, len(first)).T + a, own[first]
-            place[mine] = np.where(top > best[mine], spot, place[mine])
-            best[mine] = np.maximum(best[mine], top)
+        units, n = np.arange(self.filters * len(WIDTHS)), len(word) - PAD
+        best, place = np.full((len(starts), len(units)), -np.inf, z.dtype), np.zeros((len(starts), len(units)), np.int64)
+        z, ends = np.ascontiguousarray(z.T), np.append(starts[1:], n) - PAD
+        for a in range(0, n, PIECE):
+            values = self.responses(np.take(z, word[a : a + PIECE + PAD], axis=1))
+            for i in range(np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + values.shape[1])):
+                lead = max(starts[i] - a, 0)
+                at = lead + values[:, lead : ends[i] - a].argmax(axis=1)  # the first of equal maxima
+                top = values[units, at]
+                more = top > best[i]
+                place[i, more], best[i, more] = at[more] + a, top[more]
         return best, place
 
     def gradients(self, texts: list[np.ndarray], rows_of_word: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, dict]:
         """The weighted log loss of a batch, and its gradients; the table's as (rows, values)."""
-        flat, starts, inside = joined(texts)
-        used, word = np.unique(flat, return_inverse=True)
+        flat, starts, _ = joined(texts)
+        used, word = distinct(flat, len(rows_of_word))
         at = rows_of_word[used]
-        x = self.table[at].sum(axis=1)
-        best, place = self.places(x @ self.kernel, word, starts, inside)
+        x = self.embedded(at)
+        best, place = self.places(x @ self.kernel, word, starts)
         p = self.output(best)
         g = ((p - y) * weights).astype(np.float32)
         active = best + self.bias > 0
@@ -279,7 +300,7 @@ def telling(met: np.ndarray, texts: np.ndarray) -> np.ndarray:
 def met_by(texts: list[str], y: np.ndarray, lexicon: Lexicon, out: np.ndarray) -> None:
     """Adds to ``out`` (class, row of the table) in how many texts of each class the row is."""
     for numbers, label in zip(lexicon.texts(texts), y):
-        out[int(label), np.unique(lexicon.rows[np.unique(numbers)])] += 1
+        out[int(label), distinct(lexicon.rows[numbers].ravel(), lexicon.buckets)[0]] += 1
 
 
 def class_weights(n: np.ndarray) -> np.ndarray:
@@ -307,15 +328,15 @@ class Course:
         net = replace(self.net, **{k: np.array(getattr(self.net, k)) for k in ("table", *DENSE)})
         return replace(self, net=net, memory={k: np.array(v) for k, v in self.memory.items()})
 
-    def learn(self, texts: list[tuple[np.ndarray, np.ndarray, int]], rng: np.random.Generator, touched: np.ndarray) -> None:
-        """Takes the texts, (words' numbers, rows of the text's own words, label), in shuffled mini-batches."""
+    def learn(self, texts: list[np.ndarray], rows_of_word: np.ndarray, labels: np.ndarray, rng: np.random.Generator, touched: np.ndarray) -> None:
+        """Takes the texts, by their words' numbers, in shuffled mini-batches."""
         order = rng.permutation(len(texts))
         for at in range(0, len(order), self.batch):
-            some = [texts[i] for i in order[at : at + self.batch].tolist()]
-            ends = np.cumsum([0, *(len(rows) - 1 for _, rows, _ in some)])
-            seen = [np.where((rng.random(len(t)) < self.drop) | (t == 0), 0, t + end) for (t, _, _), end in zip(some, ends.tolist())]
-            y = np.array([label for _, _, label in some], float)
-            rows_of_word = np.concatenate([some[0][1][:1], *(rows[1:] for _, rows, _ in some)])
+            some = order[at : at + self.batch]
+            own = [texts[i] for i in some.tolist()]
+            flat = np.concatenate(own)
+            seen = np.split(np.where(rng.random(len(flat)) < self.drop, 0, flat), np.cumsum([len(t) for t in own])[:-1])
+            y = labels[some].astype(float)
             _, grads = self.net.gradients(seen, rows_of_word, y, self.weights[y.astype(int)])
             rows, values = grads.pop("table")
             rows, values = rows[rows > 0], values[rows > 0]
@@ -340,11 +361,10 @@ class Course:
             at += 2 * size
         self.net.offset = float(self.net.offset)
 
-    def held_bins(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def held_bins(self, texts: list[np.ndarray], rows_of_word: np.ndarray) -> np.ndarray:
         """The texts' log odds, in steps."""
-        ends = np.cumsum([0, *(len(rows) - 1 for _, rows in texts)])
-        rows = np.concatenate([texts[0][1][:1], *(rows[1:] for _, rows in texts)])
-        s = self.net.scores([np.where(t == 0, 0, t + end) for (t, _), end in zip(texts, ends.tolist())], self.net.table[rows].sum(axis=1) @ self.net.kernel)
+        words, own = own_words(np.concatenate(texts), rows_of_word)
+        s = self.net.scores(np.split(words, np.cumsum([len(t) for t in texts])[:-1]), self.net.embedded(own) @ self.net.kernel)
         s = np.clip(s, 1e-15, 1 - 1e-15)
         return np.rint(STEP * (np.log(s) - np.log1p(-s))).astype(int)
 
@@ -375,12 +395,22 @@ def own_words(numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return own[:-1].astype(np.int32), rows[used]
 
 
+def halves(x: np.ndarray) -> list[bytes]:
+    """Whole numbers as their lower and their upper 16 bits, which compress better apart."""
+    x = x.astype(np.uint32)
+    return [x.astype(np.uint16).tobytes(), (x >> 16).astype(np.uint16).tobytes()]
+
+
+def whole(data: bytes, n: int, at: int) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint16, 2 * n, at).reshape(2, n).astype(np.int32)
+    return low | high << 16
+
+
 def packed(words: np.ndarray, own: np.ndarray) -> bytes:
-    """A text as ``own_words`` gives it, in few bytes: which rows of its words learn, those rows, and the words."""
+    """Words by their numbers, and rows of words, in few bytes: which of these learn, those rows, and the numbers."""
     learn = own > 0
-    kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
     sizes = np.array([len(own), learn.sum()], np.uint32)
-    return zlib.compress(b"".join(x.tobytes() for x in (sizes, np.packbits(learn, axis=1), own[learn].astype(np.int32), words.astype(kind))), 1)
+    return zlib.compress(b"".join([sizes.tobytes(), np.packbits(learn, axis=1).tobytes(), *halves(own[learn]), *halves(words)]), 1)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -388,8 +418,28 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.frombuffer(data, np.uint32, 2).tolist()
     own = np.zeros((k, 1 + len(STEMS)), np.int32)
     learn = np.unpackbits(np.frombuffer(data, np.uint8, k, 8).reshape(k, 1), axis=1)[:, : own.shape[1]].astype(bool)
-    own[learn] = np.frombuffer(data, np.int32, n, 8 + k)
-    return np.frombuffer(data, np.uint16 if k <= 1 << 16 else np.uint32, -1, 8 + k + 4 * n).astype(np.int32), own
+    own[learn] = whole(data, n, 8 + k)
+    return whole(data, (len(data) - 8 - k - 4 * n) // 4, 8 + k + 4 * n), own
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list[int], list[str]]]:
+    """(part, texts, rows of their words, labels, languages) of each chunk of ``coded`` rows, in their order."""
+    its, texts, rows, labels, langs, base = None, [], [], [], [], 0
+    for batch in batches:
+        for part, first, anew, words, sizes, y, lang in zip(*(c.to_pylist() for c in batch.columns)):
+            if first:
+                if texts:
+                    yield its, texts, np.concatenate(rows), labels, langs
+                its, texts, rows, labels, langs = part, [], [np.zeros((1, 1 + len(STEMS)), np.int32)], [], []
+            if anew:
+                base = sum(map(len, rows)) - 1
+            flat, own = unpacked(words)
+            texts += np.split(np.where(flat == 0, 0, flat + base).astype(np.int32), np.cumsum(sizes)[:-1])
+            rows.append(own)
+            labels += y
+            langs += lang
+    if texts:
+        yield its, texts, np.concatenate(rows), labels, langs
 
 
 def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int = 8, held: float = 0.1, evidence: float = 3.84, like: float = 20.0, seed: int = 11, rate: float = 0.1, batch: int = 16, drop: float = 0.2, **shape) -> Network:
@@ -407,12 +457,12 @@ def train(texts: list[str], y: np.ndarray, langs: list[str], epochs: int = 8, he
     learns[0] = False
     course = Course.begin(net, learns, class_weights(n), rate=rate, batch=batch, drop=drop)
     lexicon = Lexicon(net.buckets, np.cumsum(learns) * learns)
-    texts = [own_words(compact(t), lexicon.rows) for t in lexicon.texts(texts)]
+    texts = [compact(t) for t in lexicon.texts(texts)]
     touched = np.zeros(course.net.buckets)
     for _ in range(epochs):
-        course.learn([(*texts[i], int(y[i])) for i in kept.tolist()], rng, touched)
+        course.learn([texts[i] for i in kept.tolist()], lexicon.rows, y[kept], rng, touched)
     inner = np.flatnonzero(inner)
-    bins = course.held_bins([texts[i] for i in inner]) if len(inner) else []
+    bins = course.held_bins([texts[i] for i in inner], lexicon.rows) if len(inner) else []
     return course.finish(net, learns, [(langs[i], int(y[i]), int(b), 1) for i, b in zip(inner, bins)], like)
 
 
@@ -434,22 +484,44 @@ def counted(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def coded(rows: DataFrame, buckets: int, slots: np.ndarray, parts: int) -> DataFrame:
-    """(part, ord, doc_id, lang, y, held, words) of ``rows``, in their parts' order: texts ``packed``."""
+    """``rows`` dealt to their parts, held-out ones apart, in chunks of CHUNK texts: a row for each 500 of them or fewer.
+
+    first and anew tell whether a chunk and a numbering of words begin; words are the texts' numbers and the rows of the words
+    that are new in the numbering, ``packed``; sizes are the texts' lengths, y and lang theirs, one each.  The texts are
+    exchanged as they are and numbered afterwards, through a chunk, so that a word which many of them share is written once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(buckets, shared.value)
+        chunk, n, lexicon = None, 0, None
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                if len(lexicon) > 100_000:
-                    lexicon = Lexicon(buckets, shared.value)
-                words = [packed(*own_words(compact(t), lexicon.rows)) for t in lexicon.texts(piece.column(0).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array(words, pa.binary())], names=["part", "ord", "doc_id", "lang", "y", "held", "words"])
-
-    placed = rows.select("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.xxhash64("doc_id", F.lit(2)).alias("ord"), "doc_id", "lang", "y", "held")
-    made = placed.mapInArrow(run, "part int, ord long, doc_id long, lang string, y int, held boolean, words binary")
-    return made.repartition(4 * parts, "part").sortWithinPartitions("part", "ord", "doc_id")
+            part, held = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            at, borders = 0, [*(np.flatnonzero((part[1:] != part[:-1]) | (held[1:] != held[:-1])) + 1).tolist(), batch.num_rows]
+            for border in borders:
+                while at < border:
+                    first = (part[at], held[at]) != chunk or n == CHUNK
+                    if first:
+                        chunk, n = (part[at], held[at]), 0
+                    anew = first or len(lexicon) > WORDS
+                    if anew:
+                        lexicon, known = Lexicon(buckets, shared.value), 1
+                    piece = batch.slice(at, min(500, border - at, CHUNK - n))
+                    texts = [compact(t) for t in lexicon.texts(piece.column(0).to_pylist())]
+                    words = packed(np.concatenate(texts), lexicon.rows[known:])
+                    y, lang = (piece.column(k).to_pylist() for k in (3, 4))
+                    row = {"part": int(part[at]), "held": bool(held[at]), "first": first, "anew": anew, "words": words, "sizes": [len(t) for t in texts], "y": y, "lang": lang}
+                    yield pa.RecordBatch.from_pylist([row], pa.schema(kinds))
+                    known, n, at = len(lexicon.rows), n + len(texts), at + len(texts)
+
+    ints = pa.list_(pa.int32())
+    kinds = [("part", pa.int32()), ("held", pa.bool_()), ("first", pa.bool_()), ("anew", pa.bool_()), ("words", pa.binary()), ("sizes", ints), ("y", ints), ("lang", pa.list_(pa.string()))]
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")
+    placed = rows.select("text", part, "held", "y", "lang", F.xxhash64("doc_id", F.lit(2)).alias("ord"), "doc_id").repartition(4 * parts, "part")
+    made = placed.sortWithinPartitions("part", "held", "ord", "doc_id").select("text", "part", "held", "y", "lang")
+    return made.mapInArrow(run, "part int, held boolean, first boolean, anew boolean, words binary, sizes array<int>, y array<int>, lang array<string>")
+
+
+CODED = ["part", "first", "anew", "words", "sizes", "y", "lang"]  # what ``chunks`` reads
 
 
 def epoch(rows: DataFrame, course: Course, seed: int) -> Course:
@@ -457,16 +529,9 @@ def epoch(rows: DataFrame, course: Course, seed: int) -> Course:
     shared, dims = rows.sparkSession.sparkContext.broadcast(course), course.net.dims
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, part, mine, chunk, n = shared.value, None, None, [], 0
-
-        def learn() -> None:
-            nonlocal n, chunk
-            mine.learn(chunk, np.random.default_rng([seed, part, n]), touched)
-            n, chunk = n + len(chunk), []
+        begun, part, mine, n = shared.value, None, None, 0
 
         def results() -> Iterator[tuple]:
-            if chunk:
-                learn()
             yield -1, part, (np.concatenate([[n], n * (mine.dense() - begun.dense())])).tobytes()
             for at in range(0, len(touched), SLOT):
                 own = slice(at, at + SLOT)
@@ -480,15 +545,13 @@ def epoch(rows: DataFrame, course: Course, seed: int) -> Course:
             columns = zip(*found)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], names=["slot", "part", "change"])
 
-        for batch in batches:
-            for text, label, its in zip(*(c.to_pylist() for c in batch.columns)):
-                if its != part:
-                    if part is not None:
-                        yield sent(results())
-                    part, mine, chunk, n, touched = its, begun.copy(), [], 0, np.zeros(begun.net.buckets)
-                chunk.append((*unpacked(text), label))
-                if len(chunk) == CHUNK:
-                    learn()
+        for its, texts, rows_of_word, labels, _ in chunks(batches):
+            if its != part:
+                if part is not None:
+                    yield sent(results())
+                part, mine, n, touched = its, begun.copy(), 0, np.zeros(begun.net.buckets)
+            mine.learn(texts, rows_of_word, np.array(labels), np.random.default_rng([seed, part, n]), touched)
+            n += len(texts)
         if part is not None:
             yield sent(results())
 
@@ -505,7 +568,7 @@ def epoch(rows: DataFrame, course: Course, seed: int) -> Course:
         return pa.table({"slot": pa.array([slot], pa.int32()), "part": pa.array([0], pa.int32()), "change": pa.array([means.tobytes()], pa.binary())})
 
     schema = "slot int, part int, change binary"
-    found = rows.where("NOT held").select("words", "y", "part").mapInArrow(walk, schema).groupBy("slot").applyInArrow(mean, schema).collect()
+    found = rows.where("NOT held").select(CODED).mapInArrow(walk, schema).groupBy("slot").applyInArrow(mean, schema).collect()
     shared.unpersist()
     after = course.copy()
     for r in found:
@@ -525,13 +588,13 @@ def held_counts(rows: DataFrame, course: Course) -> list[tuple[str, int, int, in
     shared = rows.sparkSession.sparkContext.broadcast(course)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                bins = shared.value.held_bins([unpacked(t) for t in piece.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([piece.column(1), piece.column(2), pa.array(bins, pa.int32())], names=["lang", "y", "bin"])
+        for _, texts, rows_of_word, labels, langs in chunks(batches):
+            for at in range(0, len(texts), 500):
+                own = slice(at, at + 500)
+                bins = shared.value.held_bins(texts[own], rows_of_word)
+                yield pa.RecordBatch.from_arrays([pa.array(langs[own], pa.string()), pa.array(labels[own], pa.int32()), pa.array(bins, pa.int32())], names=["lang", "y", "bin"])
 
-    bins = rows.where("held").select("words", "lang", "y").mapInArrow(run, "lang string, y int, bin int").groupBy("lang", "y", "bin").count()
+    bins = rows.where("held").select(CODED).mapInArrow(run, "lang string, y int, bin int").groupBy("lang", "y", "bin").count()
     bins = settle(bins)
     both = bins.groupBy("lang").agg(F.countDistinct("y").alias("classes")).where("classes = 2").select("lang", F.lit(True).alias("both"))
     lang = F.when(F.col("both"), F.col("lang")).alias("lang")
@@ -578,7 +641,7 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 8, held: float = 0.1,
     smallest hash.  Null ids and labels and null texts are left out.  Without rows of both classes nothing is learned
     and every score is zero.  A class of fewer than ten rows holds none out.
     """
-    rows, net = stored(labelled(docs, labels)), Network(**shape)
+    rows, net = stored(labelled(docs, labels), compression="zstd"), Network(**shape)
     n = dict(rows.groupBy("y").count().collect())
     if not (n.get(0) and n.get(1)):
         return Network()
